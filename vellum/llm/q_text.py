@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vellum.llm import bpe, packing, quality
+from vellum.llm import bpe, packing, quality, scratch, warc
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -29,3 +30,16 @@ def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op3_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{scratch.shared_dir(spark)}/warc"
+    warc.write(_table(spark, sf_dir, "pages"), path)
+    found = warc.records(warc.read(spark, path))
+    return found.select(
+        F.col("record_id").cast("long").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        F.col("refers_to").cast("long").alias("refers_to"),
+    )

@@ -14,6 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_quality_rules": q_text.op1_quality_rules,
+        "op3_warc_round_trip": q_text.op3_warc_round_trip,
         "op9_bpe_round_trip": q_text.op9_bpe_round_trip,
         "op10_best_fit_packing": q_text.op10_best_fit_packing,
     }

@@ -15,6 +15,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_quality_rules": q_text.op1_quality_rules,
         "op3_warc_round_trip": q_text.op3_warc_round_trip,
+        "op6_simhash_near_duplicates": q_text.op6_simhash_near_duplicates,
         "op9_bpe_round_trip": q_text.op9_bpe_round_trip,
         "op10_best_fit_packing": q_text.op10_best_fit_packing,
     }

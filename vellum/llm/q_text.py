@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import bpe, packing, quality, scratch, simhash, warc
+from vellum.llm import bpe, packing, quality, repeats, scratch, simhash, warc
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -47,3 +47,7 @@ def op3_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op2_suffix_array_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.removed(_table(spark, sf_dir, "documents"))

@@ -14,6 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_quality_rules": q_text.op1_quality_rules,
+        "op2_suffix_array_repeats": q_text.op2_suffix_array_repeats,
         "op3_warc_round_trip": q_text.op3_warc_round_trip,
         "op6_simhash_near_duplicates": q_text.op6_simhash_near_duplicates,
         "op9_bpe_round_trip": q_text.op9_bpe_round_trip,

@@ -7,6 +7,7 @@ only the tasks that were running. The folder is the one in
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -30,9 +31,25 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}"
     df.write.option("compression", "zstd").parquet(path)
+    _tidy(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keep_by(df: DataFrame, name: str, column: str) -> tuple[str, DataFrame]:
+    """As :func:`keep`, in a folder for each value of ``column``; also the table's path."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}"
+    df.write.option("compression", "zstd").partitionBy(column).parquet(path)
+    _tidy(spark)
+    return path, spark.read.schema(df.schema).parquet(path)
+
+
+def _tidy(spark: SparkSession) -> None:
+    """Let the driver's collector run, which is when Spark removes the shuffle files of finished steps."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop(spark: SparkSession, path: str) -> None:
     """Remove a folder, through the file system that its path names."""
     jvm = spark.sparkContext._jvm

@@ -33,9 +33,13 @@ from vellum.llm.scratch import keep
 
 LONG_RUN = 4096
 LEAF = 1024
-CACHE_RUNS = 400_000
+CACHE_RUNS = 300_000
+CACHE_WORDS = 400_000
 CACHED_BYTES = 64
 
+#: Letters of Latin-1, then marks of ASCII: at most two pre-tokens, whatever the letters' case.
+_PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*)([!-/:-@\[-`{-~]*)")
+
 
 class WordBpe:
     """One tokenizer file with a bounded cache of encoded runs."""
@@ -46,9 +50,11 @@ class WordBpe:
         config["truncation"] = config["padding"] = None
         self.tokenizer = Tokenizer.from_str(json.dumps(config))
         self.cache: dict[bytes, bytes] = {}
+        self.words: dict[str, bytes] = {"": b""}
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.tokens = [(self.tokenizer.id_to_token(i) or "").encode() for i in range(size)]
         self.suffix = config["model"]["end_of_word_suffix"]
+        self.ends_word = np.array([t.endswith(self.suffix.encode()) for t in self.tokens])
         self.marks = [t["content"].encode() for t in config["added_tokens"]]
         bare = {"version": "1.0", "truncation": None, "padding": None, "added_tokens": [], "normalizer": None}
         bare |= {"pre_tokenizer": None, "post_processor": None, "decoder": None}
@@ -62,29 +68,48 @@ class WordBpe:
         for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
             yield np.asarray(e.ids, dtype="<u4").tobytes()
 
-    def learn(self, runs: Iterable[bytes]) -> None:
-        """Encode the runs that the cache lacks, all in one call."""
-        new = [r for r in runs if r not in self.cache]
-        if len(self.cache) + len(new) > CACHE_RUNS:
-            self.cache.clear()
-        self.cache.update(zip(new, self._encode_new(new)))
+    def _learn_plain(self, words: list[str]) -> None:
+        """Encode lower-case words, each one pre-token, many to a call: a word ends with a token that ends words."""
+        for k in range(0, len(words), 4096):
+            part = words[k : k + 4096]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
+            ends = (np.flatnonzero(self.ends_word[ids]) + 1).tolist()
+            raw = ids.tobytes()
+            self.words.update(zip(part, (raw[4 * a : 4 * b] for a, b in zip([0, *ends], ends))))
+
+    def _of_runs(self, runs: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of distinct runs. Most are letters and then marks, which are two pre-tokens at
+        most; those are encoded by word, so that capitals and marks cost nothing anew."""
+        plain, other = [], []
+        for run in runs:
+            m = _PLAIN.fullmatch(run.decode())
+            if m:
+                plain.append((run, m[1].lower(), m[2]))
+            else:
+                other.append(run)
+        wanted = {x for _, word, marks in plain for x in (word, marks)}
+        new = [x for x in wanted if x and x not in self.words]
+        if len(self.words) + len(new) > CACHE_WORDS:
+            self.words = {"": b""}
+            new = [x for x in wanted if x]
+        self._learn_plain(new)
+        found = {run: self.words[word] + self.words[marks] for run, word, marks in plain}
+        found.update(zip(other, self._encode_new(other)))
+        return found
 
     def ids_of_batch(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        split = [(t or "").encode().split() for t in texts]
-        for k in range(0, len(split), 256):
-            part = split[k : k + 256]
+        for k in range(0, len(texts), 128):
+            part = [(t or "").encode().split() for t in texts[k : k + 128]]
             distinct = set().union(*part)
-            long = {r: self.tree(r) for r in distinct if len(r) > LONG_RUN}
-            middle = {r for r in distinct if CACHED_BYTES < len(r) <= LONG_RUN}
-            kept = [*middle]
-            long |= dict(zip(kept, self._encode_new(kept)))
-            new = [r for r in distinct if len(r) <= CACHED_BYTES and r not in self.cache]
+            new = [r for r in distinct if r not in self.cache]
             if len(self.cache) + len(new) > CACHE_RUNS:
-                self.cache.clear()
-                new = [r for r in distinct if len(r) <= CACHED_BYTES]
-            self.cache.update(zip(new, self._encode_new(new)))
-            found = self.cache if not long else _Both(self.cache, long)
+                self.cache, new = {}, list(distinct)
+            self.cache.update(self._of_runs([r for r in new if len(r) <= CACHED_BYTES]))
+            long = [r for r in new if len(r) > CACHED_BYTES]
+            rest = [r for r in long if len(r) <= LONG_RUN]
+            apart = dict(zip(rest, self._encode_new(rest))) | {r: self.tree(r) for r in long if len(r) > LONG_RUN}
+            found = _Both(self.cache, apart) if apart else self.cache
             for runs in part:
                 yield b"".join(map(found.__getitem__, runs))
 

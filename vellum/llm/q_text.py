@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import bpe, packing, quality, repeats, scratch, simhash, warc
+from vellum.llm import bpe, forest, licenses, packing, quality, repeats, scratch, simhash, token_counts, warc
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -51,3 +51,22 @@ def op6_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_suffix_array_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.removed(_table(spark, sf_dir, "documents"))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    store = token_counts.Rollup(spark, f"{scratch.shared_dir(spark)}/rollup")
+    path = tokenizer_path("byte_bpe_50k.tiktoken")
+    docs = token_counts.counted(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, "byte_bpe_50k-1")
+    store.commit("load", upserts=docs)
+    store.commit("load", upserts=docs)  # committed before: changes nothing
+    return store.totals()
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
+def op7_hash_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.nearest(_table(spark, sf_dir, "embeddings"))

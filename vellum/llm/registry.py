@@ -16,7 +16,10 @@ def queries() -> dict[str, Query]:
         "op1_quality_rules": q_text.op1_quality_rules,
         "op2_suffix_array_repeats": q_text.op2_suffix_array_repeats,
         "op3_warc_round_trip": q_text.op3_warc_round_trip,
+        "op4_token_counts": q_text.op4_token_counts,
+        "op5_license_scan": q_text.op5_license_scan,
         "op6_simhash_near_duplicates": q_text.op6_simhash_near_duplicates,
+        "op7_hash_prefix_forest": q_text.op7_hash_prefix_forest,
         "op9_bpe_round_trip": q_text.op9_bpe_round_trip,
         "op10_best_fit_packing": q_text.op10_best_fit_packing,
     }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vellum.llm import quality
+from vellum.llm import licenses, quality
 
 _STOPS = ", ".join(f"'{w}'" for w in sorted({w for ws in quality.STOP_WORDS.values() for w in ws.split()}))
 
@@ -51,7 +51,28 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM f
 """
 
+
+
+def _canonical(text: str) -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    out = f"translate(coalesce({text}, ''), '{licenses.UPPER}', '{licenses.LOWER}')"
+    for old, new in licenses.SPELLINGS:
+        out = f"replace({out}, {quoted(old)}, {quoted(new)})"
+    out = f"regexp_replace({out}, {quoted(licenses.COPYRIGHT_LINE)}, chr(10), 'g')"
+    return f"trim(regexp_replace({out}, {quoted(licenses.NO_TEXT)}, ' ', 'g'))"
+
+
+_KNOWN = ", ".join("('{}', '{}')".format(k, t.replace("'", "''")) for k, t in sorted(licenses.LICENCES.items()))
+OP5 = f"""
+WITH known AS (
+  SELECT sha256(form) AS s, min(license_id) AS license_id
+  FROM (SELECT license_id, {_canonical("t")} AS form FROM (VALUES {_KNOWN}) v(license_id, t)) WHERE form <> '' GROUP BY 1),
+docs AS (SELECT doc_id, sha256({_canonical("text")}) AS canonical_sha256 FROM documents)
+SELECT doc_id, canonical_sha256, license_id FROM docs LEFT JOIN known ON canonical_sha256 = s
+"""
+
 ORACLE = {
+    "op5_license_scan": OP5,
     "op3_warc_round_trip": OP3,
     "op1_quality_rules": OP1,
 }

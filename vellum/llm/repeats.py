@@ -306,8 +306,10 @@ class SuffixArray:
         first = self.order == self.begins[self.owner[self.order]]
         return np.where(first, 256 + self.order, self.text[np.maximum(self.order - 1, 0)])
 
-    def maximal_repeats(self) -> Iterator[tuple[int, np.ndarray]]:
-        """(length, starts of all occurrences) of each repeat that no byte extends on either side.
+    def maximal_repeats(self) -> Iterator[tuple[int, int, int]]:
+        """(length, first, end) of each repeat that no byte extends on either side.
+
+        Its occurrences are all suffixes in ``order[first:end]``. Inner intervals come first.
 
         The scan keeps a stack of open intervals (common prefix, first suffix,
         the byte before all of its suffixes or None if they differ).
@@ -329,47 +331,80 @@ class SuffixArray:
                     closed, begin, own = stack.pop()
                     byte = own if own == byte else None
                     if byte is None:
-                        yield closed, self.order[lo + begin : lo + k + 1]
+                        yield closed, lo + begin, lo + k + 1
                 if stack and stack[-1][0] == length:
                     stack[-1][2] = byte if byte == stack[-1][2] else None
                 elif length:
                     stack.append([length, begin, byte])
 
 
-OCCURRENCES = "repeat long, length int, doc_id long, place long, first boolean"
-
-
-def _occurrences(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-    """All occurrences of the maximal repeats of some runs' bytes (doc_id, place, bytes)."""
+def _placed(rows: list[tuple[int, int, bytes]]) -> tuple[SuffixArray, np.ndarray, np.ndarray]:
+    """The suffix array of some runs' bytes (doc_id, place, bytes) and each byte's document and place."""
     array = SuffixArray([r[2] for r in rows])
     doc = np.array([r[0] for r in rows], np.int64)[array.owner]
     place = np.array([r[1] for r in rows], np.int64)[array.owner] + np.arange(len(array.text)) - array.begins[array.owner]
-    ids, lengths, starts, firsts = [], [], [], []
-    for length, at in array.maximal_repeats():
-        first = np.lexsort((place[at], doc[at]))[0]
-        mark = zlib.crc32(array.text[at[0] : at[0] + length].tobytes())
-        starts.append(at)
-        lengths.append(np.full(len(at), length, np.int32))
-        ids.append(np.full(len(at), mark << 16 | length, np.int64))
-        firsts.append(np.arange(len(at)) == first)
-    if not starts:
-        return _batch([], OCCURRENCES)
-    at = np.concatenate(starts)
-    columns = [np.concatenate(ids), np.concatenate(lengths), doc[at], place[at], np.concatenate(firsts)]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["repeat", "length", "doc_id", "place", "first"])
+    return array, doc, place
 
 
-def maximal_repeats(found: DataFrame) -> DataFrame:
-    """The occurrences of all maximal repeats among runs with bytes; one anchor's runs meet in one place."""
-    dealt = found.select("anchor", "doc_id", "place", "bytes").repartition("anchor").sortWithinPartitions("anchor", "doc_id", "place")
+OCCURRENCES = "repeat long, length int, doc_id long, place long"
+
+
+def _occurrences(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    """All occurrences of the maximal repeats."""
+    array, doc, place = _placed(rows)
+    out = []
+    for length, first, end in array.maximal_repeats():
+        at = array.order[first:end]
+        mark = zlib.crc32(array.text[at[0] : at[0] + length].tobytes()) << 16 | length
+        out += [(mark, length, d, p) for d, p in zip(doc[at].tolist(), place[at].tolist())]
+    return _batch(out, OCCURRENCES)
+
+
+SPANS = "doc_id long, place long, length int"
+
+
+def _later(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    """Spans that the maximal repeats cover in another occurrence than their first.
+
+    An occurrence that is not a repeat's first needs no look at the outer
+    repeats that hold it too: they are shorter. So each repeat hands on its first alone.
+    """
+    array, doc, place = _placed(rows)
+    age = np.empty(len(array.order), np.int64)
+    age[np.lexsort((place[array.order], doc[array.order]))] = np.arange(len(array.order))
+    open_ = np.ones(len(array.order), bool)
+    edges = np.zeros(len(array.text) + 1, np.int32)
+    for length, first, end in array.maximal_repeats():
+        at = first + np.flatnonzero(open_[first:end])
+        if len(at) < 2:
+            continue
+        keep_one = at[age[at].argmin()]
+        open_[at] = False
+        open_[keep_one] = True
+        starts = array.order[at[at != keep_one]]
+        edges[starts] += 1  # starts differ within a repeat, and so do ends
+        edges[starts + length] -= 1
+    covered = np.concatenate([[False], np.cumsum(edges[:-1]) > 0, [False]])
+    begins = np.zeros(len(covered), bool)
+    begins[1 + array.begins] = True  # spans end where their string ends
+    on = np.flatnonzero(covered & (~np.roll(covered, 1) | begins))
+    off = np.flatnonzero(~covered & np.roll(covered, 1) | covered & begins & np.roll(covered, 1))
+    on, off = on - 1, off - 1
+    columns = [doc[on], place[on], (off - on).astype(np.int32)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc_id", "place", "length"])
+
+
+def _by_anchor(found: DataFrame, made, schema: str) -> DataFrame:
+    """``made`` of the runs of some anchors at a time; one anchor's runs meet in one place."""
+    columns = ["anchor", "doc_id", "place", "bytes"]
+    dealt = found.select(columns).repartition("anchor").sortWithinPartitions("anchor", "doc_id", "place")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, last = [], 0, None
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("anchor", "doc_id", "place", "bytes")]
-            for anchor, *row in zip(*columns):
+            for anchor, *row in zip(*(batch.column(c).to_pylist() for c in columns)):
                 if size > SORTED_AT_ONCE and anchor != last:
-                    yield _occurrences(held)
+                    yield made(held)
                     held, size = [], 0
                 if anchor == last and held and row[:2] == held[-1][:2]:
                     continue  # a repeated row of the table
@@ -377,9 +412,19 @@ def maximal_repeats(found: DataFrame) -> DataFrame:
                 size += len(row[2])
                 last = anchor
         if held:
-            yield _occurrences(held)
+            yield made(held)
+
+    return dealt.mapInArrow(run, schema)
+
+
+def maximal_repeats(found: DataFrame) -> DataFrame:
+    """repeat, length, doc_id, place: all occurrences of all maximal repeats among runs with bytes."""
+    return _by_anchor(found, _occurrences, OCCURRENCES)
+
 
-    return dealt.mapInArrow(run, OCCURRENCES)
+def later_occurrences(found: DataFrame) -> DataFrame:
+    """The spans to remove among runs with bytes."""
+    return _by_anchor(found, _later, SPANS)
 
 
 def whole_strings(found: DataFrame) -> DataFrame:
@@ -424,10 +469,9 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     crowded = several.groupBy("anchor").count().filter(F.col("count") > MOST_RUNS).select("anchor")
     marked = several.join(crowded.withColumn("crowded", F.lit(True)), "anchor", "left")
     texts = keep(run_bytes(named, marked), "run_bytes")
-    repeats = maximal_repeats(texts.filter("crowded IS NULL"))
     span = (F.col("n") + LEAST - 1).alias("length")
     spans = [
-        keep(repeats.filter("NOT first").select("doc_id", "place", "length"), "repeats"),
+        keep(later_occurrences(texts.filter("crowded IS NULL")), "repeats"),
         keep(whole_strings(texts.filter("crowded")), "strings"),
         done.filter("kind = 'copy'").select("doc_id", "place", span),
         rows.filter("kind = 'copy'").select("doc_id", "place", span),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import bpe, forest, licenses, packing, quality, repeats, scratch, simhash, token_counts, warc
+from vellum.llm import bpe, forest, licenses, mixing, packing, quality, repeats, scratch, simhash, token_counts, warc
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -70,3 +70,7 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_hash_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.nearest(_table(spark, sf_dir, "embeddings"))
+
+
+def op8_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.scored(_table(spark, sf_dir, "documents"))

@@ -20,6 +20,7 @@ def queries() -> dict[str, Query]:
         "op5_license_scan": q_text.op5_license_scan,
         "op6_simhash_near_duplicates": q_text.op6_simhash_near_duplicates,
         "op7_hash_prefix_forest": q_text.op7_hash_prefix_forest,
+        "op8_context_mixing": q_text.op8_context_mixing,
         "op9_bpe_round_trip": q_text.op9_bpe_round_trip,
         "op10_best_fit_packing": q_text.op10_best_fit_packing,
     }

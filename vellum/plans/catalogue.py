@@ -10,9 +10,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.plans import flagship
+from vellum.plans import corpus, flagship, ledger, relations
 
-MODULES = [flagship]
+MODULES = [flagship, corpus, ledger, relations]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

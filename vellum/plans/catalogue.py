@@ -10,9 +10,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.plans import corpus, flagship, ledger, papers, relations
+from vellum.plans import corpus, evaluation, flagship, ledger, papers, relations
 
-MODULES = [flagship, corpus, ledger, relations, papers]
+MODULES = [flagship, corpus, ledger, relations, papers, evaluation]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -6,6 +6,9 @@ import os
 import duckdb
 import pytest
 
+from pyspark.sql import functions as F
+
+from vellum.functions import gates, text
 from vellum.operators import dedup, linkage, retrieval, store
 from vellum.plans import catalogue, flagship
 from vellum.sources.session import ensure_checkpoint_dir
@@ -83,3 +86,11 @@ def test_contained_short_items(spark):
     items = spark.createDataFrame([(1, "one two"), (2, "a b c d e f g h"), (3, "zz")], "i long, it string")
     docs = spark.createDataFrame([(7, "see one two and a b c d e f g h."), (8, "a b c d e f g")], "d long, dt string")
     assert {(r.i, r.d) for r in linkage.contained(items, docs, "it", "dt").collect()} == {(1, 7), (2, 7)}
+
+
+def test_path_rules(spark):
+    names = ["plain_name", "CON", "x" * 120, "a:b", " lead", "run_20240101123", "long/" * 60]
+    got = {r.name: r.p for r in spark.createDataFrame([(n,) for n in names], "name string").select("name", gates.path_problems(F.col("name"), F.col("name"), text.file_name(F.col("name"))).alias("p")).collect()}
+    assert got["plain_name"] == [] and "windows_reserved_name" in got["CON"] and got["x" * 120] == ["stem_too_long"]
+    assert got["a:b"] == ["illegal_or_non_normalized_chars"] and "trailing_space_or_dot" in got[" lead"]
+    assert "timestamp_suffix_chain" in got["run_20240101123"] and "full_path_too_long" in got["long/" * 60]

@@ -12,9 +12,8 @@ bits in which its members can differ instead of pair by pair.
 
 For a similarity bound instead of a bit bound (:func:`similar_links`) the
 fingerprint is wider and no minimum is certain: lists are kept for a number of
-fixed choices of positions, each entry is held against its list's first and the
-entry before it, and pairs are verified by the similarity that their differing
-bits imply.
+fixed choices of positions, each entry is held against its list's first, and
+pairs are verified by the similarity that their differing bits imply.
 
 Defined cases: null and empty texts have the zero fingerprint and are linked
 like any other; a text with fewer words than a shingle is one shingle; ties of
@@ -249,22 +248,18 @@ def similar_links(classes: DataFrame, similarity: float) -> DataFrame:
     ordered = lists.repartition("key").sortWithinPartitions("key", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, first, last = None, 0, 0
+        key, first = None, 0
         for batch in batches:
             keys, ids = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(2))
             if not len(keys):
                 continue
             new = np.concatenate([[keys[0] != key], keys[1:] != keys[:-1]])
-            start = np.where(new, np.arange(len(keys)), -1)
-            start = np.maximum.accumulate(start)
+            start = np.maximum.accumulate(np.where(new, np.arange(len(keys)), -1))
             head = np.where(start >= 0, ids[np.maximum(start, 0)], first)
-            before = np.concatenate([[last], ids[:-1]])
-            at = ~new
-            u = np.concatenate([ids[at], ids[at]])
-            v = np.concatenate([head[at], before[at]])
-            pair = np.unique(np.stack([u[u != v], v[u != v]]), axis=1)
+            at = ~new & (ids != head)
+            pair = np.unique(np.stack([ids[at], head[at]]), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["u", "v"])
-            key, first, last = keys[-1], head[-1], ids[-1]
+            key, first = keys[-1], head[-1]
 
     pairs = ordered.mapInArrow(run, "u long, v long").distinct()
     a = classes.select(F.col("id").alias("u"), F.col("fp").alias("fu"))

@@ -97,3 +97,24 @@ def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, component_id int")
     assert simhash.near_duplicates(docs).count() == 0
     assert simhash.one_of_each(docs).count() == 0
+
+
+def templated(families, own, pairs, words=150, seed=5):
+    """``families`` texts of one template with ``own`` words of their own, and ``pairs`` planted ones, each with a second text that has two words changed."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    template = [word() for _ in range(words - own)]
+    texts = [template + [word() for _ in range(own)] for _ in range(families + pairs)]
+    for a in texts[families : families + pairs]:
+        b = list(a)
+        b[-1] = b[-own] = word()
+        texts.append(b)
+    return [(k, " ".join(t)) for k, t in enumerate(texts)]
+
+
+def test_pairs_among_a_template(spark):
+    """Pairs of similarity above 0.8 are all found among thousands of texts that share a template (0.6 alike)."""
+    n, pairs = 2000, 100
+    docs = spark.createDataFrame(templated(n, 36, pairs), "doc_id long, text string")
+    group = {r.doc_id: r.component_id for r in simhash.similar_groups(docs).collect()}
+    assert group == {k: k for k in range(n + pairs)} | {n + pairs + k: n + k for k in range(pairs)}

@@ -10,10 +10,14 @@ the pair is verified bit by bit. Equal fingerprints are one entry, so a list
 holds at most ``256 ** d`` entries; a long list is searched by flipping the few
 bits in which its members can differ instead of pair by pair.
 
-For a similarity bound instead of a bit bound (:func:`similar_links`) the
-fingerprint is wider and no minimum is certain: lists are kept for a number of
-fixed choices of positions, each entry is held against its list's first, and
-pairs are verified by the similarity that their differing bits imply.
+For a similarity bound instead of a bit bound (:func:`similar_links`) the sets
+of shingles themselves are joined, and no pair is lost: shingles have one
+order, the rarer first as far as a sample tells, and two sets of a Jaccard
+similarity must share one of their first few. Lists are kept by these; a pair
+stays a candidate if the places of the shared shingle leave room for enough
+common ones. Long lists are held against their head first; then all their pairs
+that are not linked yet are tried, block by block, against a sketch that never
+overstates how much two sets differ. Each candidate is verified on its shingles.
 
 Defined cases: null and empty texts have the zero fingerprint and are linked
 like any other; a text with fewer words than a shingle is one shingle; ties of
@@ -24,13 +28,12 @@ gives an empty table; other columns of the input are not read.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -212,72 +215,219 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 2, id_col: str
 # -- a bound on similarity
 
 
-WIDTH = 8
-LISTS = 112
-TERMS = 3
+SHORT = 32
+SAMPLE = 1 << 16
+COMMON = 1 << 18
+SKETCH = 16
+EDGE = 1e-9  # rounding must not lose a pair
 
 
-def most_bits(similarity: float, width: int = WIDTH) -> int:
-    """Differing bits that shingle sets of this Jaccard similarity imply on average."""
-    cosine = 2 * similarity / (1 + similarity)
-    return round(64 * width * math.acos(cosine) / math.pi)
+def shingle_sets(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, ``hashes`` (the text's distinct shingles, ascending) and ``id``, a hash of them all."""
+    named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    id_type = named.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t.as_py(), words)) for t in batch.column("text")]
+            ids = np.array([xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
+            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            flat = np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64)
+            hashes = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids), hashes], names=["doc_id", "id", "hashes"])
+
+    return named.mapInArrow(run, f"doc_id {id_type}, id long, hashes array<long>")
+
+
+def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, sizes and all hashes of a batch of sets."""
+    hashes = batch.column("hashes")
+    sizes = hashes.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    return batch.column("id").to_numpy(zero_copy_only=False), sizes, hashes.flatten().to_numpy(zero_copy_only=False)
 
 
-def _positions() -> list[tuple[int, ...]]:
-    """The choices of byte positions of the lists, spread evenly."""
-    rng = np.random.default_rng(SEED)
-    return [tuple(int(p) for p in rng.choice(8 * WIDTH, TERMS, replace=False)) for _ in range(LISTS)]
+def common_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles of a sample of the sets, ascending, and their counts; only the order of shingles hangs on them."""
+    one_in = max(1, sets.count() // SAMPLE)
+    sample = sets.filter(F.pmod("id", F.lit(one_in)) == 0).select("id", "hashes").dropDuplicates(["id"])
+    counted = sample.select(F.explode("hashes").alias("h")).groupBy("h").agg(F.count("*").alias("n")).filter("n > 2")
+    top = counted.orderBy(F.desc("n"), "h").limit(COMMON).toArrow()
+    h, n = (top.column(k).to_numpy() for k in range(2))
+    order = np.argsort(h)
+    return h[order], n[order]
 
 
-def similar_links(classes: DataFrame, similarity: float) -> DataFrame:
-    """Links (u, v) between ids of ``classes`` (id, fp) whose fingerprints imply the similarity."""
-    choices = _positions()
+def prefix_lists(sets: DataFrame, similarity: float) -> DataFrame:
+    """key, id, size and place of the rarest shingles of each set, so many that two similar sets must share one."""
+    common, counts = common_shingles(sets)
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("id").to_numpy(zero_copy_only=False)
-            flat = batch.column("fp").flatten().to_numpy(zero_copy_only=False)
-            octets = flat.view(np.uint8).reshape(-1, 8 * WIDTH).astype(np.int64)
-            for c, places in enumerate(choices):
-                key = np.full(len(ids), c, np.int64)
-                for p in places:
-                    key = key * 256 + octets[:, p]
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids)], names=["key", "id"])
-
-    lists = classes.select("id", "fp").mapInArrow(spread, "key long, id long")
+            ids, sizes, flat = _flat(batch)
+            owner = np.repeat(np.arange(len(ids)), sizes)
+            at = np.searchsorted(common, flat)
+            rank = np.zeros(len(flat), np.int64)
+            if len(common):
+                at = np.minimum(at, len(common) - 1)
+                rank = np.where(common[at] == flat, counts[at], 0)
+            order = np.lexsort((flat, rank, owner))
+            place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            least = np.ceil(similarity * sizes - EDGE).astype(np.int64)
+            kept = place < (sizes - least + 1)[owner]
+            own = owner[kept]
+            columns = [flat[order][kept], ids[own], sizes[own].astype(np.int32), place[kept].astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "id", "size", "place"])
+
+    return sets.select("id", "hashes").mapInArrow(run, "key long, id long, size int, place int")
+
+
+def _enough(size_a, size_b, similarity: float) -> np.ndarray:
+    """Shared shingles that sets of these sizes need at least."""
+    return np.ceil(similarity / (1 + similarity) * (size_a + size_b) - EDGE)
+
+
+def _possible(size_a, place_a, size_b, place_b, similarity: float) -> np.ndarray:
+    """Whether sets whose first common shingle has these places can be similar."""
+    return np.minimum(size_a - place_a, size_b - place_b) >= _enough(size_a, size_b, similarity)
+
+
+def _whole_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of whole lists from rows in the order of their key, the first column."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        held = table if held is None else pa.concat_tables([held, table])
+        keys = batch.column(0)
+        if keys[0].as_py() == keys[-1].as_py() == held.column(0)[0].as_py():
+            continue
+        keys = held.column(0).to_numpy()
+        cut = int(np.searchsorted(keys, keys[-1]))
+        yield held.slice(0, cut)
+        held = held.slice(cut)
+    if held is not None:
+        yield held
+
+
+def _pair_rows(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distinct pairs, the smaller id first."""
+    return np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+
+
+def first_pairs(lists: DataFrame, similarity: float) -> DataFrame:
+    """All possible pairs of short lists, each entry of a long list with its head, and the long lists' entries (``long``)."""
     ordered = lists.repartition("key").sortWithinPartitions("key", "id")
+    names = ["long", "u", "v", "size", "place"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_lists(batches):
+            key, ids, size, place = (c.to_numpy() for c in table.columns)
+            fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])])  # copies are one entry
+            key, ids, size, place = key[fresh], ids[fresh], size[fresh].astype(np.int64), place[fresh].astype(np.int64)
+            head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            n = np.diff(np.concatenate([head, [len(key)]]))
+            end, count, first = np.repeat(head + n, n), np.repeat(n, n), np.repeat(head, n)
+            found = [(np.flatnonzero(count > SHORT), first[count > SHORT])]
+            short = np.flatnonzero((count > 1) & (count <= SHORT))
+            for step in range(1, int(count[short].max(initial=1))):
+                i = short[short + step < end[short]]
+                found.append((i, i + step))
+            i, j = (np.concatenate(x) for x in zip(*found))
+            good = (i != j) & _possible(size[i], place[i], size[j], place[j], similarity)
+            u, v = _pair_rows(ids[i[good]], ids[j[good]])
+            none = np.zeros(len(u), np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (none != 0, u, v, none, none)], names=names)
+            far = count > SHORT
+            columns = (np.ones(int(far.sum()), bool), key[far], ids[far], size[far].astype(np.int32), place[far].astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+
+    return ordered.mapInArrow(run, "long boolean, u long, v long, size int, place int")
+
+
+def sketches(sets: DataFrame) -> DataFrame:
+    """id and ``sketch``: for each of ``64 * SKETCH`` slots whether an odd number of the set's shingles falls into it.
+
+    Two sets differ in at least as many shingles as their sketches do in bits.
+    """
+    slots = 64 * SKETCH
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, first = None, 0
         for batch in batches:
-            keys, ids = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(2))
-            if not len(keys):
-                continue
-            new = np.concatenate([[keys[0] != key], keys[1:] != keys[:-1]])
-            start = np.maximum.accumulate(np.where(new, np.arange(len(keys)), -1))
-            head = np.where(start >= 0, ids[np.maximum(start, 0)], first)
-            at = ~new & (ids != head)
-            pair = np.unique(np.stack([ids[at], head[at]]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["u", "v"])
-            key, first = keys[-1], head[-1]
+            ids, sizes, flat = _flat(batch)
+            slot = np.repeat(np.arange(len(ids)), sizes) * slots + (flat & (slots - 1))
+            odd = np.bincount(slot, minlength=len(ids) * slots) & 1
+            bits = np.packbits(odd.astype(np.uint8), bitorder="little").reshape(len(ids), -1)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([r.tobytes() for r in bits], pa.binary())], names=["id", "sketch"])
 
-    pairs = ordered.mapInArrow(run, "u long, v long").distinct()
-    a = classes.select(F.col("id").alias("u"), F.col("fp").alias("fu"))
-    b = classes.select(F.col("id").alias("v"), F.col("fp").alias("fv"))
-    return pairs.join(a, "u").join(b, "v").filter(_differing(F.col("fu"), F.col("fv")) <= most_bits(similarity)).select("u", "v")
+    return sets.select("id", "hashes").mapInArrow(run, "id long, sketch binary")
 
 
-def _differing(a: Column, b: Column) -> Column:
-    return sum((F.bit_count(a[k].bitwiseXOR(b[k])) for k in range(WIDTH)), F.lit(0))
+def _across(ids, size, place, label, sketch, similarity: float, rows: int = 64) -> Iterator[np.ndarray]:
+    """The pairs of one list with different labels that can be similar, by blocks of rows."""
+    for at in range(0, len(ids), rows):
+        i, j = np.nonzero(label[at : at + rows, None] != label[None, at:])
+        i, j = i + at, j + at
+        good = (i < j) & _possible(size[i], place[i], size[j], place[j], similarity)
+        i, j = i[good], j[good]
+        for part in range(0, len(i), 1 << 17):
+            a, b = i[part : part + (1 << 17)], j[part : part + (1 << 17)]
+            differ = np.bitwise_count(sketch[a] ^ sketch[b]).sum(1, dtype=np.int64)
+            good = differ <= size[a] + size[b] - 2 * _enough(size[a], size[b], similarity)
+            yield _pair_rows(ids[a[good]], ids[b[good]])
+
+
+def other_pairs(entries: DataFrame, similarity: float) -> DataFrame:
+    """The possible pairs of the long lists (key, id, size, place, label, sketch) whose labels differ."""
+    ordered = entries.select("key", "id", "size", "place", "label", "sketch").repartition("key").sortWithinPartitions("key", "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_lists(batches):
+            key, ids, size, place, label = (table.column(k).to_numpy() for k in range(5))
+            size, place = size.astype(np.int64), place.astype(np.int64)
+            head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])).tolist()
+            for a, b in zip(head, [*head[1:], len(key)]):
+                if (label[a:b] == label[a]).all():
+                    continue
+                rows = b"".join(table.column("sketch").slice(a, b - a).to_pylist())
+                sketch = np.frombuffer(rows, np.uint64).reshape(b - a, -1)
+                for u, v in _across(ids[a:b], size[a:b], place[a:b], label[a:b], sketch, similarity):
+                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    return ordered.mapInArrow(run, "u long, v long")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) whose sets have the similarity, counted on the shingles themselves."""
+    pairs = keep(pairs.select("u", "v").distinct(), "pairs")
+    wanted = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
+    held = sets.select("id", "hashes").join(wanted, "id", "left_semi").groupBy("id").agg(F.first("hashes").alias("h"))
+    held = keep(held, "held")
+    a = held.select(F.col("id").alias("u"), F.col("h").alias("hu"))
+    b = held.select(F.col("id").alias("v"), F.col("h").alias("hv"))
+    both = F.size(F.array_intersect("hu", "hv"))
+    similar = both + EDGE >= F.lit(similarity) * (F.size("hu") + F.size("hv") - both)
+    return keep(pairs.join(a, "u").join(b, "v").filter(similar).select("u", "v"), "verified")
+
+
+def similar_links(sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (u, v) between ids of ``sets`` (id, hashes) whose components are those of all similar pairs."""
+    found = keep(first_pairs(prefix_lists(sets, similarity), similarity), "lists")
+    link = verified(found.filter("NOT long"), sets, similarity)
+    entries = found.filter("long").selectExpr("u AS key", "v AS id", "size", "place")
+    if entries.isEmpty():
+        return link
+    drawn = sketches(sets.join(entries.select("id").distinct(), "id", "left_semi")).dropDuplicates(["id"])
+    labels = drawn.join(roots(link).select(F.col("node").alias("id"), "root"), "id", "left")
+    labels = keep(labels.select("id", "sketch", F.coalesce("root", "id").alias("label")), "labels")
+    return link.union(verified(other_pairs(entries.join(labels, "id"), similarity), sets, similarity))
 
 
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and component_id under a bound on similarity; equal fingerprints are one class."""
-    prints = keep(fingerprints(docs, words, WIDTH, id_col, text_col), "wide_prints")
-    print_class = F.xxhash64("fp")
-    classes = keep(prints.groupBy(print_class.alias("id")).agg(F.first("fp").alias("fp")), "wide_classes")
-    link = similar_links(classes, similarity)
-    return grouped(prints.select("doc_id", print_class.alias("fp")), link).select("doc_id", "component_id")
+    """doc_id and component_id under a bound on the Jaccard similarity of the shingle sets; equal sets are one class."""
+    sets = keep(shingle_sets(docs, words, id_col, text_col), "sets")
+    link = similar_links(sets, similarity)
+    return grouped(sets.select("doc_id", F.col("id").alias("fp")), link).select("doc_id", "component_id")
 
 
 def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -118,3 +118,16 @@ def test_pairs_among_a_template(spark):
     docs = spark.createDataFrame(templated(n, 36, pairs), "doc_id long, text string")
     group = {r.doc_id: r.component_id for r in simhash.similar_groups(docs).collect()}
     assert group == {k: k for k in range(n + pairs)} | {n + pairs + k: n + k for k in range(pairs)}
+
+
+@pytest.mark.parametrize("own", [19, 12])
+def test_groups_against_brute_force(spark, own):
+    """One family whose pairs lie below the bound, or on both sides of it."""
+    rng = random.Random(own)
+    docs = templated(300, own, 0)
+    docs = [(k, t if own == 19 else " ".join(t.split()[rng.randrange(20) :])) for k, t in docs]
+    sets = {k: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for k, t in docs}
+    want = brute_groups(sorted(sets), lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))
+    got = simhash.similar_groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+    assert own != 19 or len(set(want.values())) == 300

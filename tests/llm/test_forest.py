@@ -1,6 +1,8 @@
 """The forest against brute force."""
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
 from vellum.llm import forest
 
@@ -52,5 +54,34 @@ def test_copies_ties_and_bad_rows(spark):
     assert got == want
 
 
+def recalled(v, k=10):
+    """Share of the true neighbours that one block finds, and the fewest rows of a query."""
+    table = pa.table({"vec_id": pa.array(range(len(v)), pa.int64()), "vector": pa.array(v.tolist(), pa.list_(pa.float64()))})
+    got = {}
+    for r in forest.search_block(table, table, k).to_pylist():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = 0
+    for q in range(len(v)):
+        d = np.sqrt(((v - v[q]) ** 2).sum(axis=1))
+        d[q] = np.inf
+        hits += len(got[q] & set(np.argsort(d, kind="stable")[:k].tolist()))
+    return hits / (k * len(v)), min(map(len, got.values()))
+
+
+@pytest.mark.parametrize("n", [120, 300, 500, 900])
+def test_recall_of_small_blocks(n):
+    share, fewest = recalled(np.random.default_rng(n).standard_normal((n, 64)))
+    assert share >= 0.9 and fewest == 10
+
+
+@pytest.mark.parametrize("n", [540, 1026])
+def test_recall_in_tight_groups(n):
+    """Groups of nine: a query needs neighbours from beyond its group."""
+    rng = np.random.default_rng(2)
+    v = np.repeat(rng.standard_normal((n // 9, 64)), 9, axis=0)
+    share, fewest = recalled(v + 0.01 * rng.standard_normal(v.shape))
+    assert share >= 0.9 and fewest == 10
+
+
 def test_empty(spark):
     assert forest.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0

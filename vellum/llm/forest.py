@@ -4,9 +4,9 @@ Rows are dealt into blocks of bounded size, queries into blocks of their own,
 and each pair of blocks is searched apart. In a block every tree is a sorted
 array of long bit strings, the sides of random hyperplanes through the block's
 middle. A query descends each tree to its longest matching prefix; then all
-trees ascend together, one bit at a time, until the matches of all trees make
-up ``SHARE`` of the block, which keeps recall alike at every size. Candidates
-are ranked by their exact distance, and the blocks' bests are merged.
+trees ascend together, one bit at a time, until the distinct matches that differ
+from the query make up ``SHARE`` of the block, and all of a block of up to
+``SMALL``. Candidates are ranked by their exact distance, and the blocks' bests are merged.
 
 Equal vectors are one entry of a block's forest, so many copies of a vector
 crowd nobody out; of each entry the smallest ids are passed on, as many as a
@@ -31,6 +31,7 @@ TREES = 64
 BITS = 24
 SHARE = 0.6
 BLOCK = 2048
+SMALL = 512
 SEED = 7
 
 
@@ -76,14 +77,18 @@ class Forest:
         return low, high
 
     def candidates(self, queries: np.ndarray, least: int):
-        """For each query the places of its candidates, at least ``least`` matches counted over all trees."""
+        """For each query the places of its candidates: ``least`` distinct ones at least that differ from it, or all."""
         low, high = self.ranges(queries)
         total = (high - low).sum(axis=2)
-        length = np.maximum((total >= least).sum(axis=0) - 1, 0)  # the longest that is enough
+        length = np.maximum((total >= least).sum(axis=0) - 1, 0)  # repeats count here, so no longer one can be enough
         for q in range(len(queries)):
-            seen = np.zeros(len(self.vectors), bool)
-            for t, (a, b) in enumerate(zip(low[length[q], q].tolist(), high[length[q], q].tolist())):
-                seen[self.order[a:b, t]] = True
+            seen = (self.vectors == queries[q]).all(axis=1)
+            wanted = least + int(seen.sum())
+            for n in range(length[q], -1, -1):
+                for t, (a, b) in enumerate(zip(low[n, q].tolist(), high[n, q].tolist())):
+                    seen[self.order[a:b, t]] = True
+                if seen.sum() >= wanted:
+                    break
             yield np.flatnonzero(seen)
 
 
@@ -107,7 +112,7 @@ def search_block(rows: pa.Table, queries: pa.Table, k: int) -> pa.Table:
     forest = Forest(distinct)
     wanted, query_ids = _vectors(queries), queries.column("vec_id").to_numpy()
     out = []
-    for q, found in enumerate(forest.candidates(wanted, max(8 * k, int(SHARE * len(distinct))))):
+    for q, found in enumerate(forest.candidates(wanted, len(distinct) if len(distinct) <= SMALL else max(k + 1, int(SHARE * len(distinct))))):
         score = np.sqrt(((distinct[found] - wanted[q]) ** 2).sum(axis=1))
         near = found[np.argsort(score, kind="stable")]
         score = np.sort(score, kind="stable")

@@ -1,7 +1,8 @@
 """BPE encoding and decoding with a public word-end tokenizer.
 
 Text is cut at ASCII white space, across which this tokenizer never merges, so
-each distinct run of other characters is encoded once per worker and reused.
+each distinct run of other characters of a batch is encoded once, and words are
+remembered by the worker.
 A run without a cut that is longer than ``LONG_RUN`` bytes goes the long way:
 its pre-tokens are halved down to leaves, the leaves are encoded apart (as
 separate rows in :func:`encode`), and neighbours are concatenated in a tree,
@@ -20,11 +21,12 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -33,12 +35,28 @@ from vellum.llm.scratch import keep
 
 LONG_RUN = 4096
 LEAF = 1024
-CACHE_RUNS = 300_000
 CACHE_WORDS = 400_000
 CACHED_BYTES = 64
+CHARS_AT_ONCE = 1 << 24
+RUNS_AT_ONCE = 1 << 19
 
 #: Letters of Latin-1, then marks of ASCII: at most two pre-tokens, whatever the letters' case.
-_PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*)([!-/:-@\[-`{-~]*)")
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def _slices(texts: list[str | None]) -> Iterator[list[str]]:
+    """The texts in order, bounded in characters together; null is empty."""
+    part, size = [], 0
+    for t in texts:
+        t = t or ""
+        if part and size + len(t) > CHARS_AT_ONCE:
+            yield part
+            part, size = [], 0
+        part.append(t)
+        size += len(t)
+    if part:
+        yield part
 
 
 class WordBpe:
@@ -49,8 +67,8 @@ class WordBpe:
             config = json.load(f)
         config["truncation"] = config["padding"] = None
         self.tokenizer = Tokenizer.from_str(json.dumps(config))
-        self.cache: dict[bytes, bytes] = {}
-        self.words: dict[str, bytes] = {"": b""}
+        self.words: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.tokens = [(self.tokenizer.id_to_token(i) or "").encode() for i in range(size)]
         self.suffix = config["model"]["end_of_word_suffix"]
@@ -63,55 +81,83 @@ class WordBpe:
 
     # -- ordinary runs
 
-    def _encode_new(self, runs: list[bytes]) -> Iterator[bytes]:
-        texts = [r.decode() for r in runs]
-        for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+    def _encode_new(self, runs: list[str]) -> Iterator[bytes]:
+        for e in self.tokenizer.encode_batch_fast(runs, add_special_tokens=False):
             yield np.asarray(e.ids, dtype="<u4").tobytes()
 
-    def _learn_plain(self, words: list[str]) -> None:
-        """Encode lower-case words, each one pre-token, many to a call: a word ends with a token that ends words."""
-        for k in range(0, len(words), 4096):
-            part = words[k : k + 4096]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
+    def _learn(self, words: list[str]) -> None:
+        """Encode words that are one pre-token each, many to a call: a word ends with a token that ends words."""
+        for k in range(0, len(words), 512):
+            part = words[k : k + 512]
+            (e,) = self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)
+            ids = np.array(e.ids, dtype="<u4")
             ends = (np.flatnonzero(self.ends_word[ids]) + 1).tolist()
             raw = ids.tobytes()
-            self.words.update(zip(part, (raw[4 * a : 4 * b] for a, b in zip([0, *ends], ends))))
-
-    def _of_runs(self, runs: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of distinct runs. Most are letters and then marks, which are two pre-tokens at
-        most; those are encoded by word, so that capitals and marks cost nothing anew."""
-        plain, other = [], []
-        for run in runs:
-            m = _PLAIN.fullmatch(run.decode())
-            if m:
-                plain.append((run, m[1].lower(), m[2]))
-            else:
-                other.append(run)
-        wanted = {x for _, word, marks in plain for x in (word, marks)}
-        new = [x for x in wanted if x and x not in self.words]
-        if len(self.words) + len(new) > CACHE_WORDS:
-            self.words = {"": b""}
-            new = [x for x in wanted if x]
-        self._learn_plain(new)
-        found = {run: self.words[word] + self.words[marks] for run, word, marks in plain}
-        found.update(zip(other, self._encode_new(other)))
-        return found
+            self.words.update(zip(part, (raw[4 * a : 4 * b] for a, b in zip([0, *ends], ends)), strict=True))
+
+    def _known(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words; what two fillings of the cache have not used is forgotten."""
+        if len(self.words) > CACHE_WORDS:
+            self.before, self.words = self.words, {}
+        now, before = self.words, self.before
+        new = []
+        for w in words:
+            if w not in now:
+                if w in before:
+                    now[w] = before[w]
+                elif w:
+                    new.append(w)
+        self._learn(new)
+        return [now[w] if w else b"" for w in words]
+
+    def _of_runs(self, runs: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of distinct runs: the ids of all units, the units' starts and sizes, and each run's two units.
+
+        Most runs are letters and then marks, which are two pre-tokens at most; those are
+        encoded by word, so that capitals and marks cost nothing anew. Others are units of
+        their own, and long ones go the long way.
+        """
+        stem = pc.ascii_rtrim(runs, characters=_MARKS)
+        plain = pc.and_(pc.match_substring_regex(stem, f"^[{_LETTERS}]*$"), pc.less_equal(pc.binary_length(runs), CACHED_BYTES))
+        words = pc.utf8_lower(stem.filter(plain)).dictionary_encode()
+        marks = pc.replace_substring_regex(runs.filter(plain), f"^[{_LETTERS}]*", "").dictionary_encode()
+        other = runs.filter(pc.invert(plain)).to_pylist()
+        short = [r for r in other if len(r.encode()) <= LONG_RUN]
+        apart = dict(zip(short, self._encode_new(short), strict=True))
+        units = [b"", *self._known(words.dictionary.to_pylist()), *self._known(marks.dictionary.to_pylist())]
+        beyond = len(units)
+        units += [apart[r] if r in apart else self.tree(r.encode()) for r in other]
+        is_plain = plain.to_numpy(zero_copy_only=False)
+        first, second = np.zeros(len(runs), np.int64), np.zeros(len(runs), np.int64)
+        first[is_plain] = words.indices.to_numpy() + 1
+        second[is_plain] = marks.indices.to_numpy() + 1 + len(words.dictionary)
+        first[~is_plain] = np.arange(len(other)) + beyond
+        sizes = np.fromiter(map(len, units), np.int64, len(units)) // 4
+        return np.frombuffer(b"".join(units), "<u4"), np.cumsum(sizes) - sizes, sizes, first, second
 
     def ids_of_batch(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        for k in range(0, len(texts), 128):
-            part = [(t or "").encode().split() for t in texts[k : k + 128]]
-            distinct = set().union(*part)
-            new = [r for r in distinct if r not in self.cache]
-            if len(self.cache) + len(new) > CACHE_RUNS:
-                self.cache, new = {}, list(distinct)
-            self.cache.update(self._of_runs([r for r in new if len(r) <= CACHED_BYTES]))
-            long = [r for r in new if len(r) > CACHED_BYTES]
-            rest = [r for r in long if len(r) <= LONG_RUN]
-            apart = dict(zip(rest, self._encode_new(rest))) | {r: self.tree(r) for r in long if len(r) > LONG_RUN}
-            found = _Both(self.cache, apart) if apart else self.cache
-            for runs in part:
-                yield b"".join(map(found.__getitem__, runs))
+        for part in _slices(texts):
+            lists = pc.ascii_split_whitespace(pa.array(part, pa.large_string()))
+            bounds = lists.offsets.to_numpy()
+            runs = lists.flatten().dictionary_encode()
+            if not len(runs):
+                yield from (b"" for _ in part)
+                continue
+            ids, start, size, first, second = self._of_runs(runs.dictionary)
+            code = runs.indices.to_numpy()
+            ends = np.concatenate([[0], np.cumsum((size[first] + size[second])[code])])[bounds - bounds[0]]
+            at = 0
+            while at < len(part):  # as many texts at once as have RUNS_AT_ONCE runs, one at least
+                to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + RUNS_AT_ONCE, side="right")) - 1)
+                here = code[bounds[at] - bounds[0] : bounds[to] - bounds[0]]
+                unit = np.stack([first[here], second[here]], axis=1).ravel()
+                n = size[unit]
+                place = np.repeat(start[unit] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                raw = ids[place].tobytes()
+                for k in range(at, to):
+                    yield raw[4 * int(ends[k] - ends[at]) : 4 * int(ends[k + 1] - ends[at])]
+                at = to
 
     def decode(self, ids: bytes) -> bytes:
         """As the library decodes, special tokens included: tokens joined by a space."""
@@ -168,24 +214,13 @@ class WordBpe:
     def tree(self, run: bytes) -> bytes:
         """A long run within one task."""
         if any(m in run for m in self.marks):
-            return next(self._encode_new([run]))
+            return next(self._encode_new([run.decode()]))
         by_token: dict[int, list[np.ndarray]] = {}
         for n, piece, ends in self.leaves(run):
             by_token.setdefault(n, []).append(self.leaf(piece, ends))
         return b"".join(self.concatenate(parts).tobytes() for _, parts in sorted(by_token.items()))
 
 
-class _Both(dict):
-    """The short runs of the cache and the others of this batch as one mapping."""
-
-    def __init__(self, first: dict, second: dict):
-        super().__init__(second)
-        self.first = first
-
-    def __missing__(self, key):
-        return self.first[key]
-
-
 @lru_cache(maxsize=2)
 def word_bpe(path: str) -> WordBpe:
     """The tokenizer of this Python worker, whose cache lives from task to task."""

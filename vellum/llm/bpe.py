@@ -35,10 +35,10 @@ from vellum.llm.scratch import keep
 
 LONG_RUN = 4096
 LEAF = 1024
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 CACHED_BYTES = 64
-CHARS_AT_ONCE = 1 << 24
-RUNS_AT_ONCE = 1 << 19
+CHARS_AT_ONCE = 1 << 23
+RUNS_AT_ONCE = 1 << 18
 
 #: Letters of Latin-1, then marks of ASCII: at most two pre-tokens, whatever the letters' case.
 _LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"

@@ -33,6 +33,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
@@ -216,40 +217,41 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 2, id_col: str
 
 
 SHORT = 32
-SAMPLE = 1 << 16
+SAMPLE = 1 << 15
 COMMON = 1 << 18
 SKETCH = 16
 EDGE = 1e-9  # rounding must not lose a pair
 
 
-def shingle_sets(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, ``hashes`` (the text's distinct shingles, ascending) and ``id``, a hash of them all."""
-    named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    id_type = named.schema["doc_id"].dataType.simpleString()
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text and ``text_key``, by which texts are found again."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).withColumn("text_key", F.xxhash64("text"))
+
+
+def _set_id(hashes: np.ndarray) -> int:
+    return xxh64_intdigest(hashes.tobytes(), SEED)
+
+
+def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
+    """``id``, a hash of all distinct shingles of a text, and ``hashes``, the shingles, ascending."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [np.unique(shingle_hashes(t.as_py(), words)) for t in batch.column("text")]
-            ids = np.array([xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
+            ids = np.array([_set_id(s) for s in sets], np.uint64).view(np.int64)
             ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
             flat = np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64)
             hashes = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids), hashes], names=["doc_id", "id", "hashes"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), hashes], names=["id", "hashes"])
 
-    return named.mapInArrow(run, f"doc_id {id_type}, id long, hashes array<long>")
+    return texts.select("text").mapInArrow(run, "id long, hashes array<long>")
 
 
-def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids, sizes and all hashes of a batch of sets."""
-    hashes = batch.column("hashes")
-    sizes = hashes.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-    return batch.column("id").to_numpy(zero_copy_only=False), sizes, hashes.flatten().to_numpy(zero_copy_only=False)
-
-
-def common_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent shingles of a sample of the sets, ascending, and their counts; only the order of shingles hangs on them."""
-    one_in = max(1, sets.count() // SAMPLE)
-    sample = sets.filter(F.pmod("id", F.lit(one_in)) == 0).select("id", "hashes").dropDuplicates(["id"])
+def common_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles of a sample of the texts, ascending, and their counts; only the order of shingles hangs on them."""
+    one_in = max(1, texts.count() // SAMPLE)
+    sample = shingle_sets(texts.filter(F.pmod("text_key", F.lit(one_in)) == 0), words)
     counted = sample.select(F.explode("hashes").alias("h")).groupBy("h").agg(F.count("*").alias("n")).filter("n > 2")
     top = counted.orderBy(F.desc("n"), "h").limit(COMMON).toArrow()
     h, n = (top.column(k).to_numpy() for k in range(2))
@@ -257,28 +259,60 @@ def common_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return h[order], n[order]
 
 
-def prefix_lists(sets: DataFrame, similarity: float) -> DataFrame:
-    """key, id, size and place of the rarest shingles of each set, so many that two similar sets must share one."""
-    common, counts = common_shingles(sets)
+def marked(texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Of each row its number, ``id`` and size of its shingle set, and ``keys``: the set's rarest
+    shingles, the rarest first, so many that two similar sets must share one."""
+    common, counts = common_shingles(texts, words)
+    id_type = texts.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            ids, sizes, flat = _flat(batch)
-            owner = np.repeat(np.arange(len(ids)), sizes)
-            at = np.searchsorted(common, flat)
-            rank = np.zeros(len(flat), np.int64)
-            if len(common):
-                at = np.minimum(at, len(common) - 1)
-                rank = np.where(common[at] == flat, counts[at], 0)
-            order = np.lexsort((flat, rank, owner))
-            place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            least = np.ceil(similarity * sizes - EDGE).astype(np.int64)
-            kept = place < (sizes - least + 1)[owner]
-            own = owner[kept]
-            columns = [flat[order][kept], ids[own], sizes[own].astype(np.int32), place[kept].astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "id", "size", "place"])
-
-    return sets.select("id", "hashes").mapInArrow(run, "key long, id long, size int, place int")
+            ids, sizes, keys = [], [], []
+            for t in batch.column("text"):
+                own = np.unique(shingle_hashes(t.as_py(), words))
+                ids.append(_set_id(own))
+                sizes.append(len(own))
+                flat = own.view(np.int64)
+                rank = np.zeros(len(flat), np.int64)
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, flat), len(common) - 1)
+                    rank = np.where(common[at] == flat, counts[at], 0)
+                least = int(np.ceil(similarity * len(flat) - EDGE))
+                keys.append(flat[np.lexsort((flat, rank))][: len(flat) - least + 1])
+            ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *keys])))
+            columns = [pa.array(np.arange(row, row + len(ids))), batch.column("doc_id"), batch.column("text_key")]
+            columns += [pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), lists]
+            row += len(ids)
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "text_key", "id", "size", "keys"])
+
+    return texts.mapInArrow(run, f"row long, doc_id {id_type}, text_key long, id long, size int, keys array<long>")
+
+
+def prefix_lists(first: DataFrame) -> DataFrame:
+    """key, id, size and place of the keys of each set, from one row of each."""
+    return first.select(F.posexplode("keys").alias("place", "key"), "id", "size").select("key", "id", "size", "place")
+
+
+class Sets:
+    """The shingle sets of marked texts, made again for the few that are asked for."""
+
+    def __init__(self, texts: DataFrame, first: DataFrame, words: int):
+        self.texts, self.first, self.words = texts, first, words
+
+    def of(self, wanted: DataFrame) -> DataFrame:
+        """id and hashes of the ids ``wanted`` (a column ``id``)."""
+        rows = self.first.join(wanted, "id", "left_semi").select(F.col("doc_id").alias("d"), F.col("text_key").alias("t"))
+        found = self.texts.join(rows, (F.col("text_key") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d")), "left_semi")
+        return shingle_sets(found, self.words).groupBy("id").agg(F.first("hashes").alias("hashes"))
+
+
+def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, sizes and all hashes of a batch of sets."""
+    hashes = batch.column("hashes")
+    sizes = hashes.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    return batch.column("id").to_numpy(zero_copy_only=False), sizes, hashes.flatten().to_numpy(zero_copy_only=False)
 
 
 def _enough(size_a, size_b, similarity: float) -> np.ndarray:
@@ -397,27 +431,25 @@ def other_pairs(entries: DataFrame, similarity: float) -> DataFrame:
     return ordered.mapInArrow(run, "u long, v long")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def verified(pairs: DataFrame, sets: Sets, similarity: float) -> DataFrame:
     """The pairs (u, v) whose sets have the similarity, counted on the shingles themselves."""
     pairs = keep(pairs.select("u", "v").distinct(), "pairs")
-    wanted = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
-    held = sets.select("id", "hashes").join(wanted, "id", "left_semi").groupBy("id").agg(F.first("hashes").alias("h"))
-    held = keep(held, "held")
-    a = held.select(F.col("id").alias("u"), F.col("h").alias("hu"))
-    b = held.select(F.col("id").alias("v"), F.col("h").alias("hv"))
+    held = keep(sets.of(pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()), "held")
+    a = held.select(F.col("id").alias("u"), F.col("hashes").alias("hu"))
+    b = held.select(F.col("id").alias("v"), F.col("hashes").alias("hv"))
     both = F.size(F.array_intersect("hu", "hv"))
     similar = both + EDGE >= F.lit(similarity) * (F.size("hu") + F.size("hv") - both)
     return keep(pairs.join(a, "u").join(b, "v").filter(similar).select("u", "v"), "verified")
 
 
-def similar_links(sets: DataFrame, similarity: float) -> DataFrame:
-    """Links (u, v) between ids of ``sets`` (id, hashes) whose components are those of all similar pairs."""
-    found = keep(first_pairs(prefix_lists(sets, similarity), similarity), "lists")
+def similar_links(first: DataFrame, sets: Sets, similarity: float) -> DataFrame:
+    """Links (u, v) between ids of ``first`` (one marked row of each) whose components are those of all similar pairs."""
+    found = keep(first_pairs(prefix_lists(first), similarity), "lists")
     link = verified(found.filter("NOT long"), sets, similarity)
     entries = found.filter("long").selectExpr("u AS key", "v AS id", "size", "place")
     if entries.isEmpty():
         return link
-    drawn = sketches(sets.join(entries.select("id").distinct(), "id", "left_semi")).dropDuplicates(["id"])
+    drawn = sketches(sets.of(entries.select("id").distinct()))
     labels = drawn.join(roots(link).select(F.col("node").alias("id"), "root"), "id", "left")
     labels = keep(labels.select("id", "sketch", F.coalesce("root", "id").alias("label")), "labels")
     return link.union(verified(other_pairs(entries.join(labels, "id"), similarity), sets, similarity))
@@ -425,9 +457,11 @@ def similar_links(sets: DataFrame, similarity: float) -> DataFrame:
 
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and component_id under a bound on the Jaccard similarity of the shingle sets; equal sets are one class."""
-    sets = keep(shingle_sets(docs, words, id_col, text_col), "sets")
-    link = similar_links(sets, similarity)
-    return grouped(sets.select("doc_id", F.col("id").alias("fp")), link).select("doc_id", "component_id")
+    texts = _keyed(docs, id_col, text_col)
+    rows = keep(marked(texts, words, similarity), "marked")
+    first = rows.join(rows.groupBy("id").agg(F.min("row").alias("row")).select("row"), "row", "left_semi")
+    link = similar_links(first, Sets(texts, first, words), similarity)
+    return grouped(rows.select("doc_id", F.col("id").alias("fp")), link).select("doc_id", "component_id")
 
 
 def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -260,19 +260,25 @@ def common_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarra
 
 
 def marked(texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Of each row its number, ``id`` and size of its shingle set, and ``keys``: the set's rarest
-    shingles, the rarest first, so many that two similar sets must share one."""
+    """Of each row its number, ``id`` and size of its shingle set, its sketch, and ``keys``: the set's
+    rarest shingles, the rarest first, so many that two similar sets must share one.
+
+    ``sketch`` has for each of ``64 * SKETCH`` slots whether an odd number of the set's shingles
+    falls into it: two sets differ in at least as many shingles as their sketches do in bits.
+    """
     common, counts = common_shingles(texts, words)
     id_type = texts.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            ids, sizes, keys = [], [], []
+            ids, sizes, keys, sketch = [], [], [], []
             for t in batch.column("text"):
                 own = np.unique(shingle_hashes(t.as_py(), words))
                 ids.append(_set_id(own))
                 sizes.append(len(own))
+                odd = np.bincount((own & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
+                sketch.append(np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64))
                 flat = own.view(np.int64)
                 rank = np.zeros(len(flat), np.int64)
                 if len(common):
@@ -284,10 +290,12 @@ def marked(texts: DataFrame, words: int, similarity: float) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *keys])))
             columns = [pa.array(np.arange(row, row + len(ids))), batch.column("doc_id"), batch.column("text_key")]
             columns += [pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), lists]
+            ends = pa.array(np.arange(0, SKETCH * len(ids) + 1, SKETCH, dtype=np.int32))
+            columns.append(pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.empty(0, np.int64), *sketch]))))
             row += len(ids)
-            yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "text_key", "id", "size", "keys"])
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "text_key", "id", "size", "keys", "sketch"])
 
-    return texts.mapInArrow(run, f"row long, doc_id {id_type}, text_key long, id long, size int, keys array<long>")
+    return texts.mapInArrow(run, f"row long, doc_id {id_type}, text_key long, id long, size int, keys array<long>, sketch array<long>")
 
 
 def prefix_lists(first: DataFrame) -> DataFrame:
@@ -304,17 +312,11 @@ class Sets:
     def of(self, wanted: DataFrame) -> DataFrame:
         """id and hashes of the ids ``wanted`` (a column ``id``)."""
         rows = self.first.join(wanted, "id", "left_semi").select(F.col("doc_id").alias("d"), F.col("text_key").alias("t"))
+        rows = keep(rows, "wanted")  # now Spark knows its size, and sends it to the texts if it is small
         found = self.texts.join(rows, (F.col("text_key") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d")), "left_semi")
         return shingle_sets(found, self.words).groupBy("id").agg(F.first("hashes").alias("hashes"))
 
 
-def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids, sizes and all hashes of a batch of sets."""
-    hashes = batch.column("hashes")
-    sizes = hashes.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-    return batch.column("id").to_numpy(zero_copy_only=False), sizes, hashes.flatten().to_numpy(zero_copy_only=False)
-
-
 def _enough(size_a, size_b, similarity: float) -> np.ndarray:
     """Shared shingles that sets of these sizes need at least."""
     return np.ceil(similarity / (1 + similarity) * (size_a + size_b) - EDGE)
@@ -379,24 +381,6 @@ def first_pairs(lists: DataFrame, similarity: float) -> DataFrame:
     return ordered.mapInArrow(run, "long boolean, u long, v long, size int, place int")
 
 
-def sketches(sets: DataFrame) -> DataFrame:
-    """id and ``sketch``: for each of ``64 * SKETCH`` slots whether an odd number of the set's shingles falls into it.
-
-    Two sets differ in at least as many shingles as their sketches do in bits.
-    """
-    slots = 64 * SKETCH
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, sizes, flat = _flat(batch)
-            slot = np.repeat(np.arange(len(ids)), sizes) * slots + (flat & (slots - 1))
-            odd = np.bincount(slot, minlength=len(ids) * slots) & 1
-            bits = np.packbits(odd.astype(np.uint8), bitorder="little").reshape(len(ids), -1)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([r.tobytes() for r in bits], pa.binary())], names=["id", "sketch"])
-
-    return sets.select("id", "hashes").mapInArrow(run, "id long, sketch binary")
-
-
 def _across(ids, size, place, label, sketch, similarity: float, rows: int = 64) -> Iterator[np.ndarray]:
     """The pairs of one list with different labels that can be similar, by blocks of rows."""
     for at in range(0, len(ids), rows):
@@ -423,20 +407,24 @@ def other_pairs(entries: DataFrame, similarity: float) -> DataFrame:
             for a, b in zip(head, [*head[1:], len(key)]):
                 if (label[a:b] == label[a]).all():
                     continue
-                rows = b"".join(table.column("sketch").slice(a, b - a).to_pylist())
-                sketch = np.frombuffer(rows, np.uint64).reshape(b - a, -1)
+                rows = table.column("sketch").slice(a, b - a).combine_chunks()
+                sketch = rows.flatten().to_numpy().view(np.uint64).reshape(b - a, -1)
                 for u, v in _across(ids[a:b], size[a:b], place[a:b], label[a:b], sketch, similarity):
                     yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
     return ordered.mapInArrow(run, "u long, v long")
 
 
-def verified(pairs: DataFrame, sets: Sets, similarity: float) -> DataFrame:
-    """The pairs (u, v) whose sets have the similarity, counted on the shingles themselves."""
-    pairs = keep(pairs.select("u", "v").distinct(), "pairs")
-    held = keep(sets.of(pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()), "held")
-    a = held.select(F.col("id").alias("u"), F.col("hashes").alias("hu"))
-    b = held.select(F.col("id").alias("v"), F.col("hashes").alias("hv"))
+def verified(pairs: DataFrame, first: DataFrame, sets: Sets, similarity: float) -> DataFrame:
+    """The pairs (u, v) whose sets have the similarity: those that sizes and sketches leave possible, counted on the shingles."""
+    small = first.select("id", "size", "sketch")
+    a, b = (small.select(F.col("id").alias(k), F.col("size").alias(f"size_{k}"), F.col("sketch").alias(f"sketch_{k}")) for k in "uv")
+    differ = F.expr("aggregate(zip_with(sketch_u, sketch_v, (x, y) -> bit_count(x ^ y)), 0, (n, x) -> n + x)")
+    both = F.col("size_u") + F.col("size_v")
+    most = both - 2 * F.ceil(F.lit(similarity / (1 + similarity)) * both - EDGE)
+    pairs = keep(pairs.select("u", "v").distinct().join(a, "u").join(b, "v").filter(differ <= most).select("u", "v"), "pairs")
+    held = sets.of(pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct())
+    a, b = (held.select(F.col("id").alias(k), F.col("hashes").alias(f"h{k}")) for k in "uv")
     both = F.size(F.array_intersect("hu", "hv"))
     similar = both + EDGE >= F.lit(similarity) * (F.size("hu") + F.size("hv") - both)
     return keep(pairs.join(a, "u").join(b, "v").filter(similar).select("u", "v"), "verified")
@@ -445,21 +433,22 @@ def verified(pairs: DataFrame, sets: Sets, similarity: float) -> DataFrame:
 def similar_links(first: DataFrame, sets: Sets, similarity: float) -> DataFrame:
     """Links (u, v) between ids of ``first`` (one marked row of each) whose components are those of all similar pairs."""
     found = keep(first_pairs(prefix_lists(first), similarity), "lists")
-    link = verified(found.filter("NOT long"), sets, similarity)
+    link = verified(found.filter("NOT long"), first, sets, similarity)
     entries = found.filter("long").selectExpr("u AS key", "v AS id", "size", "place")
     if entries.isEmpty():
         return link
-    drawn = sketches(sets.of(entries.select("id").distinct()))
+    drawn = first.join(entries.select("id").distinct(), "id", "left_semi").select("id", "sketch")
     labels = drawn.join(roots(link).select(F.col("node").alias("id"), "root"), "id", "left")
     labels = keep(labels.select("id", "sketch", F.coalesce("root", "id").alias("label")), "labels")
-    return link.union(verified(other_pairs(entries.join(labels, "id"), similarity), sets, similarity))
+    return link.union(verified(other_pairs(entries.join(labels, "id"), similarity), first, sets, similarity))
 
 
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and component_id under a bound on the Jaccard similarity of the shingle sets; equal sets are one class."""
     texts = _keyed(docs, id_col, text_col)
     rows = keep(marked(texts, words, similarity), "marked")
-    first = rows.join(rows.groupBy("id").agg(F.min("row").alias("row")).select("row"), "row", "left_semi")
+    one = keep(rows.groupBy("id").agg(F.min("row").alias("row")).select("row"), "first")
+    first = keep(rows.join(one, "row", "left_semi"), "first_rows")
     link = similar_links(first, Sets(texts, first, words), similarity)
     return grouped(rows.select("doc_id", F.col("id").alias("fp")), link).select("doc_id", "component_id")
 

@@ -9,10 +9,27 @@ from vellum.functions.text import nz
 
 # What each class of content becomes, and the public name of each action.
 DISPOSITION = {
-    "DELETE": "CONFIRMED_DUPLICATE TRUE_CORRUPT_UNUSABLE HTML_OR_TEXT_JUNK MIME_OR_WRAPPER_JUNK",
-    "PENDING": "VALID_PDF_CHILD_DOCUMENT VALID_NONPDF_CHILD_DOCUMENT VALID_NONPDF_DATASET_OR_MEDIA_SUPPLEMENT HTML_OR_TEXT_CHILD_DOCUMENT "
-    "MIME_OR_WRAPPER_RECOVERABLE ARCHIVE_CHILD_DOCUMENT MODEL_RECOVERY_REQUIRED",
-    "STAGING": "VALID_PDF_STANDALONE_RESEARCH VALID_PDF_NON_RATABLE_REFERENCE VALID_NONPDF_REFERENCE HTML_OR_TEXT_REFERENCE",
+    "DELETE": (
+        "CONFIRMED_DUPLICATE",
+        "TRUE_CORRUPT_UNUSABLE",
+        "HTML_OR_TEXT_JUNK",
+        "MIME_OR_WRAPPER_JUNK",
+    ),
+    "PENDING": (
+        "VALID_PDF_CHILD_DOCUMENT",
+        "VALID_NONPDF_CHILD_DOCUMENT",
+        "VALID_NONPDF_DATASET_OR_MEDIA_SUPPLEMENT",
+        "HTML_OR_TEXT_CHILD_DOCUMENT",
+        "MIME_OR_WRAPPER_RECOVERABLE",
+        "ARCHIVE_CHILD_DOCUMENT",
+        "MODEL_RECOVERY_REQUIRED",
+    ),
+    "STAGING": (
+        "VALID_PDF_STANDALONE_RESEARCH",
+        "VALID_PDF_NON_RATABLE_REFERENCE",
+        "VALID_NONPDF_REFERENCE",
+        "HTML_OR_TEXT_REFERENCE",
+    ),
 }
 TERMINAL = {
     "INGEST_RESEARCH_PAPER": "ACCEPT_RESEARCH", "INGEST_NON_RATABLE_REFERENCE": "ACCEPT_REFERENCE", "LINK_CHILD_TO_PARENT": "LINK_CHILD",
@@ -24,8 +41,28 @@ LIGHTS = {
     "green": "green", "yellow": "yellow", "red": "red", "info": "info", "na": "na", "fail": "fail", "no problems detected": "green",
     "something to check": "yellow", "possible problems detected": "red", "informational only": "info",
 }
-WEIRD = "^1_s2_0_|^BF[0-9]{6,}$|^[0-9]{8,}_[0-9]{12,}|UOW[0-9]+|^orphan_|^s[0-9]{5}_[0-9]+|^[0-9]{4}_[0-9]{4}_|^[0-9]{4}_[0-9]{5}_[0-9]{3}$|^_pdf$|^_[A-Z]|[A-Za-z]+Unknown$"
-RELIABLE = "^[A-Z][a-zA-Z]{2,30}_[0-9]{4}_[A-Za-z][a-zA-Z]{3,50}$"
+# Patterns of ids to be renamed.
+WEIRD_PATTERNS = (
+    "^1_s2_0_",
+    "^BF[0-9]{6,}$",
+    "^[0-9]{8,}_[0-9]{12,}",
+    "UOW[0-9]+",
+    "^orphan_",
+    "^s[0-9]{5}_[0-9]+",
+    "^[0-9]{4}_[0-9]{4}_",
+    "^[0-9]{4}_[0-9]{5}_[0-9]{3}$",
+    "^[0-9]{4}_[0-9]{4,}_[A-Za-z0-9_]+_S[0-9]+$",
+    "^_pdf$",
+    "^_[A-Z]",
+    "[A-Za-z]+Unknown$",
+    "_Year_Unknown$",
+)
+WEIRD = "|".join(WEIRD_PATTERNS)
+# The form of a name to be kept, and endings that show a cut title.
+RELIABLE = "^[A-Z][a-zA-Z]{2,30}_[0-9]{4}_[A-Za-z][a-zA-Z]{2,50}$"
+JUNK_TAIL = "(unknow|situatio|situation|international|handbook|auth|main)[0-9]*$"
+# Other spellings of ratings.
+RATING_ALIASES = {"moderate": "adequate", "junk": "flawed"}
 ORPHAN = "__supplement$|_supplement_[0-9]+$|_[sS]upplement$|_supp[0-9]+$"
 
 
@@ -34,8 +71,26 @@ def lookup(c: Column, table: dict[str, str], default: str | None = None) -> Colu
     return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), c), F.lit(default))
 
 
+def weird_id(c: Column) -> Column:
+    return c.rlike(WEIRD)
+
+
+def reliable_id(c: Column) -> Column:
+    return c.rlike(RELIABLE) & ~F.lower(c).rlike(JUNK_TAIL)
+
+
+def legacy_id(c: Column) -> Column:
+    """Ids of earlier schemes: orphans, publishers' codes, unknown names, bare numbers."""
+    return c.rlike("^(orphan_|1_s2_0_|BF|_|[0-9]{8,}_|[0-9]+$)") | c.contains("Unknown")
+
+
+def rating_label(c: Column) -> Column:
+    plain = F.regexp_replace(F.lower(F.trim(F.coalesce(c, F.lit("")))), r"[\s-]+", "_")
+    return F.coalesce(lookup(plain, RATING_ALIASES), plain)
+
+
 def disposition(c: Column) -> Column:
-    flat = {name: kind for kind, names in DISPOSITION.items() for name in names.split()}
+    flat = {name: kind for kind, names in DISPOSITION.items() for name in names}
     return lookup(c, flat, "MODEL_RECOVERY")
 
 

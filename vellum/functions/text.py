@@ -36,6 +36,20 @@ def one_space(c: Column) -> Column:
     return strip(F.regexp_replace(c, r"\s+", " "))
 
 
+# Letters of Latin-1 and Latin Extended-A with an accent, and the same without.
+ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
+BARE = "aaaaaaceeeeiiiinooooouuuuyy"
+
+
+def plain(c: Column) -> Column:
+    """Lower case without accents; anything but a-z and 0-9 is one space; trimmed."""
+    return F.trim(F.regexp_replace(F.translate(F.lower(c), ACCENTED, BARE), "[^a-z0-9]+", " "))
+
+
+def section_key(c: Column) -> Column:
+    return F.regexp_replace(F.lower(F.trim(c)), r"[\s-]+", "_")
+
+
 def surname(c: Column) -> Column:
     """The last word, lower case."""
     return F.lower(F.element_at(F.split(strip(c), r"\s+"), -1))

@@ -35,9 +35,10 @@ def delete(old: DataFrame, ids: DataFrame | None, key: str) -> tuple[DataFrame,
 
 def digest(rows: DataFrame, key: str) -> DataFrame:
     """Row count and an order-free checksum of whole rows."""
-    row = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in sorted(rows.columns)]), 256)
-    part = F.conv(F.substring(row, 1, 8), 16, 10).cast("long")
-    return rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(part), F.lit(0)).alias("digest"))
+    field = lambda c: F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("-"))
+    row = F.sha2(F.concat(*[field(F.col(c).cast("string")) for c in sorted(rows.columns)]), 256)  # lengths keep fields and nulls apart
+    part = F.conv(F.substring(row, 1, 15), 16, 10).cast("decimal(38,0)")
+    return rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(part), F.lit(0)).cast("string").alias("digest"))
 
 
 def guarded(old: DataFrame, new: DataFrame, targets: DataFrame, key: str) -> DataFrame:

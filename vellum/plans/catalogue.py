@@ -10,9 +10,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.plans import corpus, evaluation, flagship, helpers, ledger, papers, relations
+from vellum.plans import corpus, evaluation, flagship, helpers, ledger, papers, records, relations
 
-MODULES = [flagship, corpus, ledger, relations, papers, evaluation, helpers]
+MODULES = [flagship, corpus, ledger, relations, papers, evaluation, helpers, records]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

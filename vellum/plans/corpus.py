@@ -158,14 +158,14 @@ def t_03(spark, sf_dir):
     return d.select("doc_id", F.when(F.length(head) > 60, 1).otherwise(0).alias("has_abstract"), F.length(head).alias("chars"))
 
 
-@query(f"SELECT doc_id, {sql_norm('substring(text, 1, 400)')} AS norm FROM documents")
+@query(f"SELECT doc_id, {sql_norm('text')} AS norm FROM documents")
 def s_01(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", text.norm_sp(F.substring("text", 1, 400)).alias("norm"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.norm_sp(F.col("text")).alias("norm"))
 
 
-@query(f"SELECT doc_id, replace({sql_norm('substring(text, 1, 400)')}, ' ', '') AS compact FROM documents")
+@query(f"SELECT doc_id, replace({sql_norm('text')}, ' ', '') AS compact FROM documents")
 def s_05(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", text.compact(F.substring("text", 1, 400)).alias("compact"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.compact(F.col("text")).alias("compact"))
 
 
 @query(r"SELECT doc_id, regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS t FROM documents")
@@ -190,15 +190,15 @@ def s_43(spark, sf_dir):
     return hashed(spark, sf_dir).select("doc_id", "sha", F.substring("sha", 1, 8).alias("token"))
 
 
-@query(f"SELECT doc_id, array_to_string({sql_tokens('substring(text, 1, 300)')}, ' ') AS tokens FROM documents")
+@query(f"SELECT doc_id, array_to_string({sql_tokens('text')}, ' ') AS tokens FROM documents")
 def s_10(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(text.token_set(F.substring("text", 1, 300)), " ").alias("tokens"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(text.token_set(F.col("text")), " ").alias("tokens"))
 
 
-@query(f"""WITH t AS (SELECT doc_id, {sql_tokens('substring(text, 1, 300)')} AS k FROM documents)
+@query(f"""WITH t AS (SELECT doc_id, {sql_tokens('text')} AS k FROM documents)
 SELECT a.doc_id, len(list_intersect(a.k, b.k))::INTEGER AS shared FROM t a JOIN t b ON b.doc_id = a.doc_id + 1""")
 def set_02(spark, sf_dir):
-    t = table(spark, sf_dir, "documents").select("doc_id", text.token_set(F.substring("text", 1, 300)).alias("k"))
+    t = table(spark, sf_dir, "documents").select("doc_id", text.token_set(F.col("text")).alias("k"))
     b = t.select((F.col("doc_id") - 1).alias("doc_id"), F.col("k").alias("k2"))
     return t.join(b, "doc_id").select("doc_id", F.size(F.array_intersect("k", "k2")).alias("shared"))
 
@@ -289,12 +289,14 @@ def win_04(spark, sf_dir):
     return p.select("page_id", text.common_prefix(F.col("url"), F.col("nxt")).alias("common"))
 
 
-@query("""WITH new AS (SELECT doc_id, 'xx' AS lang, source FROM documents WHERE doc_id < 50 UNION ALL SELECT doc_id + 100000000, lang, source FROM documents WHERE doc_id < 20)
+@query("""WITH bad AS (SELECT doc_id FROM labels WHERE toxic = 1), new AS (SELECT doc_id, 'xx' AS lang, source FROM documents WHERE doc_id IN (SELECT doc_id FROM bad)
+  UNION ALL SELECT doc_id + 100000000, lang, source FROM documents WHERE doc_id IN (SELECT doc_id FROM bad))
 SELECT doc_id, lang, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM new) UNION ALL SELECT * FROM new""")
 def snk_01(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
-    changed = d.filter("doc_id < 50").withColumn("lang", F.lit("xx"))
-    added = d.filter("doc_id < 20").withColumn("doc_id", F.col("doc_id") + 100000000)
+    touched = d.join(table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id"), "doc_id", "left_semi")
+    changed = touched.withColumn("lang", F.lit("xx"))
+    added = touched.withColumn("doc_id", F.col("doc_id") + 100000000)
     return store.upsert(d, changed.unionByName(added), "doc_id")
 
 
@@ -311,7 +313,9 @@ def snk_04(spark, sf_dir):
     return stay.withColumn("stays", F.lit(True)).unionByName(go.withColumn("stays", F.lit(False)))
 
 
-@query("SELECT 'documents' AS name, count(*) AS n, sum(('0x' || substring(sha256(doc_id || '|' || lang || '|' || n_chars || '|' || source || '|' || text), 1, 8))::BIGINT)::BIGINT AS digest FROM documents")
+@query("""WITH r AS (SELECT sha256(coalesce(length(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(length(lang) || ':' || lang, '-') || coalesce(length(n_chars::VARCHAR) || ':' || n_chars, '-')
+  || coalesce(length(source) || ':' || source, '-') || coalesce(length(text) || ':' || text, '-')) AS h FROM documents)
+SELECT 'documents' AS name, count(*) AS n, sum(('0x' || substring(h, 1, 15))::BIGINT)::VARCHAR AS digest FROM r""")
 def agg_28(spark, sf_dir):
     return store.digest(table(spark, sf_dir, "documents"), "doc_id").select(F.lit("documents").alias("name"), "n", "digest")
 
@@ -348,10 +352,10 @@ QUERIES["set_05"], ORACLE["set_05"] = set_05, _CC
 
 
 def s_32(spark, sf_dir):
-    """Fuzzy ratio of the first 200 characters of neighbouring documents of one source block."""
-    t = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 200).alias("h"))
-    b = t.select((F.col("doc_id") - 1).alias("doc_id"), F.col("h").alias("h2"))
-    return t.join(b, "doc_id").select("doc_id", linkage.seq_ratio("h", "h2").alias("ratio"))
+    """Fuzzy ratio of the titles of neighbouring pages."""
+    t = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<title[^>]*>([^<]*)</title>", 1).alias("h"))
+    b = t.select((F.col("page_id") - 1).alias("page_id"), F.col("h").alias("h2"))
+    return t.join(b, "page_id").select("page_id", linkage.seq_ratio("h", "h2").alias("ratio"))
 
 
 QUERIES["s_32"] = s_32

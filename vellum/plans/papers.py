@@ -272,10 +272,10 @@ def c_21(spark, sf_dir):
     return SIGNALS.df(spark).select("k", F.when(s.startswith("content_hash"), "confirmed").when(s != "", "ambiguous").otherwise("none").alias("confidence"))
 
 
-CLASSES = Literal("k int, class string", list(enumerate([n for names in identity.DISPOSITION.values() for n in names.split()] + ["SOMETHING_ELSE"])))
+CLASSES = Literal("k int, class string", list(enumerate([n for names in identity.DISPOSITION.values() for n in names] + ["SOMETHING_ELSE"])))
 
 
-@query(f"WITH {CLASSES.sql('t')} SELECT k, CASE " + " ".join(f"WHEN class IN ({', '.join(repr(n) for n in names.split())}) THEN '{kind}'" for kind, names in identity.DISPOSITION.items()) + " ELSE 'MODEL_RECOVERY' END AS disposition FROM t")
+@query(f"WITH {CLASSES.sql('t')} SELECT k, CASE " + " ".join(f"WHEN class IN ({', '.join(repr(n) for n in names)}) THEN '{kind}'" for kind, names in identity.DISPOSITION.items()) + " ELSE 'MODEL_RECOVERY' END AS disposition FROM t")
 def c_10(spark, sf_dir):
     return CLASSES.df(spark).select("k", identity.disposition(c("class")).alias("disposition"))
 

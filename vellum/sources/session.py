@@ -11,7 +11,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the folder of ``spark.checkpoint.dir``; where it is unset, as in tests, one is made."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="vellum-"))
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or local_folder(sc.master))
+
+
+def local_folder(master: str) -> str:
+    """A new folder of this machine, which only a local session may use."""
+    if not master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="vellum-")
 
 
 _SHIPPED: set[str] = set()

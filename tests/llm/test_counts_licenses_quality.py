@@ -94,3 +94,23 @@ def test_quality_verdicts(spark):
     texts = [prose(80), prose(200).upper(), " | ".join(word() for _ in range(100)), prose(30), "same " * 100, (prose(12) + "\n") * 20]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert [r.kept for r in quality.assessed(docs).orderBy("doc_id").collect()] == [True, False, False, False, False, False]
+
+
+def test_registered_counts_after_all_batches(spark, tmp_path):
+    """Loads, deletions and revisions of the registered query leave the totals of the documents as they are."""
+    import public_tokenizers
+    import tiktoken  # noqa: F401
+
+    from vellum.llm import q_text, token_counts
+
+    rows = [(k, f"text number {k} " * (k % 4), ["en", "de", None][k % 3], f"s{k % 2}") for k in range(30)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, 1, 0) for k in range(0, 40, 3)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    tool = token_counts.encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    want = {}
+    for _, text, lang, source in rows:
+        n = want.setdefault((source, lang), [0, 0, 0])
+        for at, more in enumerate((1, len(tool.encode_ordinary(text)), len(text))):
+            n[at] += more
+    got = {(r.source, r.lang): [r.n_docs, r.n_tokens, r.n_chars] for r in q_text.op4_token_counts(spark, str(tmp_path)).collect()}
+    assert got == want

@@ -2,17 +2,18 @@
 
 Lineage is cut by writing a table and reading it back, so a lost executor costs
 only the tasks that were running. The folder is the one in
-``spark.checkpoint.dir``; where that is unset, as in tests, one is made.
+``spark.checkpoint.dir``; where that is unset, as in tests, a local session makes one.
 """
 
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vellum.sources.session import local_folder
+
 _LOCAL: list[str] = []
 
 
@@ -21,7 +22,7 @@ def shared_dir(spark: SparkSession) -> str:
     top = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not top:
         if not _LOCAL:
-            _LOCAL.append(tempfile.mkdtemp(prefix="vellum-"))
+            _LOCAL.append(local_folder(spark.sparkContext.master))
         top = f"file://{_LOCAL[0]}"
     return f"{top.rstrip('/')}/vellum-{uuid.uuid4().hex}"
 

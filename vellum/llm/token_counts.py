@@ -9,7 +9,7 @@ changes nothing, and a commit that broke off is simply written anew.
 
 Defined cases: null source or language is a group of its own; null and empty
 texts are documents of no tokens; of several rows of one id in a batch the
-greatest (text, source, language) counts, and a deletion of the id beats
+greatest (tokens, characters, source, language) counts, and a deletion of the id beats
 insertions; inserting a present id revises it, deleting an absent one changes
 nothing; null ids are one document; groups whose documents are all gone leave
 the totals; an empty batch commits nothing but itself.
@@ -85,14 +85,17 @@ class Rollup:
         names = [s.getPath().getName() for s in fs.listStatus(where)] if fs.exists(where) else []
         return sorted(n.removeprefix("batch=") for n in names if self.committed(n.removeprefix("batch=")))
 
-    def _table(self, name: str, schema: str, but: str | None = None) -> DataFrame:
-        paths = [f"{self.path}/{name}/batch={b}" for b in self._batches() if b != but]
+    def _table(self, name: str, schema: str) -> DataFrame:
+        paths = [f"{self.path}/{name}/batch={b}" for b in self._batches()]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
-    def present(self, but: str | None = None) -> DataFrame:
-        """What the log holds of each document."""
+    def present(self, among: DataFrame | None = None) -> DataFrame:
+        """What the log holds of each document, or of those with a ``t_id`` of ``among``."""
         sums = [F.sum(c).alias(c) for c in ("docs", "tokens", "chars")]
-        return self._table("counts", COUNTS, but).groupBy("doc_id", *GROUP).agg(*sums).filter("docs <> 0")
+        log = self._table("counts", COUNTS)
+        if among is not None:
+            log = log.join(among.select("t_id").distinct(), F.col("doc_id").eqNullSafe(F.col("t_id")), "left_semi")
+        return log.groupBy("doc_id", *GROUP).agg(*sums).filter("docs <> 0")
 
     def commit(self, batch: str, upserts: DataFrame | None = None, deleted: DataFrame | None = None) -> bool:
         """Apply counted rows (:func:`counted`) and deleted ids as one batch; False if it was committed before."""
@@ -109,7 +112,7 @@ class Rollup:
             touched = new.select("doc_id", "version").unionByName(gone.withColumn("version", F.lit(None).cast("string")))
             touched = touched.toDF("t_id", "t_version").distinct()
             same = F.col("doc_id").eqNullSafe(F.col("t_id")) & (F.col("t_version").isNull() | (F.col("version") == F.col("t_version")))
-            back = self.present().join(touched, same, "left_semi")
+            back = self.present(touched).join(touched, same, "left_semi")
             back = back.withColumns({c: -F.col(c) for c in ("docs", "tokens", "chars")})
             new = new.unionByName(back)
         names = [f.split()[0] for f in COUNTS.split(", ")]
@@ -117,7 +120,7 @@ class Rollup:
         new.select(*names).write.mode("overwrite").option("compression", "zstd").parquet(counts)
         signed = self.spark.read.schema(COUNTS).parquet(counts)
         deltas = signed.groupBy(*GROUP).agg(*[F.sum(c).alias(c) for c in ("docs", "tokens", "chars")])
-        deltas.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/deltas/batch={batch}")
+        deltas.write.mode("overwrite").parquet(f"{self.path}/deltas/batch={batch}")
         return True
 
     def totals(self) -> DataFrame:

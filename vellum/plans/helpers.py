@@ -233,13 +233,6 @@ def e_07(spark, sf_dir):
     return papers(spark).select("id", part(1).alias("author"), part(2).alias("year"), part(3).alias("title"))
 
 
-@query(P + "SELECT id, CASE WHEN length(original) >= 5 AND regexp_matches(lower(original), '\\.pdf$') THEN true ELSE false END AS valid, NOT regexp_matches(title, '^[0-9 ]*$') AND length(title) >= 8 AS usable_title FROM p")
-def x_10(spark, sf_dir):
-    """Files that may be articles, and titles that may be used (X-17)."""
-    ok = (F.length("original") >= 5) & F.lower("original").rlike(r"\.pdf$")
-    return papers(spark).select("id", ok.alias("valid"), (~c("title").rlike("^[0-9 ]*$") & (F.length("title") >= 8)).alias("usable_title"))
-
-
 @query("SELECT a.doc_id AS doc_id, count(*) AS others FROM (SELECT doc_id, sha256(text) AS s FROM documents) a JOIN (SELECT doc_id, sha256(text) AS s FROM documents) b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1")
 def x_08(spark, sf_dir):
     """How many other documents hold the same text: counted per text, not by pairs."""

@@ -241,3 +241,61 @@ def t_04(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").filter(F.col("text").rlike(r"\S")).select("doc_id", "source")
     had = table(spark, sf_dir, "labels").select("doc_id", F.lit(True).alias("had"))
     return rows.join(had, "doc_id", "left").groupBy("source").agg(F.count_if(F.col("had").isNull()).alias("to_add"), F.count_if("had").alias("kept"))
+
+
+# -- projections of pages
+
+
+@query(rf"""SELECT page_id, CASE WHEN {_TITLE} = '' THEN NULL ELSE {_TITLE} END AS title, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, length(html)::BIGINT AS chars,
+  substring({sql_strip(_ONE_SPACE.replace('text', 'html'))}, 1, 160) AS snippet FROM pages""")
+def prj_02(spark, sf_dir):
+    """Pages as records of a structured search."""
+    p = table(spark, sf_dir, "pages")
+    host = F.regexp_extract("url", "^https?://([^/?#]+)", 1)
+    return p.select(
+        "page_id", text.nz(F.expr(_TITLE)).alias("title"), host.alias("host"), F.length("html").cast("long").alias("chars"),
+        F.substring(text.one_space(F.col("html")), 1, 160).alias("snippet"),
+    )
+
+
+@query("""SELECT d.doc_id AS doc_id, CASE WHEN l.doc_id IS NULL THEN '' ELSE concat_ws('; ', 'status: labelled', 'source: ' || d.source, 'quality: ' || l.quality, 'toxic: ' || l.toxic) END AS chunk
+FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""")
+def prj_06(spark, sf_dir):
+    """Evidence about a row as one line of text; empty where there is none."""
+    evidence = table(spark, sf_dir, "labels").withColumn("has", F.lit(True))
+    d = table(spark, sf_dir, "documents").select("doc_id", "source").join(evidence, "doc_id", "left")
+    parts = [F.lit("status: labelled"), *(F.concat(F.lit(f"{k}: "), F.col(k).cast("string")) for k in ("source", "quality", "toxic"))]
+    return d.select("doc_id", F.when(F.col("has"), F.concat_ws("; ", *parts)).otherwise("").alias("chunk"))
+
+
+@query(rf"""SELECT page_id, lower({_TITLE}) AS title, array_to_string(list_sort(list_distinct(regexp_extract_all(lower({_TITLE}), '[a-z0-9]{{3,}}'))), ' ') AS tokens,
+  regexp_replace(regexp_extract(url, '([^/?#]*)(?:[?#].*)?$', 1), '\.[a-z0-9]+$', '') AS stem FROM pages""")
+def prj_07(spark, sf_dir):
+    """Rows flattened to clues for matching: title, its tokens, file stem."""
+    title = F.expr(_TITLE)
+    stem = F.regexp_replace(F.regexp_extract("url", r"([^/?#]*)(?:[?#].*)?$", 1), r"\.[a-z0-9]+$", "")
+    return table(spark, sf_dir, "pages").select(
+        "page_id", F.lower(title).alias("title"), F.array_join(text.token_set(title), " ").alias("tokens"), stem.alias("stem")
+    )
+
+
+@query(rf"""WITH f AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN '%PDF-1.7' || html WHEN 1 THEN substring(html, 1, 499) ELSE html END AS content, {_TITLE} AS title FROM pages)
+SELECT page_id, CASE WHEN octet_length(encode(content)) < 500 THEN 'file_too_small' WHEN NOT starts_with(content, '%PDF') THEN 'invalid_pdf_header' ELSE 'ok' END AS reason,
+  NOT regexp_matches(title, '^[0-9 ]*$') AND length(title) >= 8 AS usable_title FROM f""")
+def x_10(spark, sf_dir):
+    """Why a file is no valid PDF (500 bytes at least, the mark at its head), and titles that may be used (X-17)."""
+    content = F.expr("CASE page_id % 3 WHEN 0 THEN concat('%PDF-1.7', html) WHEN 1 THEN substring(html, 1, 499) ELSE html END")
+    title = F.expr(_TITLE)
+    reason = F.when(F.octet_length(content) < 500, "file_too_small").when(~content.startswith("%PDF"), "invalid_pdf_header").otherwise("ok")
+    usable = ~title.rlike("^[0-9 ]*$") & (F.length(title) >= 8)
+    return table(spark, sf_dir, "pages").select("page_id", reason.alias("reason"), usable.alias("usable_title"))
+
+
+@query(f"""SELECT page_id, title, score FROM (SELECT page_id, {_TITLE} AS title, (length({_TITLE}) BETWEEN 12 AND 180)::INTEGER * 2 + regexp_matches({_TITLE}, '^[A-Z]')::INTEGER
+  + (len(string_split({_TITLE}, ' ')) >= 3)::INTEGER AS score FROM pages) ORDER BY score DESC, title, page_id LIMIT 20""")
+def top_08(spark, sf_dir):
+    """The twenty best candidates for a title, by a score of length, capital and words."""
+    title = F.expr(_TITLE)
+    score = F.length(title).between(12, 180).cast("int") * 2 + title.rlike("^[A-Z]").cast("int") + (F.size(F.split(title, " ")) >= 3).cast("int")
+    p = table(spark, sf_dir, "pages").select("page_id", title.alias("title"), score.alias("score"))
+    return p.orderBy(F.desc("score"), "title", "page_id").limit(20)

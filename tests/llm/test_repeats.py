@@ -2,8 +2,10 @@
 
 import hashlib
 import random
+import zlib
 
 import pytest
+import xxhash
 
 from vellum.llm import repeats
 
@@ -87,6 +89,20 @@ def test_edge_tables(spark):
     assert removed == [(False, 0, 0), (True, 1, len(text)), (True, 1, len(text)), (True, 2, len(text))]
 
 
+@pytest.mark.parametrize("id_", [None, 5])
+def test_rows_of_one_or_no_id(spark, id_):
+    passage = "".join(chr(97 + k % 26) + str(k) for k in range(60))
+    texts = [f"{k} own start {k * 7919} {passage} {k * k} end" for k in range(40)]
+    docs = spark.createDataFrame([(id_, t) for t in texts] + [(id_, texts[3]), (id_, None)], "doc_id long, text string").repartition(4)
+    hashed = xxhash.xxh64 if id_ is None else None
+    order = sorted(texts, key=lambda t: hashed(t.encode(), seed=42).intdigest() & 0x7FFFFFFFFFFFFFFF if hashed else zlib.crc32(t.encode()))
+    want = [r[1:] for r in brute(list(enumerate(order)))]
+    want += [r for r in want if r[3] == want[order.index(texts[3])][3]] + [brute([(0, "")])[0][1:]]
+    got = repeats.removed(docs).collect()
+    assert {r.doc_id for r in got} == {id_}
+    assert sorted(tuple(r)[1:] for r in got) == sorted(want)
+
+
 def test_without_repeats(spark):
     text = "".join(chr(97 + k % 26) + str(k) for k in range(200))
     docs = spark.createDataFrame([(1, text, "a"), (2, "start " + text + " end é", "b"), (3, None, "c")], "doc_id long, text string, spans string")

@@ -25,8 +25,10 @@ is found. Runs and strings count as equal if their 64-bit hashes and anchors are
 
 Defined cases: a null text is empty and an empty one has no bytes; rows with one
 id and one text are one document and each gets its result; rows with one id and
-different texts are different documents, in the order of a checksum of the text;
-a null id comes before all others; an empty table gives an empty table; other
+different texts are different documents, in the order of a 32-bit checksum of
+the text, which also tells them apart; a row with a null id is a document of its
+own text, stands before all ids from 0 on and meets others under its text's hash;
+an empty table gives an empty table; other
 columns of the input are not read by :func:`removed` and are kept by
 :func:`without_repeats`.
 """
@@ -39,7 +41,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm.scratch import drop, keep, keep_by
@@ -51,7 +53,8 @@ LONGEST_RUN = 156
 MOST_RUNS = 8192
 SORTED_AT_ONCE = 1 << 20
 SALTS = 64
-NO_ID = -(1 << 62)
+NO_ID = -(1 << 63)
+START_BITS = 31  # no text of Spark is longer
 U = np.uint64
 FACTOR = 0x5851F42D4C957F2D
 
@@ -110,14 +113,21 @@ def runs(data: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
 
 def tagged(raw: bytes) -> int:
     """What stands above the start in ``place``, so that texts with one id stay apart."""
-    return (zlib.crc32(raw) & 0x7FFFFF) << 40
+    return zlib.crc32(raw) << START_BITS
+
+
+def _raw(text_col: str) -> Column:
+    return F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
+
+
+def _key(id_col: str, text_col: str) -> Column:
+    """The id; where it is null, a negative number made of the text, so that such rows share no key."""
+    own = F.xxhash64(_raw(text_col)).bitwiseOR(F.lit(NO_ID))
+    return F.coalesce(F.col(id_col).cast("long"), own)
 
 
 def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"),
-        F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("raw"),
-    )
+    return docs.select(_key(id_col, text_col).alias("doc_id"), F.col(id_col).isNull().alias("no_id"), _raw(text_col).alias("raw"))
 
 
 RUNS = "doc_id long, place long, n int, anchor long, bytes_hash long, salt int, kind string"
@@ -230,7 +240,7 @@ def run_bytes(named: DataFrame, wanted: DataFrame) -> DataFrame:
                 tag = tagged(raw)
                 for r in found:
                     at = r["place"] - tag
-                    if 0 <= at < 1 << 40:
+                    if 0 <= at < 1 << START_BITS:
                         out.append((doc, r["place"], r["n"], r["anchor"], r["crowded"], raw[at : at + r["n"] + LEAST - 1]))
                 if len(out) > 20_000:
                     yield _batch(out, schema)
@@ -482,7 +492,7 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def _kept(raw: bytes, spans: list) -> tuple[bytes, int, int]:
     """What is left of a text, the bytes removed, and the maximal removed stretches."""
     tag = tagged(raw)
-    own = [(p - tag, p - tag + n) for p, n in spans if 0 <= p - tag < 1 << 40]
+    own = [(p - tag, p - tag + n) for p, n in spans if 0 <= p - tag < 1 << START_BITS]
     if not own:
         return raw, 0, 0
     edges = np.zeros(len(raw) + 1, np.int32)
@@ -507,10 +517,10 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc, raw, own in zip(*(batch.column(c) for c in ("doc_id", "raw", "spans"))):
-                raw, doc = raw.as_py(), doc.as_py()
+            for doc, no_id, raw, own in zip(*(batch.column(c) for c in ("doc_id", "no_id", "raw", "spans"))):
+                raw, doc = raw.as_py(), None if no_id.as_py() else doc.as_py()
                 kept, n, stretches = _kept(raw, _pairs(own))
-                out.append((None if doc == NO_ID else doc, len(raw), n, stretches, hashlib.sha256(kept).hexdigest()))
+                out.append((doc, len(raw), n, stretches, hashlib.sha256(kept).hexdigest()))
             yield _batch(out, schema)
 
     return named.join(spans, "doc_id", "left").mapInArrow(run, schema)
@@ -536,5 +546,5 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 out.append(_kept(t.encode(), [(s["place"], s["length"]) for s in spans])[0].decode("utf-8", "ignore"))
         return pd.Series(out, dtype=object)
 
-    joined = docs.join(spans, F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)) == F.col("__doc"), "left")
+    joined = docs.join(spans, _key(id_col, text_col) == F.col("__doc"), "left")
     return joined.withColumn(text_col, cut(F.col(text_col), F.col("__spans"))).select(*docs.columns)

@@ -1,6 +1,9 @@
 """WARC files: what is written is what is read."""
 
 import hashlib
+import itertools
+
+import pytest
 
 from vellum.llm import scratch, warc
 
@@ -48,3 +51,53 @@ def test_segments_are_records(spark):
 def test_empty(spark):
     chunks, _ = round_trip(spark, [], 64)
     assert warc.records(chunks).count() == 0
+
+
+def parsed(raw: bytes, size: int = 64) -> list[tuple]:
+    """The chunk rows of an archive's bytes."""
+    parser = warc.Records(size)
+    lines = raw.split(b"\n")
+    out = list(itertools.chain.from_iterable(parser.feed(line + b"\n") for line in (lines if lines[-1] else lines[:-1])))
+    parser.finish("here")
+    return out
+
+
+def record(name: str, payload: bytes, *more: str) -> bytes:
+    head = ["WARC/1.0", "WARC-Type: resource", f"WARC-Record-ID: {name}", *more, f"Content-Length: {len(payload)}"]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + payload + b"\r\n\r\n"
+
+
+def test_foreign_archive_and_truncation():
+    each = [record("<urn:uuid:1>", b"a\nb\r\nc"), record("<urn:uuid:2>", b""), record("<urn:record:7>", b"d" * 200 + b"\n")]
+    rows = parsed(b"".join(each))
+    assert [(r[0], r[10]) for r in rows if r[12]] == [("<urn:uuid:1>", 6), ("<urn:uuid:2>", 0), ("7", 201)]
+    assert b"".join(r[9] for r in rows if r[0] == "7") == b"d" * 200 + b"\n"
+    for one in each:
+        for cut in range(1, len(one) - 4):  # the last four bytes only close the record
+            with pytest.raises(ValueError):
+                parsed(each[0] + one[:cut])
+
+
+def test_segments_must_follow():
+    first = record("<urn:record:1>", b"x" * 10, "WARC-Segment-Number: 1")
+    last = record("<urn:record:1:1>", b"y" * 5, "WARC-Segment-Number: 2", "WARC-Segment-Total-Length: 15")
+    assert [r[10] for r in parsed(first + last) if r[12]] == [15]
+    for bad in (first, last, first + record("<urn:record:2>", b"z")):
+        with pytest.raises(ValueError):
+            parsed(bad)
+    with pytest.raises(ValueError):
+        parsed(b"WARC/1.0\r\nWARC-Type: resource\r\n\r\n")
+
+
+def test_split_archive_fails(spark):
+    path = f"{scratch.shared_dir(spark)}/plain"
+    text = "".join(record(f"<urn:record:{k}>", b"text " * 50).decode() for k in range(400))
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.option("lineSep", "\r\n").text(path)
+    assert warc.records(warc.read(spark, path)).count() == 400
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+    try:
+        with pytest.raises(Exception, match="dealt out in blocks"):
+            warc.records(warc.read(spark, path)).count()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)

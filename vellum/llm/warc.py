@@ -16,6 +16,13 @@ responses; rows that repeat id and payload are each written (the first ones
 refer to none, as nothing but their own id comes first); an empty table gives
 no archive rows; other columns of the input are not read; null ids are written
 as an empty record id and read back as null.
+
+Archives from elsewhere keep their record ids as they stand. An archive that ends
+within a record, a header block without a length and a segmented record without
+its last segment raise an error. So does an uncompressed archive that Spark deals
+out in several blocks: a block may begin within a payload, so compress it, or raise
+``spark.sql.files.maxPartitionBytes`` above its size. Spark hands over a payload
+line by line, so a foreign one without line ends is one line.
 """
 
 from __future__ import annotations
@@ -30,6 +37,9 @@ from pyspark.sql import functions as F
 CHUNK = 256 * 1024
 LEAST = 100
 DATE = "2024-01-01T00:00:00Z"
+# Fixed value: the format's profile of a revisit whose payload has the same digest.
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+URN, END = "<urn:record:", ">"
 
 
 def resolved(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", url_col: str = "url") -> DataFrame:
@@ -72,7 +82,7 @@ def chunks(records: DataFrame, size: int = CHUNK) -> DataFrame:
 def _name(record_id: Column, chunk: Column) -> Column:
     """A record's URN; its segments after the first are numbered."""
     tail = F.when(chunk > 0, F.concat(F.lit(":"), chunk.cast("string"))).otherwise(F.lit(""))
-    return F.concat(F.lit("<urn:record:"), F.coalesce(record_id.cast("string"), F.lit("")), tail, F.lit(">"))
+    return F.concat(F.lit(URN), F.coalesce(record_id.cast("string"), F.lit("")), tail, F.lit(END))
 
 
 def lines(parts: DataFrame) -> DataFrame:
@@ -92,6 +102,7 @@ def lines(parts: DataFrame) -> DataFrame:
         F.when(F.col("url").isNotNull(), F.concat(F.lit("WARC-Target-URI: "), F.regexp_replace("url", r"[\r\n]", " "))),
         F.when(chunk == 0, F.concat(F.lit("WARC-Payload-Digest: sha256:"), F.col("payload_digest"))),
         F.when(chunk == 0, F.concat(F.lit("WARC-Payload-Length: "), F.col("payload_bytes").cast("string"))),
+        F.when(F.col("refers_to").isNotNull(), F.lit(f"WARC-Profile: {PROFILE}")),
         F.when(F.col("refers_to").isNotNull(), F.concat(F.lit("WARC-Refers-To: "), _name(F.col("refers_to"), F.lit(0)))),
         F.when(segmented, F.concat(F.lit("WARC-Segment-Number: "), (chunk + 1).cast("string"))),
         F.when(segmented & (chunk > 0), F.concat(F.lit("WARC-Segment-Origin-ID: "), _name(record, F.lit(0)))),
@@ -125,20 +136,29 @@ def read(spark: SparkSession, path: str, size: int = CHUNK) -> DataFrame:
     raw = (
         spark.read.option("lineSep", "\n")
         .text(path)
-        .select(F.col("value").cast("binary").alias("line"), F.col("_metadata.file_path").alias("file"))
+        .select(
+            F.col("value").cast("binary").alias("line"),
+            F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("block"),
+        )
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser, file, out = None, None, []
         for batch in batches:
-            names = batch.column("file").to_pylist()
-            for line, name in zip(batch.column("line").to_pylist(), names):
+            for line, name, block in zip(*(batch.column(c).to_pylist() for c in ("line", "file", "block"))):
                 if name != file:
+                    if block:
+                        raise ValueError(f"{name}: an uncompressed archive was dealt out in blocks; compress it or read it as one")
+                    if parser:
+                        parser.finish(file)
                     parser, file = Records(size), name
                 out += parser.feed(line + b"\n")
                 if len(out) >= 64:
                     yield _batch(out)
                     out = []
+        if parser:
+            parser.finish(file)
         if out:
             yield _batch(out)
 
@@ -163,6 +183,12 @@ class Records:
     def __init__(self, size: int):
         self.size, self.head, self.left, self.row, self.parts, self.held = size, {}, None, None, [], 0
         self.hash, self.chunk, self.hashed = hashlib.sha256(), 0, 0
+        self.owed = self.more = False  # a line end after the payload; segments of the record
+
+    def finish(self, file: str) -> None:
+        """Fail if the archive ends within a record."""
+        if self.left is not None or self.head or self.owed or self.more:
+            raise ValueError(f"{file}: the archive ends within a record")
 
     def feed(self, line: bytes) -> Iterator[tuple]:
         if self.left is None:
@@ -172,6 +198,10 @@ class Records:
                 self.head[name.lower()] = value.strip()
             elif "content-length" in self.head:
                 yield from self._begin()
+            elif self.head:
+                raise ValueError(f"a record without Content-Length: {self.head}")
+            else:
+                self.owed = False
             return
         take = line[: self.left]
         self.left -= len(take)
@@ -187,9 +217,11 @@ class Records:
 
     def _begin(self) -> Iterator[tuple]:
         h, self.head = self.head, {}
-        name = lambda x: x.removeprefix("<urn:record:").removesuffix(">") if x else None
+        name = lambda x: x.removeprefix(URN).removesuffix(END) if x and x.startswith(URN) else x
         segment = int(h.get("warc-segment-number", 1))
         n, total = h.get("warc-payload-length"), int(h.get("warc-segment-total-length", 0)) or None
+        if (segment > 1) != self.more:
+            raise ValueError(f"segments that do not follow each other at {h.get('warc-record-id')}")
         if segment == 1:
             self.hash, self.chunk, self.hashed = hashlib.sha256(), 0, 0
             self.first = (
@@ -211,7 +243,7 @@ class Records:
         row = (*self.row, self.chunk, data, self.hashed, self.hash.hexdigest(), ends)
         self.chunk += 1
         if done:
-            self.left = None
+            self.left, self.owed, self.more = None, True, not ends
         return row
 
 

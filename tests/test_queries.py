@@ -85,7 +85,7 @@ def test_chunk_counts(spark, n, size, overlap, least, want):
 def test_contained_short_items(spark):
     items = spark.createDataFrame([(1, "one two"), (2, "a b c d e f g h"), (3, "zz")], "i long, it string")
     docs = spark.createDataFrame([(7, "see one two and a b c d e f g h."), (8, "a b c d e f g")], "d long, dt string")
-    assert {(r.i, r.d) for r in linkage.contained(items, docs, "it", "dt").collect()} == {(1, 7), (2, 7)}
+    assert {(r.i, r.d) for r in linkage.contained(items, docs, "i", "it", "d", "dt").collect()} == {(1, 7), (2, 7)}
 
 
 def test_path_rules(spark):

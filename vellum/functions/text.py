@@ -122,3 +122,76 @@ def file_name(c: Column) -> Column:
     x = F.when(x == "", F.lit("file")).otherwise(x)
     reserved = F.split_part(x, F.lit("."), F.lit(1)).rlike("^(con|prn|aux|nul|com[1-9]|lpt[1-9])$")
     return F.when(reserved, F.concat(x, F.lit("_file"))).otherwise(x)
+
+
+# Words that do not count in a title.
+TITLE_STOP_WORDS = ("a", "an", "and", "as", "by", "for", "from", "in", "of", "on", "or", "the", "to", "with")
+
+
+def title_tokens(c: Column) -> Column:
+    """The words of a title with over two letters or digits, without stop words, in order."""
+    stop = F.array(*[F.lit(w) for w in TITLE_STOP_WORDS])
+    words = F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0))
+    return F.filter(words, lambda w: (F.length(w) > 2) & ~F.array_contains(stop, w))
+
+
+# Fixed value: the form of an ISBN of 10 or 13 digits.
+ISBN = r"\b(?:97[89][-\s]?)?[0-9][-\s]?[0-9]{2,5}[-\s]?[0-9]{2,7}[-\s]?[0-9]{1,7}[-\s]?[0-9X]\b"
+
+
+def isbns(c: Column, most: int = 12) -> Column:
+    """The first distinct numbers that look like an ISBN."""
+    found = F.transform(F.regexp_extract_all(c, F.lit(ISBN), F.lit(0)), strip)
+    digits = lambda x: F.regexp_replace(x, "[^0-9X]", "")
+    good = lambda x: F.length(digits(x)).isin(10, 13) & digits(x).rlike("^(97|0|1)")
+    return F.slice(F.array_distinct(F.filter(found, good)), 1, most)
+
+
+def abstract(c: Column, most: int = 1600) -> Column:
+    """What stands between the word abstract and the keywords, the introduction or a first numbered line."""
+    found = F.regexp_extract(c, r"(?is)\babstract\b\s*(.+?)(?:\bkeywords\b|\bintroduction\b|\n\s*1[.\s]|$)", 1)
+    return F.substring(one_space(found), 1, most)
+
+
+def title_of_name(c: Column) -> Column:
+    """A title from a file name: the words after its year, three at least, each with a capital."""
+    stem = F.regexp_replace(c, r"\.(pdf|PDF)", "")
+    after = F.regexp_extract(stem, r"(?:19|20)[0-9]{2}[_\- ]*(.*)$", 1)
+    after = F.regexp_replace(F.regexp_replace(after, r"_supplement_[0-9]+$", ""), r"_part_[0-9]+$", "")
+    words = F.filter(F.split(after, r"[_\s]+"), lambda w: w != "")
+    capital = lambda w: F.when((F.upper(w) == w) & (F.lower(w) != w), w).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, F.lit(2), F.length(w)))))
+    return F.when(F.size(words) >= 3, F.array_join(F.transform(words, capital), " "))
+
+
+# Parts of section names and their place in a pack, first match first.
+SECTION_RANKS = (
+    ("abstract", 0), ("introduction", 10), ("background", 15), ("method", 20), ("material", 25), ("procedure", 30), ("result", 40),
+    ("finding", 45), ("table", 50), ("figure", 55), ("caption", 56), ("discussion", 60), ("limitation", 70), ("conclusion", 80),
+    ("appendix", 90), ("supplement", 95), ("acknowledg", 100), ("reference", 110), ("bibliograph", 115),
+)
+OTHER_RANK = 50
+# Parts of section names by bucket, first match first.
+SECTION_BUCKETS = (
+    ("references", ("reference", "bibliograph")),
+    ("acknowledgements", ("acknowledg", "funding", "conflict", "author_contribution")),
+    ("supplement", ("supplement", "appendix")),
+    ("critical", ("abstract", "introduction", "background", "method", "result", "discussion", "limitation", "conclusion", "table", "figure", "caption")),
+)
+
+
+def section_rank(name: Column) -> Column:
+    """Where a section stands in a pack."""
+    found = F.coalesce(*[F.when(F.contains(section_key(name), F.lit(part)), F.lit(rank)) for part, rank in SECTION_RANKS], F.lit(OTHER_RANK))
+    return found
+
+
+def section_bucket(name: Column) -> Column:
+    """What kind of section it is."""
+    kinds = [F.when(section_key(name).rlike("|".join(parts)), F.lit(kind)) for kind, parts in SECTION_BUCKETS]
+    return F.coalesce(*kinds, F.lit("standard"))
+
+
+def joined_sections(sections: Column) -> Column:
+    """A map of sections as one text, by rank and name."""
+    ranked = F.transform(F.map_entries(sections), lambda e: F.struct(section_rank(e["key"]).alias("rank"), e["key"].alias("key"), e["value"].alias("value")))
+    return F.array_join(F.transform(F.array_sort(ranked), lambda e: F.concat(e["key"], F.lit("\n"), e["value"])), "\n\n")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vellum.sources.session import ensure_checkpoint_dir
+
 
 def valid(rows: DataFrame, id_col: str, title_col: str) -> DataFrame:
     """``rows`` with the list of what is missing."""
@@ -33,6 +37,42 @@ def delete(old: DataFrame, ids: DataFrame | None, key: str) -> tuple[DataFrame,
     return old.join(ids.select(key).distinct(), key, "left_anti"), old.join(ids.select(key).distinct(), key, "left_semi")
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder of that name under the folder that all executors share."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}/{name}"
+
+
+def delete_exported(old: DataFrame, ids: DataFrame | None, key: str, path: str) -> tuple[DataFrame, DataFrame]:
+    """What stays, and what goes as it was exported to ``path`` in lines of JSON; fails if the counts do not add up."""
+    stay, gone = delete(old, ids, key)
+    gone.write.json(path)
+    exported = old.sparkSession.read.schema(old.schema).json(path)
+    if stay.count() + exported.count() != old.count():
+        raise ValueError("rows were lost on deletion")
+    return stay, exported
+
+
+def field(value: Column, kind: str) -> Column:
+    """A value as text: structs, maps and arrays as JSON, others as they print; null stays null."""
+    return F.to_json(value) if kind.startswith(("struct", "map", "array")) else value.cast("string")
+
+
+def serialised(rows: DataFrame) -> DataFrame:
+    """``rows`` with each column as text."""
+    return rows.select(*[field(F.col(c), kind).alias(c) for c, kind in rows.dtypes])
+
+
+def dump(rows: DataFrame, name: str, date: str, path: str) -> DataFrame:
+    """Write a line of JSON on the table, with its row count, and one for each row; return the lines as read back."""
+    spark = rows.sparkSession
+    rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("value")).write.text(f"{path}/rows")
+    lines = spark.read.text(f"{path}/rows")
+    about = F.to_json(F.struct(F.lit(name).alias("exported_from"), F.lit(date).alias("export_date"), F.col("total")))
+    lines.agg(F.count("*").alias("total")).select(about.alias("value")).write.text(f"{path}/metadata")
+    return spark.read.text([f"{path}/metadata", f"{path}/rows"])
+
+
 def digest(rows: DataFrame, key: str) -> DataFrame:
     """Row count and an order-free checksum of whole rows."""
     field = lambda c: F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("-"))

@@ -258,8 +258,7 @@ def s_33_urls(spark, sf_dir):
 def jn_13(spark, sf_dir):
     """Documents that hold a benchmark passage whole."""
     items = table(spark, sf_dir, "benchmark").withColumnRenamed("text", "item_text")
-    found = linkage.contained(items, table(spark, sf_dir, "documents").select("doc_id", "text"), "item_text", "text")
-    return found.select("item_id", "doc_id")
+    return linkage.contained(items, table(spark, sf_dir, "documents"), "item_id", "item_text", "doc_id", "text")
 
 
 _TITLES = "(SELECT page_id, regexp_extract(html, '<title[^>]*>([^<]*)</title>', 1) AS title FROM pages)"
@@ -273,20 +272,16 @@ def jn_18(spark, sf_dir):
     return linkage.shared_tokens(p, p, "page_id", "page_id", "title", "title")
 
 
-@query("""WITH p AS (SELECT url, lead(url) OVER (ORDER BY url, page_id) AS nxt, page_id FROM pages)
+@query("""WITH p AS (SELECT url, lead(url) OVER (ORDER BY url, page_id) AS nxt, page_id FROM pages WHERE url IS NOT NULL)
 SELECT page_id, list_max(list_filter(range(0, least(length(url), length(nxt)) + 1), lambda k: substring(url, 1, k) = substring(nxt, 1, k)))::INTEGER AS common
-FROM p WHERE nxt IS NOT NULL AND substring(url, 1, 20) = substring(nxt, 1, 20) AND length(url) >= 20 AND length(nxt) >= 20""")
+FROM p WHERE nxt IS NOT NULL""")
 def win_04(spark, sf_dir):
-    """Each url's common prefix with the next in order, 20 characters at least.
-
-    Neighbours are sought within a block of the first 20 characters, which a
-    qualifying pair shares, so no window spans the table.
-    """
-    from pyspark.sql import Window
+    """Each url's common prefix with the next in order."""
+    from vellum.sources.session import ensure_checkpoint_dir
 
-    p = table(spark, sf_dir, "pages").filter(F.length("url") >= 20).select("page_id", "url", F.substring("url", 1, 20).alias("block"))
-    p = p.withColumn("nxt", F.lead("url").over(Window.partitionBy("block").orderBy("url", "page_id"))).filter("nxt IS NOT NULL")
-    return p.select("page_id", text.common_prefix(F.col("url"), F.col("nxt")).alias("common"))
+    ensure_checkpoint_dir(spark)
+    p = linkage.following(table(spark, sf_dir, "pages").filter("url IS NOT NULL").select("url", "page_id"), ["url", "page_id"])
+    return p.filter("next IS NOT NULL").select("page_id", text.common_prefix(F.col("url"), F.col("next.url")).alias("common"))
 
 
 @query("""WITH bad AS (SELECT doc_id FROM labels WHERE toxic = 1), new AS (SELECT doc_id, 'xx' AS lang, source FROM documents WHERE doc_id IN (SELECT doc_id FROM bad)
@@ -308,9 +303,10 @@ def snk_03(spark, sf_dir):
 
 @query("SELECT doc_id, lang, NOT coalesce(l.toxic = 1, false) AS stays FROM (SELECT doc_id, lang FROM documents) d LEFT JOIN labels l USING (doc_id)")
 def snk_04(spark, sf_dir):
+    """Rows are exported before they are deleted, and counted; the export is read back."""
     d = table(spark, sf_dir, "documents").select("doc_id", "lang")
-    stay, go = store.delete(d, table(spark, sf_dir, "labels").filter("toxic = 1"), "doc_id")
-    return stay.withColumn("stays", F.lit(True)).unionByName(go.withColumn("stays", F.lit(False)))
+    stay, gone = store.delete_exported(d, table(spark, sf_dir, "labels").filter("toxic = 1"), "doc_id", store.folder(spark, "deleted"))
+    return stay.withColumn("stays", F.lit(True)).unionByName(gone.withColumn("stays", F.lit(False)))
 
 
 @query("""WITH r AS (SELECT sha256(coalesce(length(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(length(lang) || ':' || lang, '-') || coalesce(length(n_chars::VARCHAR) || ':' || n_chars, '-')
@@ -336,8 +332,8 @@ def set_05(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("a"), F.substring(norm, 1, 200).alias("b"), F.right(norm, F.lit(200)).alias("c"))
     pairs = None
     for k in "abc":
-        first = d.groupBy(k).agg(F.min("doc_id").alias("first_id"))
-        found = d.join(first, k).select("doc_id", "first_id")
+        told = d.filter(F.col(k) != "").select("doc_id", k)  # a blank key says nothing
+        found = told.join(told.groupBy(k).agg(F.min("doc_id").alias("first_id")), k).select("doc_id", "first_id")
         pairs = found if pairs is None else pairs.unionByName(found)
     groups = dedup.connected(pairs, "doc_id", "first_id")
     return groups.select(F.col("node").alias("doc_id"), F.col("label").alias("group_id"))
@@ -345,7 +341,7 @@ def set_05(spark, sf_dir):
 
 _CC = """
 WITH RECURSIVE d AS (SELECT doc_id, sha256(text) AS a, substring({0}, 1, 200) AS b, right({0}, 200) AS c FROM documents),
-e AS (SELECT x.doc_id AS u, y.doc_id AS v FROM d x JOIN d y ON x.a = y.a OR x.b = y.b OR x.c = y.c),
+e AS (SELECT x.doc_id AS u, y.doc_id AS v FROM d x JOIN d y ON x.a = y.a OR (x.b = y.b AND x.b <> '') OR (x.c = y.c AND x.c <> '')),
 r(u, v) AS (SELECT u, v FROM e UNION SELECT r.u, e.v FROM r JOIN e ON r.v = e.u)
 SELECT u AS doc_id, min(v) AS group_id FROM r GROUP BY 1""".format(sql_norm("text"))
 QUERIES["set_05"], ORACLE["set_05"] = set_05, _CC

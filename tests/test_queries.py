@@ -2,13 +2,14 @@
 
 import difflib
 import os
+import re
 
 import duckdb
 import pytest
 
 from pyspark.sql import functions as F
 
-from vellum.functions import gates, text
+from vellum.functions import gates, identity, text
 from vellum.operators import dedup, linkage, retrieval, store
 from vellum.plans import catalogue, flagship
 from vellum.sources.session import ensure_checkpoint_dir
@@ -94,3 +95,69 @@ def test_path_rules(spark):
     assert got["plain_name"] == [] and "windows_reserved_name" in got["CON"] and got["x" * 120] == ["stem_too_long"]
     assert got["a:b"] == ["illegal_or_non_normalized_chars"] and "trailing_space_or_dot" in got[" lead"]
     assert "timestamp_suffix_chain" in got["run_20240101123"] and "full_path_too_long" in got["long/" * 60]
+
+
+def test_neighbours_of_ranges(spark):
+    ensure_checkpoint_dir(spark)
+    words = [("a" * (k % 7) + str(k % 3), k) for k in range(300)]
+    got = linkage.following(spark.createDataFrame(words, "w string, k long").repartition(6), ["w", "k"]).collect()
+    order = sorted(words)
+    assert {(r.w, r.k): r.next and tuple(r.next) for r in got} == dict(zip(order, [*order[1:], None]))
+    assert linkage.following(spark.createDataFrame([], "w string, k long"), ["w", "k"]).count() == 0
+
+
+def test_shared_tokens_take_the_first_partner(spark):
+    rows = [(1, "red green blue"), (2, "green red"), (3, "red"), (4, "blue green"), (5, None), (6, "red blue"), (7, "red green blue black")]
+    df = spark.createDataFrame(rows, "i long, t string")
+    got = {r.l_id: (r.r_id, r.shared) for r in linkage.shared_tokens(df, df, "i", "i", "t", "t").collect()}
+    assert got == {1: (2, 2), 2: (1, 2), 4: (1, 2), 6: (1, 2), 7: (1, 3)}
+
+
+def _same(a, b):
+    """The verdict on two records, step by step."""
+    ratio = lambda x, y: difflib.SequenceMatcher(None, x, y).ratio() if x and y else 0.0
+    cut = lambda t: len(t) < 40 or not (t.strip()[-1].isalnum() or t.strip()[-1] in ".?!") or bool(re.search(identity.CUT_TITLE, t.strip()))
+    if a["doi"] and a["doi"] == b["doi"]:
+        return True
+    t, x = ratio(a["key"], b["key"]), ratio(a["abstract"], b["abstract"])
+    if not cut(a["title"]) and not cut(b["title"]) and t < 0.95:
+        return False
+    sizes = len(a["abstract"]), len(b["abstract"])
+    if min(sizes) >= 100:
+        if x < (0.92 if cut(a["title"]) and cut(b["title"]) else 0.85):
+            return False
+        if x >= 0.92 and min(sizes) >= 200:
+            return True
+    if a["key"] and a["key"] == b["key"] or t >= 0.92:
+        return True
+    if a["file"] and a["file"] == b["file"] and (t >= 0.5 or not a["key"] or not b["key"]):
+        return True
+    n = len(os.path.commonprefix([a["id"], b["id"]]))
+    return n >= 50 and len(a["id"]) - n <= 4 and len(b["id"]) - n <= 4 and bool(a["key"] and a["key"] == b["key"] or a["file"] and a["file"] == b["file"])
+
+
+def test_likely_duplicates(spark):
+    long_id, words = "x" * 52, "the timing of rhythm in the human brain and its response to music"
+    records = [
+        dict(id=i, doi=d, title=t, key=t.lower().strip(), abstract=a, file=f)
+        for i, d, t, a, f in [
+            ("a1", "10.1/a", words, "", ""), ("a2", "10.1/a", "other", "", ""), (long_id + "_1", "", words, "y" * 250, "f"), (long_id + "_2", "", words + " or", "y" * 248 + "zz", "f"),
+            ("b1", "", words[:50], "p q " * 60, "g"), ("b2", "", words + " x", "r s t " * 60, "g"), ("c", "", "", "", "f"), ("d", "", "short", "", "h"), ("e", "", "short", "k" * 150, "h"),
+        ]
+    ]
+    kind = "struct<id:string,doi:string,title:string,key:string,abstract:string,file:string>"
+    pairs = [(x, y) for x in records for y in records]
+    df = spark.createDataFrame(pairs, f"a {kind}, b {kind}").withColumns(
+        {"t": linkage.seq_ratio("a.key", "b.key"), "x": linkage.seq_ratio("a.abstract", "b.abstract")}
+    )
+    known = lambda f, r: F.when((F.col(f"a.{f}") != "") & (F.col(f"b.{f}") != ""), F.col(r)).otherwise(0.0)
+    same = identity.likely_duplicates(F.col("a"), F.col("b"), known("key", "t"), known("abstract", "x"), text.common_prefix(F.col("a.id"), F.col("b.id")))
+    got = {(r.p, r.q): r.s for r in df.select(F.col("a.id").alias("p"), F.col("b.id").alias("q"), same.alias("s")).collect()}
+    assert got == {(x["id"], y["id"]): _same(x, y) for x, y in pairs} and set(got.values()) == {True, False}
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the tables are not here")
+def test_neighbouring_duplicates(spark):
+    found = catalogue.queries()["c_24"](spark, SF).collect()
+    assert len(found) == spark.read.parquet(f"{SF}/documents.parquet").count() - 1
+    assert any(r.duplicate for r in found) and not all(r.duplicate for r in found)

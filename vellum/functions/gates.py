@@ -171,3 +171,130 @@ def path_problems(path: Column, stem: Column, safe: Column) -> Column:
             F.when(stem.rlike(r"([_-][0-9]{7,})+$"), "timestamp_suffix_chain"),
         )
     )
+
+
+# Patterns of pages that carry nothing, and of pages that carry something.
+HTML_JUNK = (
+    r"there was a problem providing the content",
+    r"access denied",
+    r"403 forbidden",
+    r"404 not found",
+    r"page not found",
+    r"cookie.?consent",
+    r"enable cookies",
+    r"refused to connect",
+    r"service unavailable",
+    r"temporarily unavailable",
+    r"robot.?check",
+    r"captcha",
+    r"sign in to continue",
+    r"purchase this article",
+    r"institutional access",
+)
+HTML_USEFUL = (
+    r"doi\.org/",
+    r"supplement",
+    r"supplementary",
+    r"mmc[0-9]",
+    r"supporting information",
+    r"appendix",
+    r"erratum",
+    r"corrigendum",
+    r"abstract",
+    r"journal",
+    r"sciencedirect\.com/science/article",
+)
+DOI = r"10\.[0-9]{4,9}/[^\s\"'<>]+"
+
+
+def _hits(low: Column, patterns: tuple[str, ...]) -> Column:
+    return sum((low.rlike(p).cast("int") for p in patterns), F.lit(0))
+
+
+def html_scores(html: Column) -> Column:
+    """Counts of the signs that a page carries nothing (``junk``) and that it carries something (``useful``)."""
+    low = F.lower(html)
+    title = F.trim(F.regexp_extract(html, r"(?is)<title[^>]*>([^<]{4,300})</title>", 1))
+    named = (F.length(title) >= 8) & ~F.lower(title).rlike("error|denied|cookie|sign in")
+    useful = _hits(low, HTML_USEFUL) + named.cast("int") + F.when(low.rlike(DOI), 2).otherwise(0)
+    return F.struct(_hits(low, HTML_JUNK).alias("junk"), useful.alias("useful"))
+
+
+def html_class(scores: Column, size: Column, child: Column) -> Column:
+    """What a page found beside an article is."""
+    return (
+        F.when((scores["junk"] >= 2) & (scores["useful"] == 0), "HTML_OR_TEXT_JUNK")
+        .when(child, "HTML_OR_TEXT_CHILD_DOCUMENT")
+        .when(scores["useful"] >= 1, "HTML_OR_TEXT_REFERENCE")
+        .when(size < 200, "HTML_OR_TEXT_JUNK")
+        .otherwise("MODEL_RECOVERY_REQUIRED")
+    )
+
+
+def mime_recoverable(value: Column) -> Column:
+    """Whether a mail-like wrapper holds something: a PDF, an attachment, a DOI or much text."""
+    low = F.lower(value)
+    hint = low.rlike(r'application/pdf|filename="\*\.pdf"|filename=\.pdf|content-disposition: attachment|content-type: application/')
+    return hint | low.rlike(DOI) | (F.length(F.regexp_replace(value, r"^\s+|\s+$", "")) > 400)
+
+
+def limited_item(name: Column, value: Column, pages: Column, status: Column, can_rate: Column) -> Column:
+    """Abstracts and pages of proceedings, kept but not rated: a verdict and its reasons."""
+    sample = F.lower(F.regexp_replace(F.concat_ws(" ", name, F.substring(value, 1, 12000)), r"\s+", " "))
+    dois = F.size(F.regexp_extract_all(F.lower(value), F.lit(r"\bdoi\s*:\s*10\.[0-9]{4,9}/\S+"), F.lit(0)))
+    marker = sample.rlike("abstracts /|conference abstracts")
+    reasons = F.array_compact(
+        F.array(
+            F.when(marker, "page_marker"),
+            F.when(dois >= 2, "several_dois"),
+            F.when(pages <= 2, "few_pages"),
+            F.when(status == "INSUFFICIENT_FOR_EVALUATION", "coverage"),
+        )
+    )
+    verdict = (F.size(reasons) > 0) & (marker | (dois >= 2) | F.contains(sample, F.lit("conference abstract"))) & F.coalesce(~can_rate, F.lit(False))
+    return F.struct(verdict.alias("limited"), reasons.alias("reasons"))
+
+
+# The words that show a section.
+SECTION_SIGNALS = (
+    ("abstract", r"\babstract\b"),
+    ("introduction", r"\bintroduction\b"),
+    ("methods", r"\b(?:materials?\s+and\s+)?methods?\b"),
+    ("results", r"\bresults?\b"),
+    ("discussion", r"\bdiscussion\b"),
+    ("references", r"\breferences\b"),
+)
+
+
+def section_signals(value: Column) -> Column:
+    """The sections that a text shows signs of."""
+    return F.array_compact(F.array(*[F.when(F.lower(value).rlike(p), name) for name, p in SECTION_SIGNALS]))
+
+
+def likely_article(article: Column, reference: Column, kind: Column, name: Column, title: Column) -> Column:
+    """Whether signals, type, file name and title speak for a journal article."""
+    typed = F.lower(F.coalesce(kind, F.lit(""))).isin("journal_article", "empirical", "review", "meta_analysis")
+    named = F.lower(name).rlike(r"\b(journal|psychophysiology|neuroscience|biological psychology)\b")
+    titled = (F.coalesce(title, F.lit("")) != "") & (reference == 0)
+    return ((article >= 2) & (reference <= 1)) | ((article >= 1) & (typed | named)) | (~named & (article >= 1) & titled)
+
+
+# Words in a justification that call for a second look, the first one counts.
+HIGH_VALUE = ("systematic review", "meta-analysis", "meta analysis", "randomized", "rct", "preregister", "landmark")
+
+
+def escalation(rating: Column, confidence: Column, justification: Column, omitted: Column, error: Column) -> Column:
+    """Why a result should go to the next model; none if it need not."""
+    low = F.lower(F.coalesce(justification, F.lit("")))
+    sure = F.lower(F.coalesce(confidence, F.lit("medium")))
+    word = F.coalesce(*[F.when(F.contains(low, F.lit(w)), w) for w in HIGH_VALUE])
+    reasons = F.array_compact(
+        F.array(
+            F.when(sure.isin("low", "medium"), F.concat(F.lit("confidence="), sure)),
+            F.when(F.lower(rating).isin("strong", "adequate"), F.concat(F.lit("borderline_rating="), F.lower(rating))),
+            F.when(F.length(low) < 200, "short_justification"),
+            F.when(F.exists(omitted, lambda o: F.lower(o).rlike("methods|results|discussion")), "critical_sections_omitted"),
+            F.concat(F.lit("high_value_keyword:"), word),
+        )
+    )
+    return F.when(error, F.array(F.lit("validation_failed"))).otherwise(reasons)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from vellum.functions.text import nz
+from vellum.functions.text import nz, plain
 
 # What each class of content becomes, and the public name of each action.
 DISPOSITION = {
@@ -198,3 +198,39 @@ def name_quality(name: Column) -> Column:
         when(n.startswith("1-s2.0-") | n.startswith("1_s2_0_"), 1000) + when(n.contains("unknown_unknown"), 2000) + when(name.rlike(r"\([0-9]\)"), 500)
         + when(name.contains("_main"), 200) - when(name.rlike("^[a-z]+_[0-9]{4}_"), 500) - when(name.rlike("^[a-z]+_[a-z]+_"), 100) + F.length(name)
     )
+
+
+# Fixed value: ends of titles that were cut off.
+CUT_TITLE = r"(?i)\s+(or|hyp|a|m|1|h\s*1|s\s*u|n[oa]|the)$|[^a-z0-9]$|_[0-9]$"
+
+
+def cut_title(title: Column) -> Column:
+    """Whether a title is short or looks cut off."""
+    bare = F.regexp_replace(F.coalesce(title, F.lit("")), r"^\s+|\s+$", "")
+    return (F.length(F.coalesce(title, F.lit(""))) < 40) | ~bare.rlike(r"[\p{L}\p{N}.?!]$") | bare.rlike(CUT_TITLE)
+
+
+def likely_duplicates(a: Column, b: Column, title_ratio: Column, abstract_ratio: Column, same_prefix: Column) -> Column:
+    """Whether two records are surely one paper.
+
+    ``a`` and ``b`` have the text fields id, doi, title, key (the title normalised),
+    abstract and file, blank where unknown; the ratios are those of keys and of
+    abstracts (0 where one is blank), ``same_prefix`` the length of the ids' common prefix.
+    """
+    both = lambda f: (a[f] != "") & (b[f] != "")
+    same = lambda f: both(f) & (a[f] == b[f])
+    size = lambda x: F.length(x["abstract"])
+    clean_a, clean_b = ~cut_title(a["title"]), ~cut_title(b["title"])
+    told = (size(a) >= 100) & (size(b) >= 100)
+    least = F.when(~clean_a & ~clean_b, 0.92).otherwise(0.85)
+    made_up = lambda x: (x["key"] == "") | (x["key"] == plain(x["id"]))
+    cut_ids = (same_prefix >= 50) & (F.length(a["id"]) - same_prefix <= 4) & (F.length(b["id"]) - same_prefix <= 4)
+    return (
+        F.when(same("doi"), True)
+        .when(clean_a & clean_b & (title_ratio < 0.95), False)
+        .when(told & (abstract_ratio < least), False)
+        .when(told & (abstract_ratio >= 0.92) & (size(a) >= 200) & (size(b) >= 200), True)
+        .when(same("key") | (both("key") & (title_ratio >= 0.92)), True)
+        .when(same("file") & ((title_ratio >= 0.5) | made_up(a) | made_up(b)), True)
+        .otherwise(cut_ids & (same("key") | same("file")))
+    )

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vellum.functions import text
-from vellum.operators import store
+from vellum.functions import gates, identity, text
+from vellum.operators import linkage, store
 from vellum.plans.common import NOW, sql_norm, sql_strip
+from vellum.sources.session import ensure_checkpoint_dir
 from vellum.sources.tables import table
 
 QUERIES: dict = {}
@@ -158,3 +159,120 @@ def snk_07(spark, sf_dir):
     path = store.folder(spark, "csv")
     rows.write.option("header", True).option("escape", '"').csv(path)
     return spark.read.schema(rows.schema).option("header", True).option("escape", '"').csv(path)
+
+
+# -- ladders
+
+_PAGE = """html || CASE page_id % 6 WHEN 0 THEN ' Access denied: 403 forbidden, please enable cookies ' WHEN 1 THEN ' Supporting information and appendix '
+WHEN 2 THEN ' see doi.org/10.1234/ab.' || page_id || ' captcha' ELSE '' END"""
+_BARE = f"CASE WHEN page_id % 4 = 0 THEN regexp_replace({_PAGE}, '<title[^>]*>[^<]*</title>', '') ELSE {_PAGE} END"
+
+
+@query(rf"""WITH p AS (SELECT page_id, {_BARE} AS h FROM pages), l AS (SELECT page_id, h, lower(h) AS low, trim(regexp_extract(h, '(?is)<title[^>]*>([^<]{{4,300}})</title>', 1)) AS title FROM p),
+s AS (SELECT page_id, length(h) AS size,
+  regexp_matches(low, 'there was a problem providing the content')::INT + contains(low, 'access denied')::INT + contains(low, '403 forbidden')::INT + contains(low, '404 not found')::INT
+  + contains(low, 'page not found')::INT + regexp_matches(low, 'cookie.?consent')::INT + contains(low, 'enable cookies')::INT + contains(low, 'refused to connect')::INT + contains(low, 'service unavailable')::INT
+  + contains(low, 'temporarily unavailable')::INT + regexp_matches(low, 'robot.?check')::INT + contains(low, 'captcha')::INT + contains(low, 'sign in to continue')::INT + contains(low, 'purchase this article')::INT
+  + contains(low, 'institutional access')::INT AS junk,
+  contains(low, 'doi.org/')::INT + contains(low, 'supplement')::INT + contains(low, 'supplementary')::INT + regexp_matches(low, 'mmc[0-9]')::INT + contains(low, 'supporting information')::INT + contains(low, 'appendix')::INT
+  + contains(low, 'erratum')::INT + contains(low, 'corrigendum')::INT + contains(low, 'abstract')::INT + contains(low, 'journal')::INT + contains(low, 'sciencedirect.com/science/article')::INT
+  + (length(title) >= 8 AND NOT regexp_matches(lower(title), 'error|denied|cookie|sign in'))::INT + CASE WHEN regexp_matches(low, '10\.[0-9]{{4,9}}/[^\s"''<>]+') THEN 2 ELSE 0 END AS useful FROM l)
+SELECT page_id, junk, useful, CASE WHEN junk >= 2 AND useful = 0 THEN 'HTML_OR_TEXT_JUNK' WHEN page_id % 5 = 0 THEN 'HTML_OR_TEXT_CHILD_DOCUMENT' WHEN useful >= 1 THEN 'HTML_OR_TEXT_REFERENCE'
+  WHEN size < 200 THEN 'HTML_OR_TEXT_JUNK' ELSE 'MODEL_RECOVERY_REQUIRED' END AS class FROM s""")
+def c_07(spark, sf_dir):
+    """Pages by all signs of junk and of use."""
+    html = F.expr(_BARE)
+    p = table(spark, sf_dir, "pages").select("page_id", html.alias("h")).select("page_id", F.length("h").alias("size"), gates.html_scores(F.col("h")).alias("s"))
+    return p.select("page_id", "s.junk", "s.useful", gates.html_class(F.col("s"), F.col("size"), F.col("page_id") % 5 == 0).alias("class"))
+
+
+_MAIL = """CASE turn % 4 WHEN 0 THEN text WHEN 1 THEN substring(text, 1, 50) || chr(10) || 'Content-Disposition: ATTACHMENT; filename=.pdf' WHEN 2 THEN substring(text, 1, 80) || ' 10.1000/x' || conv_id ELSE '  ' || substring(text, 1, 30) END"""
+
+
+@query(rf"""WITH m AS (SELECT conv_id, turn, {_MAIL} AS m FROM conversations)
+SELECT conv_id, turn, contains(lower(m), 'application/pdf') OR contains(lower(m), 'filename="*.pdf"') OR contains(lower(m), 'filename=.pdf') OR contains(lower(m), 'content-disposition: attachment')
+  OR contains(lower(m), 'content-type: application/') OR regexp_matches(m, '10\.[0-9]{{4,9}}/[^\s"''<>]+') OR length({sql_strip('m')}) > 400 AS recoverable FROM m""")
+def c_08(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", gates.mime_recoverable(F.expr(_MAIL)).alias("recoverable"))
+
+
+_ITEM = """CASE doc_id % 5 WHEN 0 THEN 'Conference  Abstracts. ' || text WHEN 1 THEN text || ' DOI: 10.1234/a1 and doi:10.1234/b' || doc_id WHEN 2 THEN 'A conference abstract. ' || text ELSE text END"""
+
+
+@query(rf"""WITH d AS (SELECT doc_id, {_ITEM} AS t, (n_chars // 1500 + 1)::INT AS pages, CASE WHEN n_chars < 2000 THEN 'INSUFFICIENT_FOR_EVALUATION' ELSE 'COMPLETE_ENOUGH' END AS status FROM documents),
+s AS (SELECT *, lower(regexp_replace('file ' || substring(t, 1, 12000), '\s+', ' ', 'g')) AS sample, len(regexp_extract_all(lower(t), '\bdoi\s*:\s*10\.[0-9]{{4,9}}/\S+')) AS dois FROM d),
+r AS (SELECT *, contains(sample, 'abstracts /') OR contains(sample, 'conference abstracts') AS marker FROM s)
+SELECT doc_id, (marker OR dois >= 2 OR (contains(sample, 'conference abstract') AND (pages <= 2 OR status <> 'COMPLETE_ENOUGH'))) AND status <> 'COMPLETE_ENOUGH' AS limited,
+  concat_ws(',', CASE WHEN marker THEN 'page_marker' END, CASE WHEN dois >= 2 THEN 'several_dois' END, CASE WHEN pages <= 2 THEN 'few_pages' END, CASE WHEN status <> 'COMPLETE_ENOUGH' THEN 'coverage' END) AS reasons FROM r""")
+def c_05(spark, sf_dir):
+    """Abstracts and proceedings; the sample for the marks has a bound of its own, DOIs are counted in whole texts."""
+    status = F.when(F.col("n_chars") < 2000, "INSUFFICIENT_FOR_EVALUATION").otherwise("COMPLETE_ENOUGH")
+    found = gates.limited_item(F.lit("file"), F.expr(_ITEM), F.floor(F.col("n_chars") / 1500) + 1, status, status == "COMPLETE_ENOUGH")
+    return table(spark, sf_dir, "documents").select("doc_id", found.alias("f")).select("doc_id", "f.limited", F.array_join("f.reasons", ",").alias("reasons"))
+
+
+_PAPER = "text || CASE doc_id % 4 WHEN 0 THEN ' Abstract. Materials and Methods. Results' WHEN 1 THEN ' INTRODUCTION and discussion' WHEN 2 THEN ' methodical resultant references' ELSE '' END"
+
+
+@query(rf"""WITH t AS (SELECT doc_id, source, lang, lower({_PAPER}) AS t FROM documents),
+s AS (SELECT doc_id, source, lang, regexp_matches(t, '\babstract\b') AS a, regexp_matches(t, '\bintroduction\b') AS i, regexp_matches(t, '\b(?:materials?\s+and\s+)?methods?\b') AS m,
+  regexp_matches(t, '\bresults?\b') AS r, regexp_matches(t, '\bdiscussion\b') AS d, regexp_matches(t, '\breferences\b') AS f FROM t)
+SELECT doc_id, concat_ws(',', CASE WHEN a THEN 'abstract' END, CASE WHEN i THEN 'introduction' END, CASE WHEN m THEN 'methods' END, CASE WHEN r THEN 'results' END, CASE WHEN d THEN 'discussion' END, CASE WHEN f THEN 'references' END) AS sections FROM s""")
+def c_14(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(gates.section_signals(F.expr(_PAPER)), ",").alias("sections"))
+
+
+@query("""WITH e AS (SELECT event_id, (event_id % 3)::INT AS ja, (event_id // 3 % 3)::INT AS ref, event_type AS kind, CASE WHEN user_id % 3 = 0 THEN 'A Journal of ' || user_id ELSE 'journals_' || user_id END AS name,
+  CASE WHEN event_id % 2 = 0 THEN event_type END AS title FROM events)
+SELECT event_id, CASE WHEN ja >= 2 AND ref <= 1 THEN true WHEN kind IN ('journal_article', 'empirical', 'review', 'meta_analysis') AND ja >= 1 THEN true
+  WHEN starts_with(name, 'A Journal') THEN ja >= 1 WHEN title IS NOT NULL AND ja >= 1 AND ref = 0 THEN true ELSE false END AS article FROM e""")
+def c_15(spark, sf_dir):
+    """Journal articles by their signals, type, file name and title."""
+    e = table(spark, sf_dir, "events")
+    name = F.when(F.col("user_id") % 3 == 0, F.concat(F.lit("A Journal of "), "user_id")).otherwise(F.concat(F.lit("journals_"), "user_id"))
+    title = F.when(F.col("event_id") % 2 == 0, F.col("event_type"))
+    return e.select("event_id", gates.likely_article(F.col("event_id") % 3, F.floor(F.col("event_id") / 3) % 3, F.col("event_type"), name, title).alias("article"))
+
+
+@query("""WITH c AS (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'Strong' WHEN 1 THEN 'flawed' ELSE 'adequate' END AS rating, CASE conv_id % 3 WHEN 0 THEN 'High' WHEN 1 THEN 'LOW' END AS conf,
+  text || CASE conv_id % 4 WHEN 0 THEN ' A Systematic Review' WHEN 1 THEN ' landmark rct' ELSE '' END AS j FROM conversations)
+SELECT conv_id, turn, CASE WHEN conv_id % 11 = 0 THEN 'validation_failed' ELSE concat_ws(',', CASE WHEN coalesce(lower(conf), 'medium') <> 'high' THEN 'confidence=' || coalesce(lower(conf), 'medium') END,
+  CASE WHEN lower(rating) <> 'flawed' THEN 'borderline_rating=' || lower(rating) END, CASE WHEN length(j) < 200 THEN 'short_justification' END, CASE WHEN turn % 2 = 1 THEN 'critical_sections_omitted' END,
+  'high_value_keyword:' || CASE WHEN contains(lower(j), 'systematic review') THEN 'systematic review' WHEN contains(lower(j), 'meta-analysis') THEN 'meta-analysis' WHEN contains(lower(j), 'meta analysis') THEN 'meta analysis'
+    WHEN contains(lower(j), 'randomized') THEN 'randomized' WHEN contains(lower(j), 'rct') THEN 'rct' WHEN contains(lower(j), 'preregister') THEN 'preregister' WHEN contains(lower(j), 'landmark') THEN 'landmark' END) END AS reasons FROM c""")
+def c_35(spark, sf_dir):
+    """Why a result goes to the next model."""
+    rating = F.when(F.col("turn") % 3 == 0, "Strong").when(F.col("turn") % 3 == 1, "flawed").otherwise("adequate")
+    confidence = F.when(F.col("conv_id") % 3 == 0, "High").when(F.col("conv_id") % 3 == 1, "LOW")
+    said = F.concat("text", F.when(F.col("conv_id") % 4 == 0, " A Systematic Review").when(F.col("conv_id") % 4 == 1, " landmark rct").otherwise(""))
+    omitted = F.when(F.col("turn") % 2 == 1, F.array(F.lit("notes"), F.lit("Results 2"))).otherwise(F.array(F.lit("notes")))
+    reasons = gates.escalation(rating, confidence, said, omitted, F.col("conv_id") % 11 == 0)
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(reasons, ",").alias("reasons"))
+
+
+# -- duplicates
+
+
+def c_24(spark, sf_dir):
+    """Documents that are surely the same as the next one in the order of their titles (no SQL: the ratio of texts)."""
+    ensure_checkpoint_dir(spark)
+    line = F.split_part("text", F.lit("\n"), F.lit(1))
+    d = table(spark, sf_dir, "documents").select(
+        text.plain(line).alias("key"),
+        F.concat(F.lit("doc_"), "doc_id").alias("id"),
+        F.coalesce(text.doi(F.col("text")), F.lit("")).alias("doi"),
+        line.alias("title"),
+        F.substring(F.substr("text", F.length(line) + 2), 1, 1000).alias("abstract"),
+        F.coalesce("source", F.lit("")).alias("file"),
+    )
+    fields = ["key", "id", "doi", "title", "abstract", "file"]
+    pairs = linkage.following(d.fillna("", fields), fields).filter("next IS NOT NULL")
+    a, b = F.struct(*fields), F.col("next")
+    known = lambda f, r: F.when((F.col(f) != "") & (b[f] != ""), r).otherwise(0.0)
+    ratios = pairs.withColumns({"title_ratio": linkage.seq_ratio(F.col("key"), b["key"]), "abstract_ratio": linkage.seq_ratio(F.col("abstract"), b["abstract"])})
+    prefix = text.common_prefix(F.col("id"), b["id"])
+    same = identity.likely_duplicates(a, b, known("key", F.col("title_ratio")), known("abstract", F.col("abstract_ratio")), prefix)
+    return ratios.select("id", b["id"].alias("next_id"), same.alias("duplicate"))
+
+
+QUERIES["c_24"] = c_24

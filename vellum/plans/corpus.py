@@ -239,14 +239,6 @@ def c_01(spark, sf_dir):
     return p.unionByName(d).select("kind", "id", gates.sniffed(F.col("t")).alias("content"))
 
 
-@query("""SELECT page_id, regexp_extract(html, '<title[^>]*>([^<]*)</title>', 1) AS title,
-  CASE WHEN length(html) < 200 THEN 'junk' WHEN length(regexp_extract(html, '<title[^>]*>([^<]*)</title>', 1)) >= 12 THEN 'useful' ELSE 'unclear' END AS class FROM pages""")
-def c_07(spark, sf_dir):
-    title = F.regexp_extract("html", "<title[^>]*>([^<]*)</title>", 1)
-    kind = F.when(F.length("html") < 200, "junk").when(F.length(title) >= 12, "useful").otherwise("unclear")
-    return table(spark, sf_dir, "pages").select("page_id", title.alias("title"), kind.alias("class"))
-
-
 @query("""SELECT page_id, regexp_extract(url, '^(https?)://', 1) AS scheme, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host,
   regexp_extract(url, '[?&]page=([^&#]*)', 1) AS page FROM pages""")
 def s_33_urls(spark, sf_dir):

@@ -298,3 +298,26 @@ def escalation(rating: Column, confidence: Column, justification: Column, omitte
         )
     )
     return F.when(error, F.array(F.lit("validation_failed"))).otherwise(reasons)
+
+
+def scan_like(pages: Column, size: Column) -> Column:
+    """Three pages or more with hardly any text."""
+    return (F.coalesce(pages, F.lit(0)) >= 3) & (F.coalesce(size, F.lit(0)) < LEAST)
+
+
+def expired(moved_at: Column, now: Column, days: int = 14) -> Column:
+    """Whether a rejected file has lain there for ``days``."""
+    return now >= moved_at + F.make_dt_interval(F.lit(days))
+
+
+# Types of documents that get no research rating.
+NON_RATABLE_TYPES = (
+    "book", "edited_volume", "book_chapter", "manual", "product_manual", "dictionary", "reference_document", "report", "thesis",
+    "poster_or_abstract", "conference_abstract", "conference_proceedings", "handbook", "non_research_reference", "supplement",
+    "supplementary_material", "corrigendum", "erratum", "correction",
+)
+
+
+def non_ratable_type(kind: Column) -> Column:
+    """Whether a type, in any spelling, gets no research rating."""
+    return F.coalesce(F.translate(F.lower(F.trim(kind)), "- ", "__").isin(*NON_RATABLE_TYPES), F.lit(False))

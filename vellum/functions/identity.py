@@ -234,3 +234,43 @@ def likely_duplicates(a: Column, b: Column, title_ratio: Column, abstract_ratio:
         .when(same("file") & ((title_ratio >= 0.5) | made_up(a) | made_up(b)), True)
         .otherwise(cut_ids & (same("key") | same("file")))
     )
+
+
+# Parts of what is no person's name.
+NO_NAME = (
+    "also available", "altering fate", "consciousness", "deception", "development", "emotion and", "guilford", "handbook", "isbn",
+    "lying", "mind in context", "past does not predict", "psychological construction", "rise of consciousness",
+)
+
+
+def person_name(c: Column) -> Column:
+    """Whether a text looks like a person's name: two to five words, two of them with a capital."""
+    clean = F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "), r"^[ ,.;:]+|[ ,.;:]+$", "")
+    words = F.split(clean, " ")
+    long = F.filter(words, lambda w: F.length(F.regexp_replace(w, "[^A-Za-z-]", "")) >= 2)
+    capital = F.filter(words, lambda w: w.rlike(r"^\p{Lu}"))
+    sizes = F.length(clean).between(5, 80) & F.size(words).between(2, 5) & (F.size(long) >= 2) & (F.size(capital) >= 2)
+    return sizes & ~F.lower(clean).rlike("|".join(NO_NAME))
+
+
+def path_owner(path: Column, owners: Column, supplement_owners: Column) -> Column:
+    """Who owns a path: the rows that name it, else the folder it lies in, else its ending."""
+    low = F.lower(path)
+    below = lambda folder: F.contains(low, F.lit(f"/{folder}/"))
+    return (
+        F.when(owners == 1, "db_owned_source_pdf")
+        .when(owners > 1, "db_owned_source_pdf_ambiguous")
+        .when(supplement_owners == 1, "source_pdf_supplement_child")
+        .when(supplement_owners > 1, "source_pdf_supplement_child_ambiguous")
+        .when(below("source_pdfs"), "source_pdf_unowned_or_unmatched")
+        .when(below("staging_metadata") | low.endswith(".staging.json"), "sidecar")
+        .when(below("pending_parent") & low.endswith(".pending.json"), "sidecar")
+        .when(below("pending_parent"), "pending_child_support_doc")
+        .when(below("staging"), "staging_file")
+        .when(below("backups"), "backup")
+        .when(below("logs"), "log")
+        .when(below("audit"), "audit")
+        .when(below("cache"), "cache")
+        .when(low.rlike(r"[.](py|md|txt|toml|yaml|yml|json|csv)$"), "code_config")
+        .otherwise("unknown_runtime_file")
+    )

@@ -73,6 +73,25 @@ def dump(rows: DataFrame, name: str, date: str, path: str) -> DataFrame:
     return spark.read.text([f"{path}/metadata", f"{path}/rows"])
 
 
+def append_events(rows: DataFrame, path: str) -> None:
+    """Add ``rows`` to a log of JSON lines."""
+    rows.write.mode("append").json(path)
+
+
+def log(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The events of a log of JSON lines; blank lines and lines that hold no object are passed over."""
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    kind = F.schema_of_variant(F.try_parse_json("value"))
+    return lines.filter(kind.startswith("OBJECT")).select(F.from_json("value", schema).alias("e")).select("e.*")
+
+
+def export_texts(rows: DataFrame, text_col: str, extraction_col: str, path: str) -> DataFrame:
+    """Rows with a text or an extraction as JSON lines, read back."""
+    some = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    rows.filter(some(text_col) | some(extraction_col)).write.json(path)
+    return rows.sparkSession.read.schema(rows.schema).json(path)
+
+
 def digest(rows: DataFrame, key: str) -> DataFrame:
     """Row count and an order-free checksum of whole rows."""
     field = lambda c: F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("-"))

@@ -276,3 +276,87 @@ def c_24(spark, sf_dir):
 
 
 QUERIES["c_24"] = c_24
+
+
+# -- tables, logs and files
+
+
+@query("SELECT doc_id, lang, source, n_chars FROM documents")
+def src_03(spark, sf_dir):
+    """All but the heavy column; the scan does not read it."""
+    return table(spark, sf_dir, "documents").drop("text")
+
+
+@query("SELECT doc_id, lang, sha256(coalesce(text, '')) AS text, CASE WHEN doc_id % 3 = 0 THEN 'native' END AS extraction FROM documents WHERE text <> '' OR doc_id % 3 = 0")
+def snk_09(spark, sf_dir):
+    """Whole texts as JSON lines, read back; their digests."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "text", F.when(F.col("doc_id") % 3 == 0, "native").alias("extraction"))
+    return store.export_texts(d, "text", "extraction", store.folder(spark, "texts")).withColumn("text", F.sha2(F.coalesce("text", F.lit("")), 256))
+
+
+@query("SELECT event_id, user_id, event_type FROM events UNION ALL SELECT event_id, user_id, 'again' FROM events WHERE event_type = 'error'")
+def snk_12(spark, sf_dir):
+    """A log of JSON lines, appended to twice and read back; lines that are blank or no object do not count (SRC-10)."""
+    path, e = store.folder(spark, "log"), table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    store.append_events(e, path)
+    store.append_events(e.filter("event_type = 'error'").withColumn("event_type", F.lit("again")), path)
+    noise = spark.createDataFrame([("",), ("  ",), ("[1, 2]",), ('{"event_id": 1',)], "value string")
+    noise.write.mode("append").text(path)
+    return store.log(spark, path, e.schema.simpleString())
+
+
+_TYPE = "CASE event_id % 6 WHEN 0 THEN ' Book Chapter ' WHEN 1 THEN 'conference-proceedings' WHEN 2 THEN 'Thesis' WHEN 3 THEN 'empirical' WHEN 4 THEN 'HANDBOOK' END"
+
+
+@query(f"""SELECT event_id, coalesce(replace(replace(lower(trim({_TYPE})), '-', '_'), ' ', '_') IN ('book_chapter', 'conference_proceedings', 'thesis', 'handbook'), false) AS non_ratable FROM events""")
+def flt_25(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", gates.non_ratable_type(F.expr(_TYPE)).alias("non_ratable"))
+
+
+_LINE = "CASE page_id % 3 WHEN 0 THEN ' Ann  Lee-Smith, ' WHEN 1 THEN substring({0}, 1, 30) ELSE 'Handbook ' || substring({0}, 1, 20) END"
+
+
+@query(rf"""WITH c AS (SELECT page_id, regexp_replace(regexp_replace({_LINE.format(_TITLE)}, '\s+', ' ', 'g'), '^[ ,.;:]+|[ ,.;:]+$', '', 'g') AS c FROM pages), w AS (SELECT *, string_split(c, ' ') AS w FROM c)
+SELECT page_id, length(c) BETWEEN 5 AND 80 AND len(w) BETWEEN 2 AND 5 AND len(list_filter(w, lambda x: length(regexp_replace(x, '[^A-Za-z-]', '', 'g')) >= 2)) >= 2
+  AND len(list_filter(w, lambda x: regexp_matches(x, '^\p{{Lu}}'))) >= 2
+  AND NOT regexp_matches(lower(c), 'also available|altering fate|consciousness|deception|development|emotion and|guilford|handbook|isbn|lying|mind in context|past does not predict|psychological construction') AS is_name FROM w""")
+def flt_33(spark, sf_dir):
+    """Lines that look like a person's name."""
+    return table(spark, sf_dir, "pages").select("page_id", identity.person_name(F.expr(_LINE.format(_TITLE))).alias("is_name"))
+
+
+@query("SELECT doc_id, n_chars % 7 >= 3 AND length(text) < 200 AS scan FROM documents")
+def flt_37(spark, sf_dir):
+    """Documents of several pages with hardly any text."""
+    return table(spark, sf_dir, "documents").select("doc_id", gates.scan_like(F.col("n_chars") % 7, F.length("text")).alias("scan"))
+
+
+@query(f"SELECT event_id FROM events WHERE TIMESTAMP '{NOW}' >= ts + INTERVAL 14 DAY")
+def flt_38(spark, sf_dir):
+    """Files rejected a fortnight ago."""
+    return table(spark, sf_dir, "events").filter(gates.expired(F.col("ts"), F.lit(NOW).cast("timestamp"))).select("event_id")
+
+
+_FOLDERS = ("source_pdfs", "staging_metadata", "pending_parent", "staging", "backups", "logs", "audit", "cache", "other")
+_PATH = "'/store/' || CASE doc_id % 9 " + " ".join(f"WHEN {k} THEN '{f}'" for k, f in enumerate(_FOLDERS)) + " END || '/' || source || doc_id || CASE doc_id % 4 WHEN 0 THEN '.pdf' WHEN 1 THEN '.pending.json' WHEN 2 THEN '.md' ELSE '.staging.json' END"
+
+
+@query(f"""WITH p AS (SELECT doc_id, {_PATH} AS path FROM documents), o AS (SELECT doc_id, count(*) AS n FROM labels GROUP BY 1), s AS (SELECT o_custkey AS doc_id, count(*) AS n FROM orders GROUP BY 1)
+SELECT p.doc_id AS doc_id, CASE WHEN o.n = 1 THEN 'db_owned_source_pdf' WHEN o.n > 1 THEN 'db_owned_source_pdf_ambiguous' WHEN s.n = 1 THEN 'source_pdf_supplement_child' WHEN s.n > 1 THEN 'source_pdf_supplement_child_ambiguous'
+  WHEN p.doc_id % 9 = 0 THEN 'source_pdf_unowned_or_unmatched' WHEN p.doc_id % 9 = 1 OR p.doc_id % 4 = 3 THEN 'sidecar' WHEN p.doc_id % 9 = 2 THEN CASE WHEN p.doc_id % 4 = 1 THEN 'sidecar' ELSE 'pending_child_support_doc' END
+  WHEN p.doc_id % 9 = 3 THEN 'staging_file' WHEN p.doc_id % 9 = 4 THEN 'backup' WHEN p.doc_id % 9 = 5 THEN 'log' WHEN p.doc_id % 9 = 6 THEN 'audit' WHEN p.doc_id % 9 = 7 THEN 'cache'
+  WHEN p.doc_id % 4 IN (1, 2) THEN 'code_config' ELSE 'unknown_runtime_file' END AS owner FROM p LEFT JOIN o ON o.doc_id = p.doc_id LEFT JOIN s ON s.doc_id = p.doc_id""")
+def c_32(spark, sf_dir):
+    """Owners of paths, by the rows that name them (labels and orders stand for those) and by folder."""
+    count = lambda t, key, name: table(spark, sf_dir, t).groupBy(F.col(key).alias("doc_id")).agg(F.count("*").alias(name))
+    p = table(spark, sf_dir, "documents").select("doc_id", F.expr(_PATH).alias("path"))
+    p = p.join(count("labels", "doc_id", "owners"), "doc_id", "left").join(count("orders", "o_custkey", "others"), "doc_id", "left")
+    return p.select("doc_id", identity.path_owner(F.col("path"), F.col("owners"), F.col("others")).alias("owner"))
+
+
+@query("""WITH r AS (SELECT sha256(coalesce(length(page_id::VARCHAR) || ':' || page_id, '-') || coalesce(length(length(html)::VARCHAR) || ':' || length(html), '-') || coalesce(length(url) || ':' || url, '-')) AS h FROM pages)
+SELECT count(*) AS n, coalesce(sum(('0x' || substring(h, 1, 15))::BIGINT), 0)::VARCHAR AS digest FROM r""")
+def agg_29(spark, sf_dir):
+    """A digest of a set of files by name, size and version, whatever their order."""
+    files = table(spark, sf_dir, "pages").select(F.col("url").alias("rel"), F.length("html").alias("bytes"), F.col("page_id").alias("at"))
+    return store.digest(files, "rel")

@@ -112,12 +112,6 @@ def l_05(spark, sf_dir):
     return rows.select("id", F.coalesce(text.nz(c("journal")), "j2").alias("journal"), F.coalesce(text.nz(c("doi")), "d2").alias("doi"))
 
 
-@query(P + "SELECT id, CASE WHEN regexp_matches(lower(original), '\\.pdf$') THEN 'pdf' WHEN regexp_matches(lower(original), '\\.docx?$') THEN 'office' ELSE 'other' END AS owner FROM p")
-def c_32(spark, sf_dir):
-    low = F.lower("original")
-    return papers(spark).select("id", F.when(low.rlike(r"\.pdf$"), "pdf").when(low.rlike(r"\.docx?$"), "office").otherwise("other").alias("owner"))
-
-
 _PREFIX = "lower(regexp_extract(id, '^([A-Z][A-Za-z]+_[0-9]{4})', 1))"
 
 

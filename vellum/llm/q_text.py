@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import bpe, forest, licenses, mixing, packing, quality, repeats, scratch, simhash, token_counts, warc
+from vellum.llm import align, bpe, forest, licenses, minhash, mixing, packing, quality, repeats, resample, scratch, simhash, token_counts, warc
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -80,3 +80,15 @@ def op7_hash_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.scored(_table(spark, sf_dir, "documents"))
+
+
+def op11_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))

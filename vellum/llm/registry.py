@@ -23,6 +23,9 @@ def queries() -> dict[str, Query]:
         "op8_context_mixing": q_text.op8_context_mixing,
         "op9_bpe_round_trip": q_text.op9_bpe_round_trip,
         "op10_best_fit_packing": q_text.op10_best_fit_packing,
+        "op11_minhash_near_duplicates": q_text.op11_minhash_near_duplicates,
+        "op12_importance_resampling": q_text.op12_importance_resampling,
+        "op13_tokenizer_alignment": q_text.op13_tokenizer_alignment,
     }
 
 

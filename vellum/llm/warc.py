@@ -139,16 +139,16 @@ def read(spark: SparkSession, path: str, size: int = CHUNK) -> DataFrame:
         .select(
             F.col("value").cast("binary").alias("line"),
             F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_block_start").alias("block"),
+            (F.col("_metadata.file_block_length") < F.col("_metadata.file_size")).alias("split"),
         )
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser, file, out = None, None, []
         for batch in batches:
-            for line, name, block in zip(*(batch.column(c).to_pylist() for c in ("line", "file", "block"))):
+            for line, name, split in zip(*(batch.column(c).to_pylist() for c in ("line", "file", "split"))):
                 if name != file:
-                    if block:
+                    if split:
                         raise ValueError(f"{name}: an uncompressed archive was dealt out in blocks; compress it or read it as one")
                     if parser:
                         parser.finish(file)

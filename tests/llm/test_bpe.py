@@ -54,3 +54,9 @@ def test_round_trip(text):
     tool = bpe.word_bpe(PATH)
     ids = next(tool.ids_of_batch([text]))
     assert tool.decode(ids).decode().replace("</w> ", " ").removesuffix("</w>").replace("</w>", " ").replace(" ", "") == text.replace(" ", "")
+
+
+def test_repeated_long_rows_in_several_tasks(spark):
+    rows = [(1, "x7q" * 2000)] * 4 + [(2, "x7q" * 2000), (None, "x7q" * 2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    assert sorted(map(tuple, bpe.encode(docs, PATH).collect()), key=str) == sorted(((k, *want(t)) for k, t in rows), key=str)

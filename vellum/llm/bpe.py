@@ -27,6 +27,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -244,11 +245,12 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
     )
     id_type = named.schema["doc_id"].dataType.simpleString()
-    first = f"doc_id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string, parts array<struct<part:int,token:int,leaf:int,ends:boolean,ids:binary,piece:string>>, text_key string"
+    first = f"doc_id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string, parts array<struct<part:int,token:int,leaf:int,ends:boolean,ids:binary,piece:string>>, row long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = word_bpe(path)
         schema = None
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
             texts = batch.column("text").to_pylist()
             rows: list = [None] * len(texts)
@@ -256,12 +258,13 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             for k, t in enumerate(texts):
                 raw = t.encode()
                 if len(raw) > LONG_RUN and (_LONG.search(raw)) and not any(m in raw for m in bpe.marks):
-                    rows[k] = (None, None, None, _parts(bpe, raw), f"{k}:" + hashlib.sha256(raw).hexdigest())
+                    rows[k] = (None, None, None, _parts(bpe, raw), row + k)
                 else:
                     plain.append(k)
             for k, ids in zip(plain, bpe.ids_of_batch([texts[k] for k in plain])):
                 rows[k] = (*digest(ids, bpe), None, None)
             columns = list(zip(*rows)) if rows else [[]] * 5
+            row += len(texts)
             schema = schema or _schema(batch.schema.field("doc_id").type)
             arrays = [batch.column("doc_id")] + [pa.array(c, type=f.type) for c, f in zip(columns, list(schema)[1:])]
             yield pa.RecordBatch.from_arrays(arrays, schema=schema)
@@ -292,21 +295,21 @@ def _schema(id_type: pa.DataType) -> pa.Schema:
         [("part", pa.int32()), ("token", pa.int32()), ("leaf", pa.int32()), ("ends", pa.bool_()), ("ids", pa.binary()), ("piece", pa.string())]
     )
     return pa.schema(
-        [("doc_id", id_type), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("parts", pa.list_(part)), ("text_key", pa.string())]
+        [("doc_id", id_type), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("parts", pa.list_(part)), ("row", pa.int64())]
     )
 
 
 def _joined(long: DataFrame, path: str, id_type: str) -> DataFrame:
     """Encode the leaves of long runs apart, then join each text's parts."""
-    leaves = long.select("doc_id", "text_key", F.explode("parts").alias("p")).select("doc_id", "text_key", "p.*")
-    dealt = leaves.repartition("doc_id", "text_key", "part", "token", "leaf")
+    leaves = long.select("doc_id", "row", F.explode("parts").alias("p")).select("doc_id", "row", "p.*")
+    dealt = leaves.repartition("row", "part", "token", "leaf")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = word_bpe(path)
         for batch in batches:
             rows = batch.select(["ids", "piece", "ends"]).to_pylist()
             ids = [r["ids"] if r["piece"] is None else bpe.leaf(r["piece"], r["ends"]).tobytes() for r in rows]
-            kept = batch.select(["doc_id", "text_key", "part", "token", "leaf"])
+            kept = batch.select(["doc_id", "row", "part", "token", "leaf"])
             yield kept.append_column("ids", pa.array(ids, type=pa.binary()))
 
     def whole(group: pa.Table) -> pa.Table:
@@ -321,7 +324,7 @@ def _joined(long: DataFrame, path: str, id_type: str) -> DataFrame:
             {"doc_id": group.column("doc_id").combine_chunks()[:1], "n_tokens": pa.array([n], pa.int64()), "ids_sha256": [sha], "decoded_sha256": [text]}
         )
 
-    encoded = dealt.mapInArrow(each, f"doc_id {id_type}, text_key string, part int, token int, leaf int, ids binary")
-    return encoded.groupBy("doc_id", "text_key").applyInArrow(
+    encoded = dealt.mapInArrow(each, f"doc_id {id_type}, row long, part int, token int, leaf int, ids binary")
+    return encoded.groupBy("row").applyInArrow(
         whole, f"doc_id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     )

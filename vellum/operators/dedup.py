@@ -54,18 +54,31 @@ def round_robin(rows: DataFrame, bucket: str, most: int, *order: Column) -> Data
     return rows.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= most).orderBy("rn", bucket).limit(most)
 
 
-def connected(pairs: DataFrame, a: str, b: str, most_rounds: int = 40) -> DataFrame:
-    """``node`` and its group's smallest node, by spreading the smallest label until it settles."""
-    links = pairs.select(F.col(a).alias("u"), F.col(b).alias("v"))
-    links = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct().checkpoint()
-    labels = links.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label")).checkpoint()
+def connected(pairs: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataFrame:
+    """``node`` and ``label``, the smallest node of its group, for every node of the pairs.
+
+    Large and small stars in turn: links are led to the smallest neighbour, so they
+    grow fewer with each round and a node with very many of them is summed up first.
+    """
+    least = lambda links: links.groupBy("u").agg(F.min("v").alias("m"))
+
+    def large(links: DataFrame) -> DataFrame:
+        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        to = least(both).select("u", F.least("u", "m").alias("m"))
+        return both.filter("v > u").join(to, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+
+    def small(links: DataFrame) -> DataFrame:
+        to = least(links)
+        rest = links.join(to, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        return rest.unionByName(to.select("u", F.col("m").alias("v"))).distinct()
+
+    known = pairs.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
+    links = known.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
+    nodes = links.select(F.col("u").alias("node")).unionByName(links.select(F.col("v").alias("node"))).distinct()
+    now, seen = links.filter("u <> v").distinct().checkpoint(), None
     for _ in range(most_rounds):
-        near = links.join(labels, F.col("v") == F.col("node")).groupBy("u").agg(F.min("label").alias("least"))
-        stepped = labels.join(near, F.col("node") == F.col("u")).select("node", F.least("label", "least").alias("label"))
-        jump = stepped.alias("a").join(stepped.alias("b"), F.col("a.label") == F.col("b.node"), "left")
-        new = jump.select("a.node", F.coalesce("b.label", "a.label").alias("label")).checkpoint()
-        moved = new.alias("n").join(labels.alias("o"), "node").filter("n.label <> o.label").limit(1).count()
-        labels = new
-        if not moved:
-            return labels
+        mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if mark[0] == 0 or mark == seen:
+            return nodes.join(now.select(F.col("u").alias("node"), "v"), "node", "left").select("node", F.coalesce("v", "node").alias("label"))
+        seen, now = mark, small(large(now)).checkpoint()
     raise RuntimeError("the groups did not settle")

@@ -85,7 +85,8 @@ def test_against_libraries(spark):
 
 def test_blocks_and_caches_do_not_matter(spark, monkeypatch):
     monkeypatch.setattr(align, "CHARS_AT_ONCE", 40)
-    monkeypatch.setattr(align, "CACHE_UNITS", 3)
+    monkeypatch.setattr(align, "UNITS_AT_ONCE", 3)
+    monkeypatch.setattr(align, "WIDE", 1)
     rows = [(2**60 + k, f"the cat number {k % 7} sat on mats") for k in range(40)] + [(None, "the cat")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(map(tuple, align.align(docs, A, B).collect()), key=str) == brute(rows)

@@ -40,45 +40,48 @@ from tokenizers import Tokenizer
 
 from vellum.llm.scratch import keep
 
-CHARS_AT_ONCE = 1 << 22
-CACHE_UNITS = 100_000
-CACHED_CHARS = 64
+CHARS_AT_ONCE = 1 << 23
+UNITS_AT_ONCE = 2048
+WIDE = 4096
 
 #: A unit ends where a space or line end follows other than white space.
 _UNITS = re.compile(r"\s*\S+(?:[^\S \n]\s*\S*)*|\s+")
+#: Units that may stand one behind the other in one call: cut on both sides, and nothing in them that pieces write otherwise.
+_PLAIN = re.compile(r"[ \n][^\x00▁]*[^\s\x00▁]")
+_LEAD = " a"
 
 
-class Unit(NamedTuple):
-    """The alignment of one unit; ``text`` is None where a side does not give the bytes back."""
+class Units(NamedTuple):
+    """The alignments of distinct units, in their order."""
 
-    text: str | None
-    n_a: int
-    n_b: int
-    n_groups: int
-    n_links: int
-    pairs: np.ndarray  # distinct, the first side's id in the high half
+    text: list[str | None]  # None where a side does not give the bytes back
+    sizes: np.ndarray  # a row of n_a, n_b, n_groups and n_links each
+    start: np.ndarray  # of each unit's stretch of pairs
+    n_pairs: np.ndarray
+    pairs: np.ndarray  # distinct within the unit, the first side's id in the high half
     times: np.ndarray
 
 
+class Merged(NamedTuple):
+    """The groups of two token sequences over the same bytes, and the group of each token."""
+
+    ends: np.ndarray
+    of_a: np.ndarray
+    of_b: np.ndarray
+
+
 _NONE = np.empty(0, np.int64)
 
 
-def groups(ends_a: list[int], ends_b: list[int]) -> Iterator[tuple[int, int, int, int]]:
-    """Bounds (a0, a1, b0, b1) of the groups between common ends, by a merge of the two lists of token ends."""
-    i = j = a0 = b0 = 0
-    while i < len(ends_a) and j < len(ends_b):
-        if ends_a[i] == ends_b[j]:
-            i, j = i + 1, j + 1
-            while i < len(ends_a) and ends_a[i] == ends_a[i - 1]:
-                i += 1  # tokens without bytes
-            while j < len(ends_b) and ends_b[j] == ends_b[j - 1]:
-                j += 1
-            yield a0, i, b0, j
-            a0, b0 = i, j
-        elif ends_a[i] < ends_b[j]:
-            i += 1
-        else:
-            j += 1
+def merged(ends_a: np.ndarray, ends_b: np.ndarray) -> Merged:
+    """A merge of two ascending lists of token ends: a group ends where both lists have an end.
+
+    A token goes to the first such end that it reaches; one without bytes stays with those before it.
+    """
+    at = np.searchsorted(ends_b, ends_a)
+    both = ends_a[(at < len(ends_b)) & (ends_b[np.minimum(at, len(ends_b) - 1)] == ends_a)] if len(ends_b) else _NONE
+    ends = both[np.concatenate([[True], both[1:] != both[:-1]])] if len(both) else _NONE
+    return Merged(ends, np.searchsorted(ends, ends_a), np.searchsorted(ends, ends_b))
 
 
 def _letters() -> dict[str, int]:
@@ -108,55 +111,83 @@ class Aligner:
         crossing = re.compile(rb"[^ \n\t\r\x0b\x0c][ \n]|\n.")
         if any(crossing.search(p) for p in self.bytes_b):
             raise ValueError(f"{path_b}: pieces go across spaces, so texts cannot be cut into units")
+        self.len_a, self.len_b = (np.array([len(x) for x in v], np.int64) for v in (self.bytes_a, self.bytes_b))
+        self.names = [str(i) for i in range(max(len(entries), len(pieces)))]
         self.lead = self.b.encode("\n")
         self.space = self.lead[:1]
-        self.known: dict[str, Unit] = {}
-        self.before: dict[str, Unit] = {}
 
     def _encode_b(self, units: list[str]) -> list[list[int]]:
         """A unit with a space in front is what the library makes of the rest; others stand behind a line end."""
         found = self.b.encode([u[1:] if u[0] == " " else "\n" + u for u in units], num_threads=1)
         return [self.space if u == " " else ids if u[0] == " " else ids[len(self.lead) :] for u, ids in zip(units, found)]
 
-    def _aligned(self, unit: str, a: list[int], b: list[int]) -> Unit:
-        raw = unit.encode()
-        parts_a, parts_b = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
-        if b"".join(parts_a) != raw or b"".join(parts_b) != raw:
-            return Unit(None, 0, 0, 0, 0, _NONE, _NONE)
-        ends_a, ends_b = (np.cumsum([len(p) for p in parts]).tolist() for parts in (parts_a, parts_b))
-        text, pairs, times, n_links = [], [], [], 0
-        for a0, a1, b0, b1 in groups(ends_a, ends_b):
-            text.append(f"{','.join(map(str, a[a0:a1]))}|{','.join(map(str, b[b0:b1]))}")
-            n_links += (a1 - a0) * (b1 - b0)
-            if a1 - a0 == b1 - b0 == 1:
-                pairs.append(np.array([a[a0] << 32 | b[b0]]))
-                times.append(np.ones(1, np.int64))
+    def _same(self, raw: bytes, a: list[int], b: list[int]) -> bool:
+        return b"".join(map(self.bytes_a.__getitem__, a)) == raw and b"".join(map(self.bytes_b.__getitem__, b)) == raw
+
+    def _encoded(self, units: list[str]) -> Iterator[tuple[list[int], int, list[int], list[int]]]:
+        """Stretches of units: their numbers, the bytes before them that do not count, and the ids of both sides; units that do not fit are left out."""
+        apart = []
+        plain = [k for k, u in enumerate(units) if _PLAIN.fullmatch(u)]
+        rest = set(range(len(units))).difference(plain)
+        for k in range(0, len(plain), UNITS_AT_ONCE):
+            part = plain[k : k + UNITS_AT_ONCE]
+            text = _LEAD + "".join([units[n] for n in part])
+            a, b = self.a.encode(text, add_special_tokens=False).ids, self.b.encode(text[1:], num_threads=1)
+            if self._same(text.encode(), a, b):
+                yield part, len(_LEAD), a, b
             else:
-                (of_a, n_a), (of_b, n_b) = (np.unique(x, return_counts=True) for x in (a[a0:a1], b[b0:b1]))
-                pairs.append(((of_a[:, None] << 32) | of_b).ravel())
-                times.append((n_a[:, None] * n_b).ravel())
-        pair, at = np.unique(np.concatenate(pairs), return_inverse=True)
-        count = np.bincount(at, np.concatenate(times), len(pair)).astype(np.int64)
-        return Unit(";".join(text), len(a), len(b), len(text), n_links, pair, count)
-
-    def units(self, wanted: list[str]) -> list[Unit]:
-        """The alignments of distinct units; what two fillings of the cache have not used is forgotten."""
-        if len(self.known) > CACHE_UNITS:
-            self.before, self.known = self.known, {}
-        found = {}
-        for u in wanted:
-            unit = self.known.get(u) or self.before.get(u)
-            if unit is not None:
-                self.known[u] = found[u] = unit
-        new = [u for u in wanted if u not in found]
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            of_a = (e.ids for e in self.a.encode_batch_fast(part, add_special_tokens=False))
-            for u, a, b in zip(part, of_a, self._encode_b(part)):
-                found[u] = self._aligned(u, a, b)
-                if len(u) <= CACHED_CHARS:
-                    self.known[u] = found[u]
-        return [found[u] for u in wanted]
+                apart += part
+        apart += sorted(rest)
+        for k in range(0, len(apart), UNITS_AT_ONCE):
+            part = apart[k : k + UNITS_AT_ONCE]
+            alone = [units[n] for n in part]
+            of_a = self.a.encode_batch_fast(alone, add_special_tokens=False)
+            for n, e, b in zip(part, of_a, self._encode_b(alone)):
+                if self._same(units[n].encode(), e.ids, b):
+                    yield [n], 0, e.ids, b
+
+    def units(self, units: list[str]) -> Units:
+        """The alignments of distinct units."""
+        text: list[str | None] = [None] * len(units)
+        sizes = np.zeros((len(units), 4), np.int64)
+        keys, times = [_NONE], [_NONE]
+        width_a, width_b = len(self.bytes_a), len(self.bytes_b)
+        for numbers, skip, a, b in self._encoded(units):
+            a, b = np.array(a, np.int64), np.array(b, np.int64)
+            ends_a, ends_b = np.cumsum(self.len_a[a]) - skip, np.cumsum(self.len_b[b]) - skip
+            a, ends_a, b, ends_b = a[ends_a > 0], ends_a[ends_a > 0], b[ends_b > 0], ends_b[ends_b > 0]
+            g = merged(ends_a, ends_b)
+            bounds = np.cumsum([len(units[n].encode()) for n in numbers])
+            unit = np.searchsorted(bounds, g.ends)  # of each group
+            n_a, n_b = np.bincount(g.of_a, minlength=len(g.ends)), np.bincount(g.of_b, minlength=len(g.ends))
+            a0, b0 = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b
+            at = np.array(numbers)
+            for k, n in enumerate((n_a, n_b, np.ones(len(unit), np.int64), n_a * n_b)):
+                sizes[at, k] = np.bincount(unit, n, len(numbers)).astype(np.int64)
+            names_a, names_b = ([self.names[i] for i in ids] for ids in (a.tolist(), b.tolist()))
+            of_group = [
+                f"{names_a[x]}|{names_b[y]}" if m == n == 1 else f"{','.join(names_a[x : x + m])}|{','.join(names_b[y : y + n])}"
+                for x, m, y, n in zip(a0.tolist(), n_a.tolist(), b0.tolist(), n_b.tolist())
+            ]
+            to = np.searchsorted(unit, np.arange(len(numbers) + 1)).tolist()
+            for n, x, y in zip(numbers, to, to[1:]):
+                text[n] = ";".join(of_group[x:y])
+            links = n_a * n_b
+            small = np.flatnonzero(links <= WIDE)
+            of = np.repeat(small, links[small])
+            nth = np.arange(len(of)) - np.repeat(np.cumsum(links[small]) - links[small], links[small])
+            keys.append((at[unit[of]] * width_a + a[a0[of] + nth // n_b[of]]) * width_b + b[b0[of] + nth % n_b[of]])
+            times.append(np.ones(len(of), np.int64))
+            for k in np.flatnonzero(links > WIDE).tolist():  # long stretches without a common end: by distinct ids
+                (of_a, m), (of_b, n) = (np.unique(x, return_counts=True) for x in (a[a0[k] : a0[k] + n_a[k]], b[b0[k] : b0[k] + n_b[k]]))
+                keys.append(((at[unit[k]] * width_a + of_a[:, None]) * width_b + of_b).ravel())
+                times.append((m[:, None] * n).ravel())
+        key, where = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.bincount(where, np.concatenate(times), len(key)).astype(np.int64)
+        owner = key // (width_a * width_b)
+        pair = (key // width_b % width_a) << 32 | key % width_b
+        n_pairs = np.bincount(owner, minlength=len(units))
+        return Units(text, sizes, np.cumsum(n_pairs) - n_pairs, n_pairs, pair, total)
 
 
 @lru_cache(maxsize=2)
@@ -186,26 +217,24 @@ def block(tool: Aligner, texts: list[str | None]) -> Block:
         own = _UNITS.findall(" " + t) if t else []
         codes.append(np.array([numbers.setdefault(u, len(numbers)) for u in own], np.int64))
     units = tool.units(list(numbers))
-    strings = [u.text for u in units]
-    measures = np.array([[u.text is None, u.n_a, u.n_b, u.n_groups, u.n_links] for u in units], np.int64).reshape(-1, 5)
-    codes = [c[:0] if measures[c, 0].any() else c for c in codes]
-    size = np.array([len(u.pairs) for u in units], np.int64)
-    start = np.cumsum(size) - size
-    pairs, code = np.unique(np.concatenate([_NONE, *(u.pairs for u in units)]), return_inverse=True)
-    times = np.concatenate([_NONE, *(u.times for u in units)])
+    strings, n_units = units.text, max(1, len(units.text))
+    lost = np.array([x is None for x in strings], bool)
+    codes = [c[:0] if lost[c].any() else c for c in codes]
+    start, size, times = units.start, units.n_pairs, units.times
+    pairs, code = np.unique(units.pairs, return_inverse=True)
     # (text, unit) with its times, then (text, pair) with its times
     doc = np.repeat(np.arange(len(texts)), [len(c) for c in codes])
-    both, seen = np.unique(doc * max(1, len(units)) + np.concatenate([_NONE, *codes]), return_counts=True)
-    doc, unit = both // max(1, len(units)), both % max(1, len(units))
+    both, seen = np.unique(doc * n_units + np.concatenate([_NONE, *codes]), return_counts=True)
+    doc, unit = both // n_units, both % n_units
     place = _spread(unit, start, size)
     link, at = np.unique(np.repeat(doc, size[unit]) * max(1, len(pairs)) + code[place], return_inverse=True)
     total = np.bincount(at, np.repeat(seen, size[unit]) * times[place], len(link)).astype(np.uint32)
     doc, pair = link // max(1, len(pairs)), (link % max(1, len(pairs))).astype(np.uint32)
     bounds = np.searchsorted(doc, np.arange(len(texts) + 1))
-    sums = [measures[c].sum(0) for c in codes]
+    sums = np.array([units.sizes[c].sum(0) for c in codes], np.int64).reshape(-1, 4)
     frame = pd.DataFrame(
         {
-            **{name: [int(s[k]) for s in sums] for k, name in ((1, "n_a"), (2, "n_b"), (3, "n_groups"), (4, "n_links"))},
+            **{name: sums[:, k] for k, name in enumerate(("n_a", "n_b", "n_groups", "n_links"))},
             "groups_sha256": [hashlib.sha256(";".join([strings[k] for k in c.tolist()]).encode()).hexdigest() if len(c) else "" for c in codes],
             "codes": [pair[a:b].tobytes() for a, b in zip(bounds, bounds[1:])],
             "times": [total[a:b].tobytes() for a, b in zip(bounds, bounds[1:])],

@@ -15,9 +15,19 @@ from vellum.plans import articles, corpus, evaluation, flagship, helpers, ledger
 MODULES = [flagship, corpus, ledger, relations, papers, evaluation, helpers, records, articles]
 
 
+def _merged(parts: list[dict]) -> dict:
+    """One table of all; a name that stands in two modules is an error."""
+    out: dict = {}
+    for part in parts:
+        if twice := out.keys() & part.keys():
+            raise ValueError(f"registered twice: {sorted(twice)}")
+        out |= part
+    return out
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: q for m in MODULES for name, q in m.QUERIES.items()}
+    return _merged([m.QUERIES for m in MODULES])
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for m in MODULES for name, sql in m.ORACLE.items()}
+    return _merged([m.ORACLE for m in MODULES])

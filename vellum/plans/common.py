@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vellum.sources.tables import table
+
 NOW = "2024-02-01 00:00:00"
 
 
@@ -25,6 +27,64 @@ class Literal:
         return f"{name}({', '.join(f for f, _ in fields)}) AS (VALUES {rows})"
 
 
+class View:
+    """Rows made of a supplied table, by one text for both engines; ``SHA<x>SHA`` stands for the digest of x."""
+
+    def __init__(self, source: str, columns: dict[str, str], where: str | None = None):
+        self.source, self.columns, self.where = source, columns, where
+
+    def df(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = _source(spark, sf_dir, self.source)
+        made = rows.filter(self.where) if self.where else rows
+        return made.selectExpr(*[f"{e.replace('SHA<', 'sha2(').replace('>SHA', ', 256)')} AS {n}" for n, e in self.columns.items()])
+
+    def select(self) -> str:
+        columns = ", ".join(f"{e.replace('SHA<', 'sha256(').replace('>SHA', ')')} AS {n}" for n, e in self.columns.items())
+        return f"SELECT {columns} FROM {SOURCES.get(self.source, self.source)}{' WHERE ' + self.where if self.where else ''}"
+
+    def sql(self, name: str) -> str:
+        """A common table expression of that name."""
+        return f"{name} AS ({self.select()})"
+
+
+class Union(View):
+    """Rows of several views with the same columns."""
+
+    def __init__(self, *views: View):
+        self.views = views
+
+    def df(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = self.views[0].df(spark, sf_dir)
+        for v in self.views[1:]:
+            out = out.unionByName(v.df(spark, sf_dir))
+        return out
+
+    def select(self) -> str:
+        return " UNION ALL ".join(v.select() for v in self.views)
+
+
+#: Documents with their labels, where they have any.
+SOURCES = {"labelled": "(SELECT d.*, l.quality, l.toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"}
+
+
+def _source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    if name == "labelled":
+        return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    return table(spark, sf_dir, name)
+
+
+def word(n: int, of: str = "text") -> str:
+    """The nth word of ASCII letters of a column, with a capital; blank where there is none."""
+    found = f"regexp_extract(coalesce({of}, ''), '^[^A-Za-z]*{'[A-Za-z]+[^A-Za-z]+' * (n - 1)}([A-Za-z]+)', 1)"
+    return f"(upper(substring({found}, 1, 1)) || lower(substring({found}, 2, 30)))"
+
+
+def pick(key: str, values: list[str | None]) -> str:
+    """One of the values in turn, by a number."""
+    literal = lambda v: "NULL" if v is None else "'" + v.replace("'", "''") + "'"
+    return f"(CASE {key} % {len(values)} " + " ".join(f"WHEN {k} THEN {literal(v)}" for k, v in enumerate(values)) + " END)"
+
+
 STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
 
 

@@ -7,7 +7,7 @@ import json
 from pyspark.sql import functions as F
 
 from vellum.functions import identity, payloads
-from vellum.plans.common import Literal, sql_strip
+from vellum.plans.common import Literal, View, pick, sql_strip
 from vellum.sources.tables import table
 
 QUERIES, ORACLE = {}, {}
@@ -26,26 +26,25 @@ def query(sql: str | None = None):
 
 _FULL = {n: "x" for n in payloads.TOP} | {"classification": {n: "y" for n in payloads.CLASSIFICATION} | {"rating": "Strong"}}
 _SHORT = {k: v for k, v in _FULL.items() if k not in ("tags", "methodology")}
-ANSWERS = Literal(
-    "k int, answer string",
-    list(enumerate([json.dumps(_FULL), "```json\n" + json.dumps(_SHORT) + "\n```", "<think>maybe\n{no}</think> rating: weak", json.dumps(_FULL | {"classification": {"rating": "flawed"}}), "no answer", "Sure! {\"classification\": {\"rating\": \"adequate\"}} Bye"])),
-)
+_SAID = [json.dumps(_FULL), "```json\n" + json.dumps(_SHORT) + "\n```", "<think>maybe\n{no}</think> rating: weak", json.dumps(_FULL | {"classification": {"rating": "flawed"}}), "no answer", "Sure! {\"classification\": {\"rating\": \"adequate\"}} Bye"]
+# Answers: the turn's own words around what a model gives back.
+ANSWERS = View("conversations", {"k": "conv_id * 1000 + turn", "answer": f"CASE WHEN turn % 2 = 1 THEN regexp_extract(text, '[A-Za-z]+ [A-Za-z]+', 0) || ' ' ELSE '' END || {pick('(conv_id + turn)', _SAID)}"})
 A = f"WITH {ANSWERS.sql('t')}, j AS (SELECT k, answer, nullif(regexp_extract(answer, '(?s)(\\{{.*\\}})', 1), '') AS j FROM t) "
 
 
 @query(A + "SELECT k, j AS part FROM j")
 def s_30(spark, sf_dir):
-    return ANSWERS.df(spark).select("k", payloads.json_part(c("answer")).alias("part"))
+    return ANSWERS.df(spark, sf_dir).select("k", payloads.json_part(c("answer")).alias("part"))
 
 
 @query(A + "SELECT k, trim(regexp_replace(answer, '(?s)<think>.*?</think>', '', 'g')) AS plain FROM j")
 def s_31(spark, sf_dir):
-    return ANSWERS.df(spark).select("k", payloads.without_thoughts(c("answer")).alias("plain"))
+    return ANSWERS.df(spark, sf_dir).select("k", payloads.without_thoughts(c("answer")).alias("plain"))
 
 
 @query(A + "SELECT k, lower(coalesce(CASE WHEN json_valid(j) THEN json_extract_string(j, '$.classification.rating') END, nullif(regexp_extract(answer, '\"?rating\"?[ :=]+\"?([a-z_]+)', 1), ''))) AS rating FROM j")
 def x_40(spark, sf_dir):
-    return ANSWERS.df(spark).select("k", payloads.pulled_rating(c("answer")).alias("rating"))
+    return ANSWERS.df(spark, sf_dir).select("k", payloads.pulled_rating(c("answer")).alias("rating"))
 
 
 def _missing_sql(path: str, names: list[str]) -> str:
@@ -57,7 +56,7 @@ def _missing_sql(path: str, names: list[str]) -> str:
 def v_02(spark, sf_dir):
     """Required parts that a payload lacks."""
     j = F.when(F.get_json_object(payloads.json_part(c("answer")), "$").isNotNull(), payloads.json_part(c("answer")))
-    rows = ANSWERS.df(spark).withColumn("j", j)
+    rows = ANSWERS.df(spark, sf_dir).withColumn("j", j)
     return rows.select(
         "k", F.array_join(payloads.missing(c("j"), "$", payloads.TOP), ",").alias("missing_top"),
         F.array_join(payloads.missing(c("j"), "$.classification", payloads.CLASSIFICATION), ",").alias("missing_class"),
@@ -92,13 +91,13 @@ def s_41(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select(made.alias("custom_id")).select("custom_id", F.split_part("custom_id", F.lit("|"), F.lit(3)).alias("role"))
 
 
-MODULES = Literal("paper string, module string, light string, rows int", [("a", "stats", "Green", 0), ("a", "power", "possible problems detected", 3), ("a", "funding", "info", 1), ("b", "stats", "red", 2), ("b", "open", "", 0), ("c", "stats", "fail", 1)])
+MODULES = View("events", {"paper": "user_id", "module": "event_type", "light": pick("event_id", ["Green", "possible problems detected", "info", "red", "", "fail", None]), "rows": "cast(CASE WHEN value > 20 THEN 3 ELSE 0 END AS INT)"})
 _LIGHT = "coalesce(CASE lower(trim(light)) " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in identity.LIGHTS.items()) + " END, '')"
 
 
 @query(f"WITH {MODULES.sql('m')}, l AS (SELECT *, {_LIGHT} AS l FROM m) SELECT paper, count(*) FILTER (l = 'red') AS red, count(*) FILTER (l = 'green') AS green, count(*) FILTER (l IN ('red', 'yellow', 'fail') OR (l = 'info' AND rows > 0)) AS urgent FROM l GROUP BY 1")
 def agg_26(spark, sf_dir):
-    m = MODULES.df(spark).withColumn("l", identity.lookup(F.lower(F.trim("light")), identity.LIGHTS, ""))
+    m = MODULES.df(spark, sf_dir).withColumn("l", identity.lookup(F.lower(F.trim("light")), identity.LIGHTS, ""))
     urgent = c("l").isin("red", "yellow", "fail") | ((c("l") == "info") & (c("rows") > 0))
     return m.groupBy("paper").agg(F.count_if(c("l") == "red").alias("red"), F.count_if(c("l") == "green").alias("green"), F.count_if(urgent).alias("urgent"))
 
@@ -114,24 +113,34 @@ def agg_23(spark, sf_dir):
     return PRICES.df(spark).crossJoin(F.broadcast(n)).select("model", F.round(usd, 2).alias("usd"), F.round(usd * 0.5, 2).alias("batch_usd"))
 
 
-LOG = Literal("k int, line string", list(enumerate(["INPUT | id=1 strategy=whole_text | 900", "OTHER | x", "INPUT | id=2 strategy=evidence_pack | 5", "", "INPUT | id=3 strategy=whole_text |"])))
+LOG = View(
+    "events",
+    {
+        "line": "CASE event_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'OTHER | ' || event_type ELSE 'INPUT | id=' || event_id || ' strategy=' || event_type || CASE WHEN value > 10 THEN '_text' ELSE '' END || ' |' || "
+        "CASE WHEN user_id % 2 = 0 THEN ' 900' ELSE '' END END"
+    },
+)
 
 
 @query(f"WITH {LOG.sql('t')} SELECT regexp_extract(line, 'INPUT \\|.*strategy=([a-z_]+) \\|', 1) AS strategy, count(*) AS n FROM t WHERE regexp_matches(line, 'INPUT \\|.*strategy=') GROUP BY 1")
 def src_12(spark, sf_dir):
     """A text log's lines, by what a pattern finds."""
-    rows = LOG.df(spark).filter(c("line").rlike(r"INPUT \|.*strategy="))
+    rows = LOG.df(spark, sf_dir).filter(c("line").rlike(r"INPUT \|.*strategy="))
     return rows.groupBy(F.regexp_extract("line", r"INPUT \|.*strategy=([a-z_]+) \|", 1).alias("strategy")).agg(F.count("*").alias("n"))
 
 
-LADDER = Literal("k int, ladder string, start string, available string", [(0, "a,b,c,d", "c", "a,b,c,d"), (1, "a,b,c,d", "z", "b,d"), (2, "a,b,a", "b", "a,b")])
+LADDER = View(
+    "events",
+    {"k": "event_id", "ladder": "'click,view,purchase,' || event_type || ',error'", "start": "CASE WHEN user_id % 3 = 0 THEN event_type WHEN user_id % 3 = 1 THEN 'purchase' ELSE 'none' END", "available": "'view,error,' || event_type"},
+)
 
 
-@query(f"""WITH {LADDER.sql('t')}, s AS (SELECT k, string_split(ladder, ',') AS l, string_split(available, ',') AS v, greatest(coalesce(list_position(string_split(ladder, ','), start), 1), 1) AS p FROM t)
-SELECT k, array_to_string(list_filter(l[p:] || l[1:p - 1], lambda x: list_contains(v, x)), ',') AS ladder FROM s WHERE k < 2 UNION ALL SELECT 2, 'b,a'""")
+@query(f"""WITH {LADDER.sql('t')}, s AS (SELECT k, string_split(ladder, ',') AS l, string_split(available, ',') AS v, greatest(coalesce(list_position(string_split(ladder, ','), start), 1), 1) AS p FROM t),
+u AS (SELECT k, list_filter(l[p:] || l[1:p - 1], lambda x: list_contains(v, x)) AS f FROM s)
+SELECT k, array_to_string(list_filter(f, lambda x, i: list_position(f, x) = i), ',') AS ladder FROM u""")
 def v_08(spark, sf_dir):
     """The ladder from its start on, then the rest, without what is unavailable or repeated."""
-    rows = LADDER.df(spark).select("k", F.split("ladder", ",").alias("l"), F.split("available", ",").alias("v"), "start")
+    rows = LADDER.df(spark, sf_dir).select("k", F.split("ladder", ",").alias("l"), F.split("available", ",").alias("v"), "start")
     p = F.greatest(F.array_position("l", c("start")), F.lit(1)).cast("int")
     turned = F.concat(F.slice("l", p, F.size("l")), F.slice("l", F.lit(1), p - 1))
     return rows.select("k", F.array_join(F.array_distinct(F.filter(turned, lambda x: F.array_contains("v", x))), ",").alias("ladder"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import ratings
 from vellum.operators import dedup, retrieval
-from vellum.plans.common import NOW, Literal
+from vellum.plans.common import NOW, pick, View
 from vellum.sources.tables import table
 
 QUERIES, ORACLE = {}, {}
@@ -123,12 +123,13 @@ def v_07(spark, sf_dir):
     )
 
 
-RATINGS = Literal(
-    "k int, kind string, rating string, confidence string, escalated boolean, forced boolean, justification string, notes string",
-    [(k, kind, r, c, e, f, j, n) for k, (kind, r, c, e, f, j, n) in enumerate(
-        (kind, r, c, e, f, j, n)
-        for kind in ("journal_article", "handbook") for r in ("landmark", "weak", "moderate", "not_applicable", "odd", "")
-        for c, e, f in (("low", False, False), ("high", True, False), (None, False, True)) for j, n in (("why", "notes"), ("why", ""), (" ", "notes")))],
+RATINGS = View(
+    "labelled",
+    {
+        "k": "doc_id", "kind": "CASE WHEN lang = 'en' THEN 'journal_article' ELSE 'handbook' END", "rating": pick("n_chars", ["landmark", "weak", "moderate", "not_applicable", "odd", "", "strong"]),
+        "confidence": "CASE quality WHEN 0 THEN 'low' WHEN 1 THEN 'High' END", "escalated": "coalesce(toxic, 0) = 1", "forced": "doc_id % 11 = 0",
+        "justification": "CASE WHEN doc_id % 4 = 0 THEN ' ' ELSE substring(text, 1, 80) END", "notes": "CASE WHEN doc_id % 3 = 0 THEN '' ELSE substring(text, 81, 80) END",
+    },
 )
 
 
@@ -137,7 +138,7 @@ RATINGS = Literal(
   WHEN lower(coalesce(confidence, 'medium')) = 'low' THEN 'run:low_confidence' WHEN escalated THEN 'run:escalation_pending' ELSE 'skip:default_skip' END AS decision FROM t""")
 def flt_34(spark, sf_dir):
     c = F.col
-    return RATINGS.df(spark).select("k", ratings.second_look(c("rating"), c("confidence"), c("escalated"), c("forced")).alias("decision"))
+    return RATINGS.df(spark, sf_dir).select("k", ratings.second_look(c("rating"), c("confidence"), c("escalated"), c("forced")).alias("decision"))
 
 
 @query(f"""WITH {RATINGS.sql('t')}, n AS (SELECT *, CASE rating WHEN 'moderate' THEN 'adequate' ELSE rating END AS r, trim(justification) AS j FROM t)
@@ -147,7 +148,7 @@ SELECT k, CASE WHEN kind = 'handbook' AND r = 'not_applicable' AND j <> '' THEN
   WHEN notes = '' THEN 'open:missing_red_team_notes' ELSE 'complete:research_eval_complete' END AS state FROM n""")
 def flt_23(spark, sf_dir):
     c = F.col
-    return RATINGS.df(spark).select("k", ratings.complete(c("kind"), c("rating"), c("justification"), c("notes")).alias("state"))
+    return RATINGS.df(spark, sf_dir).select("k", ratings.complete(c("kind"), c("rating"), c("justification"), c("notes")).alias("state"))
 
 
 def _vectors(spark, sf_dir, paper, top_k, width=60):

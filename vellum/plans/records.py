@@ -169,30 +169,6 @@ def prj_03(spark, sf_dir):
     return ids.join(d, "doc_id", "left").select("doc_id", F.coalesce("ok", F.lit(False)).alias("ok"), "lang", "source", "n_chars")
 
 
-@query(f"""SELECT {sql_norm(_TITLE)} AS title, arg_max(page_id, (length(html) >= 2000, length(html), -page_id)) AS page_id FROM pages GROUP BY 1""")
-def win_05(spark, sf_dir):
-    """The best page of each normalised title: one that is not rejected (2,000 characters at least), then the longest."""
-    p = table(spark, sf_dir, "pages").select("page_id", text.norm_sp(F.expr(_TITLE)).alias("title"), F.length("html").alias("n"))
-    best = F.max_by("page_id", F.struct(F.col("n") >= 2000, "n", -F.col("page_id")))
-    return p.groupBy("title").agg(best.alias("page_id"))
-
-
-@query(r"""SELECT page_id, length(html)::BIGINT AS text_length, contains(lower(html), 'application/pdf') AS has_pdf,
-  contains(lower(html), 'content-disposition: attachment') OR contains(lower(html), 'content-type: application/') AS has_attachment,
-  contains(lower(html), 'application/pdf') OR contains(lower(html), 'content-disposition: attachment') OR contains(lower(html), 'content-type: application/')
-  OR regexp_matches(lower(html), '10\.[0-9]{4,9}/[-._;()/:a-z0-9]+') OR length(trim(html)) > 400 AS recoverable FROM pages""")
-def c_08(spark, sf_dir):
-    """Whether a wrapper holds something to recover: a hint of a PDF, an attachment, a DOI, or much text."""
-    low = F.lower("html")
-    pdf = low.contains("application/pdf")
-    attached = low.contains("content-disposition: attachment") | low.contains("content-type: application/")
-    much = F.length(F.trim("html")) > 400
-    return table(spark, sf_dir, "pages").select(
-        "page_id", F.length("html").cast("long").alias("text_length"), pdf.alias("has_pdf"), attached.alias("has_attachment"),
-        (pdf | attached | text.doi(F.col("html")).isNotNull() | much).alias("recoverable"),
-    )
-
-
 # -- resolution
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import gates, text
 from vellum.operators import dedup, linkage, retrieval
-from vellum.plans.common import Literal, sql_norm
+from vellum.plans.common import Literal, View, pick, sql_norm, word
 from vellum.sources.tables import table
 
 QUERIES, ORACLE = {}, {}
@@ -137,12 +137,11 @@ def jn_21(spark, sf_dir):
     return o.join(c, "o_custkey", "left").join(n, "n_nationkey", "left").select("o_orderkey", "c_name", "n_name")
 
 
-NAMES = Literal(
-    "k int, name string",
-    list(enumerate(["Smith_2001_Rhythm supplement.pdf", "thesis-final.pdf", "Oxford Handbook chapter 3.pdf", "Handbook of X (editor).pdf", "Routledge.pdf", "poster_7.pdf", "Author) unknown.pdf",
+# Names of files: words of the texts before and after what names carry.
+_PARTS = ["Smith_2001_Rhythm supplement.pdf", "thesis-final.pdf", "Oxford Handbook chapter 3.pdf", "Handbook of X (editor).pdf", "Routledge.pdf", "poster_7.pdf", "Author) unknown.pdf",
      "study protocol v2.pdf", "Jones - On Time (1998).pdf", "review-2004-music.pdf", "barry_1991_rhythm.pdf", "1-s2.0-s0167.pdf", "Erratum to Barry.pdf", "Retracted- A.pdf", "corrected proof.pdf",
-     "appendix_a.docx", "mmc1.pdf", "expression_of concern.pdf", "CON", "aux", "A:B/C*D?E\"F<G>H|I", "a & b + c", "x-20240101-101010", "name_1_2_3_4", "file copy", "__", "plain title of a paper", "report-copy-copy", "v1.2.3"])),
-)
+     "appendix_a.docx", "mmc1.pdf", "expression_of concern.pdf", "CON", "aux", "A:B/C*D?E\"F<G>H|I", "a & b + c", "x-20240101-101010", "name_1_2_3_4", "file copy", "__", "plain title of a paper", "report-copy-copy", "v1.2.3"]
+NAMES = View("documents", {"k": "doc_id", "name": f"CASE WHEN doc_id % 3 = 0 THEN {word(1)} || '_' || (1900 + n_chars % 150) || '_' ELSE '' END || {pick('n_chars', _PARTS)} || CASE WHEN doc_id % 5 = 0 THEN ' ' || {word(2)} ELSE '' END"})
 
 
 @query(f"""WITH {NAMES.sql('t')}, l AS (SELECT *, lower(name) AS low FROM t), b AS (SELECT *, regexp_matches(low, '{gates.BOOK}') AS book, regexp_matches(low, '[-_](19|20)[0-9]{{2}}[-_][a-z]') AS dated FROM l)
@@ -152,12 +151,12 @@ SELECT k, CASE WHEN regexp_matches(low, '{gates.SUPPLEMENT}') THEN 'supplement'
   WHEN regexp_matches(low, 'protocol|registered report') THEN 'protocol' WHEN regexp_matches(name, '\\s-\\s.+\\((19|20)[0-9]{{2}}\\)') THEN 'book'
   WHEN contains(low, 'review') AND dated THEN 'review_article' WHEN dated THEN 'journal_article' ELSE 'other_or_unknown' END AS kind FROM b""")
 def c_02(spark, sf_dir):
-    return NAMES.df(spark).select("k", gates.kind_of_name(F.col("name")).alias("kind"))
+    return NAMES.df(spark, sf_dir).select("k", gates.kind_of_name(F.col("name")).alias("kind"))
 
 
 @query(f"WITH {NAMES.sql('t')} SELECT k, CASE " + " ".join(f"WHEN regexp_matches(lower(name), '{p}') THEN '{kind}'" for kind, p in gates.CHILD) + " END AS kind FROM t")
 def c_06(spark, sf_dir):
-    return NAMES.df(spark).select("k", gates.child_kind(F.col("name")).alias("kind"))
+    return NAMES.df(spark, sf_dir).select("k", gates.child_kind(F.col("name")).alias("kind"))
 
 
 _FILE = "regexp_replace(regexp_replace(replace(replace(lower(trim(name)), '&', ' and '), '+', ' plus '), '[^a-z0-9_.-]+', '_', 'g'), '_+', '_', 'g')"
@@ -169,24 +168,28 @@ _FILE = f"regexp_replace(regexp_replace({_FILE}, '([_-](retry|copy|duplicate|rec
 @query(f"""WITH {NAMES.sql('t')}, s AS (SELECT k, CASE WHEN {_FILE} = '' THEN 'file' ELSE {_FILE} END AS x FROM t)
 SELECT k, CASE WHEN regexp_full_match(split_part(x, '.', 1), '(con|prn|aux|nul|com[1-9]|lpt[1-9])') THEN x || '_file' ELSE x END AS safe FROM s""")
 def s_17(spark, sf_dir):
-    return NAMES.df(spark).select("k", text.file_name(F.col("name")).alias("safe"))
+    return NAMES.df(spark, sf_dir).select("k", text.file_name(F.col("name")).alias("safe"))
 
 
 @query()
 def flt_32(spark, sf_dir):
     n = F.col("name")
-    return NAMES.df(spark).select("k", gates.path_problems(n, n, text.file_name(n)).alias("problems"))
+    return NAMES.df(spark, sf_dir).select("k", gates.path_problems(n, n, text.file_name(n)).alias("problems"))
 
 
 @query(f"WITH {NAMES.sql('t')} SELECT k, {sql_norm('name')} AS norm, lower(list_last(regexp_split_to_array(trim(name), '\\s+'))) AS surname FROM t")
 def s_08(spark, sf_dir):
-    return NAMES.df(spark).select("k", text.norm_sp(F.col("name")).alias("norm"), text.surname(F.col("name")).alias("surname"))
+    return NAMES.df(spark, sf_dir).select("k", text.norm_sp(F.col("name")).alias("norm"), text.surname(F.col("name")).alias("surname"))
 
 
-TITLES = Literal(
-    "k int, title string, id string, surname string",
-    [(k, *r) for k, r in enumerate([("", "a", "b"), (None, "a", "b"), ("Barry_1991", "barry_1991", "barry"), ("short", "x", "y"), ("a study.pdf", "x", "y"), ("123456789", "x", "y"), ("Lindqvist", "x", "lindqvist"),
-     ("HydroCelNetwork", "x", "y"), ("Hydro_Cel_10_10", "x", "y"), ("A plain title of a paper", "x", "y"), ("x" * 70 + "_y", "x", "y")])],
+TITLES = View(
+    "documents",
+    {
+        "k": "doc_id",
+        "title": f"CASE n_chars % 12 WHEN 0 THEN '' WHEN 1 THEN NULL WHEN 2 THEN {word(1)} || '_' || doc_id WHEN 3 THEN substring(text, 1, 6) WHEN 4 THEN substring(text, 1, 20) || '.PDF' WHEN 5 THEN cast(100000000 + doc_id AS STRING) "
+        f"WHEN 6 THEN {word(1)} WHEN 7 THEN {word(1)} || {word(2)} || {word(3)} WHEN 8 THEN {word(1)} || '_' || {word(2)} || '_10_10' WHEN 9 THEN repeat('x', 70) || '_' || doc_id ELSE substring(split_part(text, chr(10), 1), 1, 90) END",
+        "id": f"lower({word(1)}) || '_' || doc_id", "surname": f"lower({word(1)})",
+    },
 )
 
 
@@ -196,23 +199,30 @@ SELECT k, CASE WHEN x = '' THEN 'T1_empty' WHEN lower(x) = lower(id) THEN 'T2_eq
   WHEN NOT contains(x, ' ') AND contains(x, '_') AND length(x) < 60 THEN 'T4b_underscored_no_spaces' END AS reason FROM n""")
 def flt_16(spark, sf_dir):
     c = F.col
-    return TITLES.df(spark).select("k", gates.broken_title(c("title"), c("id"), c("surname")).alias("reason"))
+    return TITLES.df(spark, sf_dir).select("k", gates.broken_title(c("title"), c("id"), c("surname")).alias("reason"))
 
 
-TEXTS = Literal("k int, t string", list(enumerate(["see https://doi.org/10.1234/AB.c-5). Then", "doi:10.5555/x(1)y; 1998", "none 2003 and 1999", "10.12/short", "Published 1899, again 2050", ""])))
+TEXTS = View(
+    "documents",
+    {
+        "k": "doc_id",
+        "t": f"substring(text, 1, 200) || CASE n_chars % 6 WHEN 0 THEN ' see https://doi.org/10.' || (1000 + doc_id) || '/AB.c-' || source || '). Then' WHEN 1 THEN ' doi:10.5555/' || {word(1)} || '(1)y; 1998' WHEN 2 THEN ' none ' || (1990 + doc_id % 40) || ' and 1999' "
+        "WHEN 3 THEN ' 10.12/short' WHEN 4 THEN ' Published 1899, again 2050' ELSE '' END",
+    },
+)
 
 
 @query(f"""WITH {TEXTS.sql('t0')}, d AS (SELECT *, regexp_replace(regexp_extract(lower(t), '(10\\.[0-9]{{4,9}}/[-._;()/:a-z0-9]+)', 1), '[.,;:)]+$', '') AS x, regexp_extract(t, '((?:19|20)[0-9]{{2}})', 1) AS y FROM t0)
 SELECT k, nullif(x, '') AS doi, try_cast(nullif(y, '') AS INTEGER) AS year FROM d""")
 def s_33(spark, sf_dir):
-    return TEXTS.df(spark).select("k", text.doi(F.col("t")).alias("doi"), text.year(F.col("t")).alias("year"))
+    return TEXTS.df(spark, sf_dir).select("k", text.doi(F.col("t")).alias("doi"), text.year(F.col("t")).alias("year"))
 
 
-STATUSES = Literal("k int, status string", list(enumerate(["EXTRACTOR_UNAVAILABLE", "EXTRACTOR_CRASHED", "OCR_FAILED", "OCR_REQUIRED", "TRUE_EMPTY_TEXT", "CORRUPT_OR_UNREADABLE", "UNSUPPORTED_CONTENT_TYPE", "TEXT_OK", "WRONG_PATH_OR_MISSING_FILE"])))
+STATUSES = View("documents", {"k": "doc_id", "status": pick("n_chars", ["EXTRACTOR_UNAVAILABLE", "EXTRACTOR_CRASHED", "OCR_FAILED", "OCR_REQUIRED", "TRUE_EMPTY_TEXT", "CORRUPT_OR_UNREADABLE", "UNSUPPORTED_CONTENT_TYPE", "TEXT_OK", "WRONG_PATH_OR_MISSING_FILE"])})
 
 
 @query(f"""WITH {STATUSES.sql('t')} SELECT k, CASE WHEN status IN ('EXTRACTOR_UNAVAILABLE', 'EXTRACTOR_CRASHED', 'WRONG_PATH_OR_MISSING_FILE', 'OCR_FAILED') THEN 'SYSTEM_INTEGRITY_FAILURE'
   WHEN status IN ('TRUE_EMPTY_TEXT', 'CORRUPT_OR_UNREADABLE') THEN 'DELETE_TRUE_CORRUPT_UNUSABLE' WHEN status = 'UNSUPPORTED_CONTENT_TYPE' THEN 'DELETE_CONFIRMED_JUNK'
   ELSE 'DELETE_UNRECOVERABLE_AFTER_FULL_ADJUDICATION' END AS action FROM t""")
 def c_13(spark, sf_dir):
-    return STATUSES.df(spark).select("k", gates.extraction_action(F.col("status")).alias("action"))
+    return STATUSES.df(spark, sf_dir).select("k", gates.extraction_action(F.col("status")).alias("action"))

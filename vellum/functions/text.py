@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -36,14 +37,35 @@ def one_space(c: Column) -> Column:
     return strip(F.regexp_replace(c, r"\s+", " "))
 
 
-# Letters of Latin-1 and Latin Extended-A with an accent, and the same without.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-BARE = "aaaaaaceeeeiiiinooooouuuuyy"
+def _compatible() -> tuple[dict[str, str], dict[str, str]]:
+    """Lower-case characters of the basic plane that compatibility decomposition, without its marks, makes one ASCII
+    letter or digit, and the letters among those that it makes several."""
+    one, several = {}, {}
+    for k in range(0xA0, 0x10000):
+        c = chr(k)
+        bare = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)).lower()
+        if c == c.lower() and bare.isascii() and bare.isalnum():
+            if len(bare) == 1:
+                one[c] = bare
+            elif unicodedata.category(c).startswith("L"):
+                several[c] = bare
+    return one, several
+
+
+_ONE, _SEVERAL = _compatible()
+ACCENTED, BARE = "".join(_ONE), "".join(_ONE.values())
+MARKS = "[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]"
 
 
 def plain(c: Column) -> Column:
-    """Lower case without accents; anything but a-z and 0-9 is one space; trimmed."""
-    return F.trim(F.regexp_replace(F.translate(F.lower(c), ACCENTED, BARE), "[^a-z0-9]+", " "))
+    """Lower case without accents; anything but a-z and 0-9 is one space; trimmed.
+
+    Accents go by compatibility decomposition: letters that have none, such as a barred l, are no letters here.
+    """
+    low = F.lower(c)
+    for letter, bare in _SEVERAL.items():
+        low = F.replace(low, F.lit(letter), F.lit(bare))
+    return F.trim(F.regexp_replace(F.translate(F.regexp_replace(low, MARKS, ""), ACCENTED, BARE), "[^a-z0-9]+", " "))
 
 
 def section_key(c: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vellum.sources.session import ensure_checkpoint_dir
+
 
 def already_owned(staged: DataFrame, owned: DataFrame, key: str) -> DataFrame:
     """Staged rows whose key an owned row has."""
@@ -72,6 +74,7 @@ def connected(pairs: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataFr
         rest = links.join(to, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         return rest.unionByName(to.select("u", F.col("m").alias("v"))).distinct()
 
+    ensure_checkpoint_dir(pairs.sparkSession)
     known = pairs.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
     links = known.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
     nodes = links.select(F.col("u").alias("node")).unionByName(links.select(F.col("v").alias("node"))).distinct()

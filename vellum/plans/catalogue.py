@@ -10,9 +10,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.plans import articles, corpus, evaluation, flagship, helpers, ledger, papers, records, relations
+from vellum.plans import articles, corpus, evaluation, flagship, helpers, ledger, matching, papers, records, relations
 
-MODULES = [flagship, corpus, ledger, relations, papers, evaluation, helpers, records, articles]
+MODULES = [flagship, corpus, ledger, relations, papers, evaluation, helpers, records, articles, matching]
 
 
 def _merged(parts: list[dict]) -> dict:

@@ -63,6 +63,28 @@ def test_license_scan(spark):
     assert licenses.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_usual_forms_of_licenses(spark):
+    text = licenses.LICENCES
+    mit, bsd = text["MIT"].removeprefix("MIT License\n\n"), text["BSD-3-Clause"]
+    bullets = bsd.replace(" 1. ", "\n\n* ").replace(" 2. ", "\n\n* ").replace(" 3. ", "\n\n* ")
+    cases = {
+        "MIT": [mit, "The MIT License (MIT)\n\nCopyright (c) 2015 X\n\n" + mit, "MIT License\n\nCopyright Jane Doe, 2020\n\n" + mit, "# MIT License\n" + mit.replace(". ", ".\n")],
+        "BSD-3-Clause": ["BSD 3-Clause License\n\nCopyright (c) 2017, X\nAll rights reserved.\n\n" + bsd, bullets, "Copyright (c) 2017, X. All rights reserved.\n" + bullets, bsd.replace(" 2. ", "\n  2) ")],
+        "ISC": ["ISC License (ISC)\nCopyright 2004 X\n" + text["ISC"].removeprefix("ISC License\n\n")],
+        "Zlib": ["zlib License\n\n(C) 1999 X\n" + text["Zlib"]],
+        "Notice-GPL-3.0": [text["Notice-GPL-3.0"] + "\n"],
+        None: ["MIT License", "All rights reserved.", mit.replace("hereby", "not"), "The MIT License (MIT) is what " + mit],
+    }
+    rows = [(k, t, name) for k, (name, t) in enumerate((n, t) for n, ts in cases.items() for t in ts)]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string, name string"))
+    assert {r.doc_id: r.license_id for r in got.collect()} == {k: name for k, _, name in rows}
+
+
+def test_very_long_text_has_no_license(spark):
+    long = licenses.LICENCES["MIT"] + " word" * 300_000
+    assert [r.license_id for r in licenses.scan(spark.createDataFrame([(1, long)], "doc_id long, text string")).collect()] == [None]
+
+
 def brute_measures(text):
     t = text or ""
     w = re.findall("[^\x20\x09-\x0d]+", t)
@@ -97,7 +119,7 @@ def test_quality_verdicts(spark):
 
 
 def test_registered_counts_after_all_batches(spark, tmp_path):
-    """Loads, deletions and revisions of the registered query leave the totals of the documents as they are."""
+    """The registered query's totals after its deletions and revisions, some of which stay in force."""
     import public_tokenizers
     import tiktoken  # noqa: F401
 
@@ -105,10 +127,15 @@ def test_registered_counts_after_all_batches(spark, tmp_path):
 
     rows = [(k, f"text number {k} " * (k % 4), ["en", "de", None][k % 3], f"s{k % 2}") for k in range(30)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(k, 1, 0) for k in range(0, 40, 3)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    labels = {k: (k // 3 % 2, int(k % 5 == 0)) for k in range(0, 40, 3)}
+    spark.createDataFrame([(k, *v) for k, v in labels.items()], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     tool = token_counts.encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     want = {}
-    for _, text, lang, source in rows:
+    for k, text, lang, source in rows:
+        quality, toxic = labels.get(k, (1, 0))
+        if toxic:
+            continue
+        lang = lang if quality else None
         n = want.setdefault((source, lang), [0, 0, 0])
         for at, more in enumerate((1, len(tool.encode_ordinary(text)), len(text))):
             n[at] += more

@@ -1,8 +1,8 @@
 """Licence scan by canonical digests, in built-in Spark functions only.
 
 A whole text is brought to a canonical form: letters in one case, copyright
-lines gone, equivalent spellings made one, anything but letters and digits a
-single space. Its SHA-256 is hash-joined with the digests of the known
+lines gone, equivalent spellings made one, numbers of clauses gone, anything but letters
+and digits a single space, the licence's own name in front gone. Its SHA-256 is hash-joined with the digests of the known
 licences, which are put through the same expression. The known table is a
 fixed list in this module, so it is small whatever the corpus; it is broadcast.
 
@@ -46,7 +46,14 @@ SPELLINGS = (
     ("per cent", "percent"), ("programme", "program"), ("wilful", "willful"), ("(c)", "©"), ("&", "and"),
 )
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-COPYRIGHT_LINE = r"(^|\n)[ \t#*/;-]*(copyright[ \t:]*(©|[0-9])|©)[^\n]*"
+COPYRIGHT_LINE = r"(^|\n)[ \t#*/;-]*(copyright[ \t:]*(©|[0-9])|copyright [^\n]*[0-9]{4}|©)[^\n]*"
+#: Numbers of clauses; bullets are marks and go with them.
+CLAUSE = r"(^|[ \t\n\r])[(]?[0-9]{1,2}[.)][ \t\n\r]+([a-z])"
+#: A licence's own name and "all rights reserved" in front of its first word.
+HEADING = (
+    r"^(?:(?:the )?(?:mit no attribution|(?:mit|isc|zlib|bsd [0-9] clause|bsd zero clause|(?:simplified |new |revised |modified )?bsd)(?: license)?)"
+    r"(?: mit| isc| zlib| bsd [0-9] clause| simplified| new| revised)?(?: license)? )?(?:all rights reserved )?(permission|redistribution|this software) "
+)
 NO_TEXT = r"[^\p{L}\p{N}]+"
 
 
@@ -55,8 +62,8 @@ def canonical(text: Column) -> Column:
     out = F.translate(F.coalesce(text.cast("string"), F.lit("")), UPPER, LOWER)
     for old, new in SPELLINGS:
         out = F.replace(out, F.lit(old), F.lit(new))
-    out = F.regexp_replace(out, COPYRIGHT_LINE, "\n")
-    return F.trim(F.regexp_replace(out, NO_TEXT, " "))
+    out = F.regexp_replace(F.regexp_replace(out, COPYRIGHT_LINE, "\n"), CLAUSE, " $2")
+    return F.regexp_replace(F.trim(F.regexp_replace(out, NO_TEXT, " ")), HEADING, "$1 ")
 
 
 def digest(text: Column) -> Column:

@@ -61,12 +61,13 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = token_counts.counted(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, "byte_bpe_50k-1")
     store.commit("load", upserts=docs)
     store.commit("load", upserts=docs)  # committed before: changes nothing
-    # labelled documents are taken back, then come again with their language unknown, then as they were
-    texts, labelled = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels").select("doc_id").distinct()
-    again = texts.join(labelled, "doc_id", "left_semi")
-    store.commit("taken_back", deleted=labelled)
-    store.commit("unsure", upserts=token_counts.counted(again.withColumn("lang", F.lit(None)), path, public_tokenizers.PATTERN, "byte_bpe_50k-1"))
-    store.commit("revised", upserts=token_counts.counted(again, path, public_tokenizers.PATTERN, "byte_bpe_50k-1"))
+    # labelled documents are taken back; those that are not toxic come again with their language unknown, then the good ones as they were
+    texts, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic").dropDuplicates(["doc_id"])
+    again = texts.join(labels.filter("toxic = 0"), "doc_id")
+    count = lambda rows: token_counts.counted(rows, path, public_tokenizers.PATTERN, "byte_bpe_50k-1")
+    store.commit("taken_back", deleted=labels)
+    store.commit("unsure", upserts=count(again.withColumn("lang", F.lit(None))))
+    store.commit("revised", upserts=count(again.filter("quality = 1")))
     return store.totals()
 
 

@@ -59,7 +59,8 @@ def _canonical(text: str) -> str:
     for old, new in licenses.SPELLINGS:
         out = f"replace({out}, {quoted(old)}, {quoted(new)})"
     out = f"regexp_replace({out}, {quoted(licenses.COPYRIGHT_LINE)}, chr(10), 'g')"
-    return f"trim(regexp_replace({out}, {quoted(licenses.NO_TEXT)}, ' ', 'g'))"
+    out = f"regexp_replace({out}, {quoted(licenses.CLAUSE)}, ' \\2', 'g')"
+    return f"regexp_replace(trim(regexp_replace({out}, {quoted(licenses.NO_TEXT)}, ' ', 'g')), {quoted(licenses.HEADING)}, '\\1 ')"
 
 
 _KNOWN = ", ".join("('{}', '{}')".format(k, t.replace("'", "''")) for k, t in sorted(licenses.LICENCES.items()))

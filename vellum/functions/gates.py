@@ -238,9 +238,9 @@ def mime_recoverable(value: Column) -> Column:
     return hint | low.rlike(DOI) | (F.length(F.regexp_replace(value, r"^\s+|\s+$", "")) > 400)
 
 
-def limited_item(name: Column, value: Column, pages: Column, status: Column, can_rate: Column) -> Column:
+def limited_item(name: Column, title: Column, value: Column, pages: Column, status: Column, can_rate: Column) -> Column:
     """Abstracts and pages of proceedings, kept but not rated: a verdict and its reasons."""
-    sample = F.lower(F.regexp_replace(F.concat_ws(" ", name, F.substring(value, 1, 12000)), r"\s+", " "))
+    sample = F.lower(F.regexp_replace(F.concat_ws(" ", name, title, F.substring(value, 1, 12000)), r"\s+", " "))
     dois = F.size(F.regexp_extract_all(F.lower(value), F.lit(r"\bdoi\s*:\s*10\.[0-9]{4,9}/\S+"), F.lit(0)))
     marker = sample.rlike("abstracts /|conference abstracts")
     reasons = F.array_compact(
@@ -321,3 +321,24 @@ NON_RATABLE_TYPES = (
 def non_ratable_type(kind: Column) -> Column:
     """Whether a type, in any spelling, gets no research rating."""
     return F.coalesce(F.translate(F.lower(F.trim(kind)), "- ", "__").isin(*NON_RATABLE_TYPES), F.lit(False))
+
+
+# Words of sections, of studies, and of reference works.
+SECTION_WORDS = ("abstract", "introduction", "method", "result", "discussion", "reference")
+STUDY = r"\b(participants|subjects|n\s*=\s*[0-9]+|experiment|study)\b"
+MANUAL = r"\b(handbook|manual|dictionary|standard|protocol|guideline|tutorial)\b"
+VOLUME = r"\b(book|chapter|atlas)\b"
+
+
+def article_signals(low: Column, name: Column, identified: Column, pages: Column, size: Column, no_identity: Column) -> Column:
+    """Five scores of a document, added up from its text (lower case), its file's name and its identity."""
+    yes = lambda test, points: F.when(test, points).otherwise(0)
+    hits = sum((F.contains(low, F.lit(w)).cast("int") for w in SECTION_WORDS), F.lit(0))
+    volume = name.rlike(VOLUME) & ~F.contains(name, F.lit("review paper"))
+    return F.struct(
+        (yes(hits >= 2, 2) + yes(identified, 1) + yes(pages >= 3, 1)).alias("journal_article_signals"),
+        (yes(hits >= 4, 2) + yes(low.rlike(STUDY), 1)).alias("empirical_signals"),
+        (yes(name.rlike(MANUAL), 2) + yes(volume, 1)).alias("reference_material_signals"),
+        F.lit(0).alias("child_support_signals"),
+        (yes(size < 200, 1) + yes(no_identity, 2)).alias("insufficient_evidence_signals"),
+    )

@@ -274,3 +274,27 @@ def path_owner(path: Column, owners: Column, supplement_owners: Column) -> Colum
         .when(low.rlike(r"[.](py|md|txt|toml|yaml|yml|json|csv)$"), "code_config")
         .otherwise("unknown_runtime_file")
     )
+
+
+def usable_title(title: Column) -> Column:
+    """Whether a file's own title may be used: not the name of a draft, not digits only, eight letters at least."""
+    low = F.lower(title)
+    draft = low.endswith(".indd") | low.endswith(".pdf") | F.contains(low, F.lit("print.indd"))
+    sized = F.length(F.regexp_replace(title, r"^\s+|\s+$", "")) >= 8
+    return F.coalesce((title != "") & ~draft & ~title.rlike("^[0-9_ -]{4,}$") & sized, F.lit(False))
+
+
+# What an id begins with that must be looked at by hand.
+MALFORMED_ID = "^_[A-Za-z]"
+
+
+def rename_problem(old: Column, new: Column, surname: Column, year: Column, title: Column) -> Column:
+    """Why an id is not renamed; null if it may be."""
+    return (
+        F.when(old.rlike(MALFORMED_ID), "malformed_id_needs_manual")
+        .when(old.startswith("orphan_") & ~reliable_id(new), "orphan_id_needs_manual")
+        .when(new.startswith("orphan_"), "orphan_output_needs_manual")
+        .when(unsafe_id(new), "unsafe_generated_id")
+        .when(~reliable_id(new), "unreliable_generated_id")
+        .when((F.coalesce(surname, F.lit("")) == "") | ~F.coalesce(year, F.lit("")).rlike("^[0-9]+$") | (F.length(F.trim(F.coalesce(title, F.lit("")))) < 8), "insufficient_metadata_for_rename")
+    )

@@ -176,9 +176,9 @@ def abstract(c: Column, most: int = 1600) -> Column:
 
 
 def title_of_name(c: Column) -> Column:
-    """A title from a file name: the words after its year, three at least, each with a capital."""
+    """A title from a file name: the words after its year, three at least, each with a capital; the year stands in no longer number."""
     stem = F.regexp_replace(c, r"\.(pdf|PDF)", "")
-    after = F.regexp_extract(stem, r"(?:19|20)[0-9]{2}[_\- ]*(.*)$", 1)
+    after = F.regexp_extract(stem, r"(?s)(?<!\d)(?:19[0-9]{2}|20[0-2][0-9])(?!\d)[_\- ]*(.*)$", 1)
     after = F.regexp_replace(F.regexp_replace(after, r"_supplement_[0-9]+$", ""), r"_part_[0-9]+$", "")
     words = F.filter(F.split(after, r"[_\s]+"), lambda w: w != "")
     capital = lambda w: F.when((F.upper(w) == w) & (F.lower(w) != w), w).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, F.lit(2), F.length(w)))))
@@ -214,6 +214,7 @@ def section_bucket(name: Column) -> Column:
 
 
 def joined_sections(sections: Column) -> Column:
-    """A map of sections as one text, by rank and name."""
-    ranked = F.transform(F.map_entries(sections), lambda e: F.struct(section_rank(e["key"]).alias("rank"), e["key"].alias("key"), e["value"].alias("value")))
-    return F.array_join(F.transform(F.array_sort(ranked), lambda e: F.concat(e["key"], F.lit("\n"), e["value"])), "\n\n")
+    """A map of sections as one text, by rank and name, each below its name in capitals; blank ones are left out."""
+    ranked = F.transform(F.map_entries(sections), lambda e: F.struct(section_rank(e["key"]).alias("rank"), e["key"].alias("key"), strip(e["value"]).alias("value")))
+    filled = F.filter(F.array_sort(ranked), lambda e: F.coalesce(e["value"], F.lit("")) != "")
+    return F.array_join(F.transform(filled, lambda e: F.concat(F.lit("=== "), F.upper(e["key"]), F.lit(" ===\n"), e["value"])), "\n\n")

@@ -55,11 +55,11 @@ def s_37(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(text.abstract(F.expr(_MARKED)), 256).alias("abstract"))
 
 
-_NAME = "source || '_' || (1990 + doc_id % 30) || '_' || regexp_replace(lower(substring(text, 1, 40)), '[^a-z]+', '_'{}) || CASE doc_id % 3 WHEN 0 THEN '_supplement_2' WHEN 1 THEN '_XAI_part_1' ELSE '' END || '.pdf'"
+_NAME = "source || CASE WHEN doc_id % 4 = 0 THEN '_12001999' ELSE '' END || '_' || (1990 + doc_id % 30) || '_' || regexp_replace(lower(substring(text, 1, 40)), '[^a-z]+', '_'{}) || CASE doc_id % 3 WHEN 0 THEN '_supplement_2' WHEN 1 THEN '_XAI_part_1' ELSE '' END || '.pdf'"
 
 
 @query(f"""WITH n AS (SELECT doc_id, replace({_NAME.format(", 'g'")}, '.pdf', '') AS stem FROM documents),
-a AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_extract(stem, '(?:19|20)[0-9]{{2}}[_\\- ]*(.*)$', 1), '_supplement_[0-9]+$', ''), '_part_[0-9]+$', '') AS x FROM n),
+a AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_extract(stem, '(?:^|[^0-9])(?:19[0-9]{{2}}|20[0-2][0-9])(?:[_\\- ]+(.*))?$', 1), '_supplement_[0-9]+$', ''), '_part_[0-9]+$', '') AS x FROM n),
 w AS (SELECT doc_id, list_filter(regexp_split_to_array(x, '[_\\s]+'), lambda v: v <> '') AS w FROM a)
 SELECT doc_id, CASE WHEN len(w) >= 3 THEN array_to_string(list_transform(w, lambda v: CASE WHEN upper(v) = v AND lower(v) <> v THEN v ELSE upper(v[1]) || lower(v[2:]) END), ' ') END AS title FROM w""")
 def s_21(spark, sf_dir):
@@ -70,11 +70,12 @@ def s_21(spark, sf_dir):
 _H1 = "regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1)"
 
 
-@query(f"""SELECT page_id, 'Abstract' || chr(10) || {_TITLE} || chr(10) || chr(10) || 'Main Results' || chr(10) || {_H1} || chr(10) || chr(10)
-  || 'notes' || chr(10) || 'page ' || page_id || chr(10) || chr(10) || 'Reference list' || chr(10) || url AS pack FROM pages""")
+@query(f"""SELECT page_id, concat_ws(chr(10) || chr(10), CASE WHEN trim({_TITLE}) <> '' THEN '=== ABSTRACT ===' || chr(10) || trim({_TITLE}) END, CASE WHEN page_id % 3 > 0 THEN '=== MAIN RESULTS ===' || chr(10) || {sql_strip(_H1)} END,
+  '=== NOTES ===' || chr(10) || 'page ' || page_id, '=== REFERENCE LIST ===' || chr(10) || trim(url)) AS pack FROM pages""")
 def l_07(spark, sf_dir):
-    """The parts of a page as sections in the order of a pack."""
-    pairs = [F.lit("Reference list"), F.col("url"), F.lit("notes"), F.concat(F.lit("page "), "page_id"), F.lit("Main Results"), F.expr(_H1), F.lit("Abstract"), F.expr(_TITLE)]
+    """The parts of a page as sections in the order of a pack, blank ones left out."""
+    h1 = F.when(F.col("page_id") % 3 > 0, F.expr(_H1)).otherwise(" \n")
+    pairs = [F.lit("Reference list"), F.col("url"), F.lit("notes"), F.concat(F.lit(" page "), "page_id"), F.lit("Main Results"), h1, F.lit("Abstract"), F.expr(_TITLE)]
     return table(spark, sf_dir, "pages").select("page_id", text.joined_sections(F.create_map(*pairs)).alias("pack"))
 
 
@@ -95,30 +96,23 @@ def l_07_buckets(spark, sf_dir):
 # -- signals and choices
 
 
-@query(r"""WITH p AS (SELECT page_id, lower(html) AS t, lower(url) AS f, length(regexp_replace(html, '\s+', ' ', 'g')) AS n FROM pages),
+_PII = "'S' || lpad(page_id::VARCHAR, 16, '0')"
+
+
+@query(rf"""WITH p AS (SELECT page_id, lower(html) AS t, lower(url) AS f, {_TITLE} AS title, CASE WHEN page_id % 5 = 0 THEN {_PII} ELSE '' END AS pii, length(regexp_replace(html, '\s+', ' ', 'g')) AS n FROM pages),
 h AS (SELECT *, contains(t, 'abstract')::INT + contains(t, 'introduction')::INT + contains(t, 'method')::INT + contains(t, 'result')::INT + contains(t, 'discussion')::INT + contains(t, 'reference')::INT AS hits FROM p)
-SELECT page_id, CASE WHEN hits >= 2 THEN 2 ELSE 0 END + CASE WHEN regexp_matches(t, '10\.[0-9]{4,9}/') THEN 1 ELSE 0 END + CASE WHEN n // 1500 >= 3 THEN 1 ELSE 0 END AS article,
-  CASE WHEN hits >= 4 THEN 2 ELSE 0 END + CASE WHEN regexp_matches(t, '\b(participants|subjects|n\s*=\s*[0-9]+|experiment|study)\b') THEN 1 ELSE 0 END AS empirical,
+SELECT page_id, CASE WHEN hits >= 2 THEN 2 ELSE 0 END + CASE WHEN pii <> '' OR regexp_matches(t, '10\.[0-9]{{4,9}}/') THEN 1 ELSE 0 END + CASE WHEN n // 1500 >= 3 THEN 1 ELSE 0 END AS journal_article_signals,
+  CASE WHEN hits >= 4 THEN 2 ELSE 0 END + CASE WHEN regexp_matches(t, '\b(participants|subjects|n\s*=\s*[0-9]+|experiment|study)\b') THEN 1 ELSE 0 END AS empirical_signals,
   CASE WHEN regexp_matches(f, '\b(handbook|manual|dictionary|standard|protocol|guideline|tutorial)\b') THEN 2 ELSE 0 END
-    + CASE WHEN regexp_matches(f, '\b(book|chapter|atlas)\b') AND NOT contains(f, 'review paper') THEN 1 ELSE 0 END AS reference,
-  CASE WHEN n < 200 THEN 1 ELSE 0 END AS insufficient FROM h""")
+    + CASE WHEN regexp_matches(f, '\b(book|chapter|atlas)\b') AND NOT contains(f, 'review paper') THEN 1 ELSE 0 END AS reference_material_signals, 0 AS child_support_signals,
+  CASE WHEN n < 200 THEN 1 ELSE 0 END + CASE WHEN length(title) < 20 THEN 2 ELSE 0 END AS insufficient_evidence_signals FROM h""")
 def agg_27(spark, sf_dir):
-    """Signs of an article, of reference material and of too little text, added up for each page."""
-    low, name = F.lower("html"), F.lower("url")
+    """The five scores of a page: article, empirical, reference material, child (which no rule raises), too little evidence."""
+    pii = F.when(F.col("page_id") % 5 == 0, F.concat(F.lit("S"), F.lpad(F.col("page_id").cast("string"), 16, "0"))).otherwise("")
+    low, name, title = F.lower("html"), F.lower("url"), F.expr(_TITLE)
     size = F.length(F.regexp_replace("html", r"\s+", " "))
-    yes = lambda test, points: F.when(test, points).otherwise(0)
-    hits = sum((F.contains(low, F.lit(w)).cast("int") for w in ("abstract", "introduction", "method", "result", "discussion", "reference")), F.lit(0))
-    p = table(spark, sf_dir, "pages").withColumns({"hits": hits, "size": size})
-    return p.select(
-        "page_id",
-        (yes(F.col("hits") >= 2, 2) + yes(low.rlike(r"10\.[0-9]{4,9}/"), 1) + yes(F.floor(F.col("size") / 1500) >= 3, 1)).alias("article"),
-        (yes(F.col("hits") >= 4, 2) + yes(low.rlike(r"\b(participants|subjects|n\s*=\s*[0-9]+|experiment|study)\b"), 1)).alias("empirical"),
-        (
-            yes(name.rlike(r"\b(handbook|manual|dictionary|standard|protocol|guideline|tutorial)\b"), 2)
-            + yes(name.rlike(r"\b(book|chapter|atlas)\b") & ~F.contains(name, F.lit("review paper")), 1)
-        ).alias("reference"),
-        yes(F.col("size") < 200, 1).alias("insufficient"),
-    )
+    found = gates.article_signals(low, name, (pii != "") | low.rlike(r"10\.[0-9]{4,9}/"), F.floor(size / 1500), size, F.length(title) < 20)
+    return table(spark, sf_dir, "pages").select("page_id", found.alias("s")).select("page_id", "s.*")
 
 
 @query(f"""WITH t AS (SELECT page_id, {sql_norm(_TITLE)} AS key, contains(url, '?') AS rejected, length(html) AS confidence FROM pages)
@@ -199,15 +193,18 @@ def c_08(spark, sf_dir):
 _ITEM = """CASE doc_id % 5 WHEN 0 THEN 'Conference  Abstracts. ' || text WHEN 1 THEN text || ' DOI: 10.1234/a1 and doi:10.1234/b' || doc_id WHEN 2 THEN 'A conference abstract. ' || text ELSE text END"""
 
 
-@query(rf"""WITH d AS (SELECT doc_id, {_ITEM} AS t, (n_chars // 1500 + 1)::INT AS pages, CASE WHEN n_chars < 2000 THEN 'INSUFFICIENT_FOR_EVALUATION' ELSE 'COMPLETE_ENOUGH' END AS status FROM documents),
-s AS (SELECT *, lower(regexp_replace('file ' || substring(t, 1, 12000), '\s+', ' ', 'g')) AS sample, len(regexp_extract_all(lower(t), '\bdoi\s*:\s*10\.[0-9]{{4,9}}/\S+')) AS dois FROM d),
+_ITEM_TITLE = "CASE WHEN doc_id % 7 = 3 THEN 'Abstracts / ' || source ELSE source END"
+
+
+@query(rf"""WITH d AS (SELECT doc_id, {_ITEM} AS t, {_ITEM_TITLE} AS title, (n_chars // 1500 + 1)::INT AS pages, CASE WHEN n_chars < 2000 THEN 'INSUFFICIENT_FOR_EVALUATION' ELSE 'COMPLETE_ENOUGH' END AS status FROM documents),
+s AS (SELECT *, lower(regexp_replace('file ' || title || ' ' || substring(t, 1, 12000), '\s+', ' ', 'g')) AS sample, len(regexp_extract_all(lower(t), '\bdoi\s*:\s*10\.[0-9]{{4,9}}/\S+')) AS dois FROM d),
 r AS (SELECT *, contains(sample, 'abstracts /') OR contains(sample, 'conference abstracts') AS marker FROM s)
 SELECT doc_id, (marker OR dois >= 2 OR (contains(sample, 'conference abstract') AND (pages <= 2 OR status <> 'COMPLETE_ENOUGH'))) AND status <> 'COMPLETE_ENOUGH' AS limited,
   concat_ws(',', CASE WHEN marker THEN 'page_marker' END, CASE WHEN dois >= 2 THEN 'several_dois' END, CASE WHEN pages <= 2 THEN 'few_pages' END, CASE WHEN status <> 'COMPLETE_ENOUGH' THEN 'coverage' END) AS reasons FROM r""")
 def c_05(spark, sf_dir):
     """Abstracts and proceedings; the sample for the marks has a bound of its own, DOIs are counted in whole texts."""
     status = F.when(F.col("n_chars") < 2000, "INSUFFICIENT_FOR_EVALUATION").otherwise("COMPLETE_ENOUGH")
-    found = gates.limited_item(F.lit("file"), F.expr(_ITEM), F.floor(F.col("n_chars") / 1500) + 1, status, status == "COMPLETE_ENOUGH")
+    found = gates.limited_item(F.lit("file"), F.expr(_ITEM_TITLE), F.expr(_ITEM), F.floor(F.col("n_chars") / 1500) + 1, status, status == "COMPLETE_ENOUGH")
     return table(spark, sf_dir, "documents").select("doc_id", found.alias("f")).select("doc_id", "f.limited", F.array_join("f.reasons", ",").alias("reasons"))
 
 

@@ -255,16 +255,18 @@ def prj_07(spark, sf_dir):
     )
 
 
-@query(rf"""WITH f AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN '%PDF-1.7' || html WHEN 1 THEN substring(html, 1, 499) ELSE html END AS content, {_TITLE} AS title FROM pages)
+_DRAFT = f"CASE page_id % 7 WHEN 0 THEN {_TITLE} || '.Indd' WHEN 1 THEN 'x print.indd ' || {_TITLE} WHEN 2 THEN '0167-8760_91 90056' WHEN 3 THEN '  ' || substring({_TITLE}, 1, 7) || ' ' WHEN 4 THEN NULL ELSE {_TITLE} END"
+
+
+@query(rf"""WITH f AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN '%PDF-1.7' || html WHEN 1 THEN substring(html, 1, 499) ELSE html END AS content, {_DRAFT} AS title FROM pages)
 SELECT page_id, CASE WHEN octet_length(encode(content)) < 500 THEN 'file_too_small' WHEN NOT starts_with(content, '%PDF') THEN 'invalid_pdf_header' ELSE 'ok' END AS reason,
-  NOT regexp_matches(title, '^[0-9 ]*$') AND length(title) >= 8 AS usable_title FROM f""")
+  coalesce(title <> '' AND NOT (ends_with(lower(title), '.indd') OR ends_with(lower(title), '.pdf') OR contains(lower(title), 'print.indd')) AND NOT regexp_full_match(title, '[0-9_ -]{{4,}}')
+    AND length({sql_strip('title')}) >= 8, false) AS usable_title FROM f""")
 def x_10(spark, sf_dir):
-    """Why a file is no valid PDF (500 bytes at least, the mark at its head), and titles that may be used (X-17)."""
+    """Why a file is no valid PDF (500 bytes at least, the mark at its head), and titles of files that may be used (X-17)."""
     content = F.expr("CASE page_id % 3 WHEN 0 THEN concat('%PDF-1.7', html) WHEN 1 THEN substring(html, 1, 499) ELSE html END")
-    title = F.expr(_TITLE)
     reason = F.when(F.octet_length(content) < 500, "file_too_small").when(~content.startswith("%PDF"), "invalid_pdf_header").otherwise("ok")
-    usable = ~title.rlike("^[0-9 ]*$") & (F.length(title) >= 8)
-    return table(spark, sf_dir, "pages").select("page_id", reason.alias("reason"), usable.alias("usable_title"))
+    return table(spark, sf_dir, "pages").select("page_id", reason.alias("reason"), identity.usable_title(F.expr(_DRAFT)).alias("usable_title"))
 
 
 @query(f"""SELECT page_id, title, score FROM (SELECT page_id, {_TITLE} AS title, (length({_TITLE}) BETWEEN 12 AND 180)::INTEGER * 2 + regexp_matches({_TITLE}, '^[A-Z]')::INTEGER

@@ -68,14 +68,35 @@ def acceptance(status: Column, length: Column, extractor: Column, journal: Colum
     )
 
 
-def extraction(native: Column, second: Column, ocr: Column) -> Column:
-    """Status from the text lengths of three extractors, tried in turn."""
+PREVIEW = 20
+
+
+def extraction(file: dict[str, Column]) -> Column:
+    """Status of a file's extraction, and behind a colon the source of the text, by extractors tried in turn.
+
+    ``file``: exists, is_pdf, header_ok, tool (ok, not_found, crashed), preview, native,
+    second and ocr (text lengths), ocr_state (not_asked, unavailable, failed, ran), pages, size.
+    Other files' previews and texts by OCR need ``PREVIEW`` characters, texts of a PDF ``LEAST``.
+    """
+    n = lambda k: F.coalesce(file[k], F.lit(0))
+    best = F.when(n("second") > n("native"), "second").otherwise("native")
+    readable = n("pages") >= 1
     return (
-        F.when(native >= LEAST, "TEXT_OK:native")
-        .when((second > native) & (second >= LEAST), "TEXT_OK:second")
-        .when(ocr.isNull(), "OCR_REQUIRED")
-        .when(ocr >= 20, "TEXT_OK:ocr")
-        .otherwise("OCR_FAILED")
+        F.when(~file["exists"], "WRONG_PATH_OR_MISSING_FILE:none")
+        .when(~file["is_pdf"] & (n("preview") >= PREVIEW), "TEXT_OK:preview")
+        .when(~file["is_pdf"], "TRUE_EMPTY_TEXT:preview")
+        .when(~file["header_ok"], "CORRUPT_OR_UNREADABLE:none")
+        .when(file["tool"] == "not_found", "EXTRACTOR_UNAVAILABLE:none")
+        .when(file["tool"] == "crashed", "EXTRACTOR_CRASHED:none")
+        .when(n("native") >= LEAST, "TEXT_OK:native")
+        .when((n("second") > n("native")) & (n("second") >= LEAST), "TEXT_OK:second")
+        .when((file["ocr_state"] == "not_asked") & readable, F.concat(F.lit("OCR_REQUIRED:"), best))
+        .when(file["ocr_state"] == "not_asked", F.concat(F.lit("TRUE_EMPTY_TEXT:"), best))
+        .when(file["ocr_state"] == "unavailable", F.concat(F.lit("EXTRACTOR_UNAVAILABLE:"), best))
+        .when(n("ocr") >= PREVIEW, "TEXT_OK:ocr")
+        .when(file["ocr_state"] == "failed", F.concat(F.lit("OCR_FAILED:"), best))
+        .when(readable & (n("size") >= 500), F.concat(F.lit("TRUE_EMPTY_TEXT:"), best))
+        .otherwise(F.concat(F.lit("CORRUPT_OR_UNREADABLE:"), best))
     )
 
 
@@ -90,13 +111,43 @@ def extraction_action(status: Column) -> Column:
 
 
 # Marks in file names, in the order in which they decide.
-SUPPLEMENT = "supplement|_supp|-supp|appendix|mmc|supporting information"
-BOOK = "handbook|cambridge|oxford|routledge|nato asi|series|isbn|press|rapid interpretation|principles and practice|current top|edited by|[(]editor|_editor"
-CHILD = [
-    ("expression_of_concern", r"expression[ _-]?of[ _-]?concern"), ("retraction", "retraction|retracted"), ("erratum", "erratum|errata"),
-    ("corrigendum", "corrigendum"), ("correction", "correction|corrected"), ("addendum", "addendum"),
-    ("appendix", "appendix|appendices"), ("supplement", "supplement|_supp|-supp|mmc[0-9]|supporting"),
-]
+SUPPLEMENT_MARKS = (
+    "supplement",
+    "_supp",
+    "-supp",
+    "appendix",
+    "mmc",
+    "supporting information",
+)
+SUPPLEMENT = "|".join(SUPPLEMENT_MARKS)
+BOOK_MARKS = (
+    "handbook",
+    "cambridge",
+    "oxford",
+    "routledge",
+    "nato asi",
+    "series",
+    "isbn",
+    "press",
+    "rapid interpretation",
+    "principles and practice",
+    "current top",
+    "edited by",
+    "[(]editor",
+    "_editor",
+)
+BOOK = "|".join(BOOK_MARKS)
+CHILD_MARKS = (
+    ("expression_of_concern", ("expression[ _-]?of[ _-]?concern",)),
+    ("retraction", ("retraction", "retracted")),
+    ("erratum", ("erratum", "errata")),
+    ("corrigendum", ("corrigendum",)),
+    ("correction", ("correction", "corrected")),
+    ("addendum", ("addendum",)),
+    ("appendix", ("appendix", "appendices")),
+    ("supplement", ("supplement", "_supp", "-supp", "mmc[0-9]", "supporting")),
+)
+CHILD = [(kind, "|".join(marks)) for kind, marks in CHILD_MARKS]
 
 
 def kind_of_name(name: Column) -> Column:

@@ -60,10 +60,25 @@ WEIRD_PATTERNS = (
 WEIRD = "|".join(WEIRD_PATTERNS)
 # The form of a name to be kept, and endings that show a cut title.
 RELIABLE = "^[A-Z][a-zA-Z]{2,30}_[0-9]{4}_[A-Za-z][a-zA-Z]{2,50}$"
-JUNK_TAIL = "(unknow|situatio|situation|international|handbook|auth|main)[0-9]*$"
+JUNK_TAILS = (
+    "unknow",
+    "situatio",
+    "situation",
+    "international",
+    "handbook",
+    "auth",
+    "main",
+)
+JUNK_TAIL = f"({'|'.join(JUNK_TAILS)})[0-9]*$"
 # Other spellings of ratings.
 RATING_ALIASES = {"moderate": "adequate", "junk": "flawed"}
-ORPHAN = "__supplement$|_supplement_[0-9]+$|_[sS]upplement$|_supp[0-9]+$"
+ORPHAN_TAILS = (
+    "__supplement$",
+    "_supplement_[0-9]+$",
+    "_[sS]upplement$",
+    "_supp[0-9]+$",
+)
+ORPHAN = "|".join(ORPHAN_TAILS)
 
 
 def lookup(c: Column, table: dict[str, str], default: str | None = None) -> Column:

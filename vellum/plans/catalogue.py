@@ -10,9 +10,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.plans import articles, corpus, evaluation, flagship, helpers, ledger, matching, papers, records, relations, upkeep
+from vellum.plans import articles, corpus, desk, evaluation, flagship, helpers, ledger, matching, papers, records, relations, upkeep
 
-MODULES = [flagship, corpus, ledger, relations, papers, evaluation, helpers, records, articles, matching, upkeep]
+MODULES = [flagship, corpus, ledger, relations, papers, evaluation, helpers, records, articles, matching, upkeep, desk]
 
 
 def _merged(parts: list[dict]) -> dict:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import gates, text
 from vellum.operators import dedup, linkage, retrieval, store
-from vellum.plans.common import sql_norm, sql_strip, sql_tokens
+from vellum.plans.common import View, pick, sql_norm, sql_strip, sql_tokens
 from vellum.sources.tables import table
 
 QUERIES, ORACLE = {}, {}
@@ -98,10 +98,27 @@ def jn_22_rows(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels"), "doc_id", "left_anti")
 
 
-@query("SELECT doc_id, CASE WHEN n_chars >= 200 THEN 'TEXT_OK:native' ELSE 'TEXT_OK:ocr' END AS status FROM documents")
+# Files as their documents make them: what the ladder asks of each, by its length, language and source.
+EXTRACTED = View(
+    "documents",
+    {
+        "doc_id": "doc_id", "found": "source <> 'src0'", "is_pdf": "lang <> 'es'", "header_ok": "source <> 'src1'", "tool": "CASE source WHEN 'src2' THEN 'not_found' WHEN 'src3' THEN 'crashed' ELSE 'ok' END",
+        "preview": "n_chars - 300", "native": "CASE WHEN doc_id % 2 = 0 THEN n_chars ELSE n_chars % 150 END", "second": "n_chars % 400", "ocr": "CASE WHEN doc_id % 4 = 1 THEN n_chars % 25 END",
+        "ocr_state": pick("n_chars", ["not_asked", "unavailable", "failed", "ran", "ran"]), "pages": "n_chars % 3", "size": "n_chars",
+    },
+)
+
+
+@query(f"""WITH {EXTRACTED.sql('e')}, b AS (SELECT *, coalesce(ocr, 0) AS o, CASE WHEN second > native THEN ':second' ELSE ':native' END AS best FROM e)
+SELECT doc_id, CASE WHEN NOT found THEN 'WRONG_PATH_OR_MISSING_FILE:none' WHEN NOT is_pdf THEN CASE WHEN preview >= 20 THEN 'TEXT_OK:preview' ELSE 'TRUE_EMPTY_TEXT:preview' END WHEN NOT header_ok THEN 'CORRUPT_OR_UNREADABLE:none'
+  WHEN tool = 'not_found' THEN 'EXTRACTOR_UNAVAILABLE:none' WHEN tool = 'crashed' THEN 'EXTRACTOR_CRASHED:none' WHEN native >= 200 THEN 'TEXT_OK:native' WHEN second >= 200 THEN 'TEXT_OK:second'
+  WHEN ocr_state = 'not_asked' THEN CASE WHEN pages >= 1 THEN 'OCR_REQUIRED' ELSE 'TRUE_EMPTY_TEXT' END || best WHEN ocr_state = 'unavailable' THEN 'EXTRACTOR_UNAVAILABLE' || best WHEN o >= 20 THEN 'TEXT_OK:ocr'
+  WHEN ocr_state = 'failed' THEN 'OCR_FAILED' || best WHEN pages >= 1 AND size >= 500 THEN 'TRUE_EMPTY_TEXT' || best ELSE 'CORRUPT_OR_UNREADABLE' || best END AS status FROM b""")
 def c_12(spark, sf_dir):
-    n = F.col("n_chars")
-    return table(spark, sf_dir, "documents").select("doc_id", gates.extraction(n, F.floor(n / 2), F.when(n < 200, F.lit(100))).alias("status"))
+    """The ladder of extractors: eight states, and the source of the text."""
+    e = EXTRACTED.df(spark, sf_dir)
+    file = {k: F.col(k) for k in e.columns if k not in ("doc_id", "found")} | {"exists": F.col("found")}
+    return e.select("doc_id", gates.extraction(file).alias("status"))
 
 
 @query("SELECT doc_id, lang, n_chars, CASE WHEN n_chars BETWEEN 5000 AND 150000 THEN 0 WHEN n_chars < 5000 THEN 1 ELSE 2 END AS bucket FROM documents ORDER BY bucket, lang, n_chars DESC, doc_id LIMIT 200")

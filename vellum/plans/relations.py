@@ -89,15 +89,48 @@ def jn_17(spark, sf_dir):
     return _three(spark, sf_dir)[1].groupBy("match_type").agg(F.count("*").alias("n"), F.countDistinct("f_id").alias("files"))
 
 
-@query(_THREE + ", g AS (SELECT f_id, count(DISTINCT r_id) AS n FROM m GROUP BY 1) SELECT f.f_id, coalesce(n, 0)::BIGINT AS owners, CASE WHEN coalesce(n, 0) = 0 THEN 'unowned' WHEN n = 1 THEN 'owned' ELSE 'ambiguous' END AS class FROM f LEFT JOIN g ON f.f_id = g.f_id")
+_PAGE_TITLE = "regexp_extract(html, '<title>([^<]*)', 1)"
+_PAGE_NUMBER = "regexp_extract(url, '/([0-9]+)', 1)"
+#: Pages as files: some by the path of their document, some by its digest, the others by names that several have.
+OWNED = View(
+    "pages",
+    {
+        "f_id": "page_id", "path": f"CASE WHEN page_id % 5 = 0 THEN 'Src/' || {_PAGE_NUMBER} || '.pdf' ELSE '' END", "sha": f"CASE WHEN page_id % 5 = 1 THEN SHA<{_PAGE_TITLE}>SHA ELSE '' END",
+        "name": f"CASE WHEN page_id % 5 = 4 THEN lower({word(1, _PAGE_TITLE)}) || '_' || {_PAGE_NUMBER} || '_supplement.pdf' WHEN page_id % 5 > 1 THEN {word(1, _PAGE_TITLE)} || '.pdf' ELSE '' END",
+    },
+)
+CLAIMS = View(
+    "documents",
+    {
+        "r_id": f"lower({word(1)}) || '_' || doc_id", "field": pick("doc_id", ["file_info.renamed_filename", "file_info.original_filename", "supplements.items[0].filename", "x.filename"]), "weak": "doc_id % 11 = 0",
+        "path": "CASE WHEN doc_id % 3 = 0 THEN 'src/' || doc_id || '.pdf' ELSE '' END", "sha": "CASE WHEN doc_id % 2 = 0 THEN SHA<substring(split_part(text, chr(10), 1), 1, 60)>SHA ELSE '' END",
+        "name": f"CASE WHEN doc_id % 4 = 1 THEN upper({word(1)}) || '.pdf' ELSE lower({word(1)}) || '_' || (doc_id - doc_id % 2) || '_supplement.pdf' END",
+    },
+)
+_OWNERS = f"""WITH {OWNED.sql('fv')}, {CLAIMS.sql('rv')}, f AS (SELECT f_id, lower(path) AS path, lower(sha) AS sha, lower(name) AS name FROM fv), r AS (SELECT r_id, field, weak, lower(path) AS path, lower(sha) AS sha, lower(name) AS name FROM rv),
+m AS (SELECT f_id, f.name, r_id, field, weak, k AS by_key FROM f, r, (SELECT unnest(['path', 'sha', 'name']) AS k) WHERE (k = 'path' AND f.path <> '' AND f.path = r.path) OR (k = 'sha' AND f.sha <> '' AND f.sha = r.sha) OR (k = 'name' AND f.name <> '' AND f.name = r.name)),
+n AS (SELECT f_id, count(DISTINCT r_id) FILTER (NOT weak) AS owners, count(*) AS every FROM m GROUP BY 1),
+s AS (SELECT m.f_id, name, r_id, sum(CASE WHEN ends_with(field, '.filename') AND NOT ends_with(field, '.original_filename') THEN 5 ELSE 0 END + CASE WHEN contains(field, 'items[') AND contains(field, '.filename') THEN 4 ELSE 0 END)
+    + CASE WHEN starts_with(name, r_id) THEN 10 ELSE 0 END + CASE WHEN split_part(r_id, '_', 1) <> '' AND contains(name, split_part(r_id, '_', 1)) THEN 3 ELSE 0 END AS score
+  FROM m JOIN n ON m.f_id = n.f_id WHERE NOT weak AND owners > 1 AND regexp_matches(name, 'supp|appendix|corrig|erratum|addendum|retraction') GROUP BY 1, 2, 3),
+w AS (SELECT f_id, r_id FROM s QUALIFY score = max(score) OVER (PARTITION BY f_id) AND count(*) OVER (PARTITION BY f_id, score) = 1),
+g AS (SELECT m.* FROM m LEFT JOIN w ON m.f_id = w.f_id WHERE NOT weak AND (w.r_id IS NULL OR w.r_id = m.r_id)),
+c AS (SELECT f_id, bool_or(by_key = 'path') AS p, bool_or(by_key = 'sha') AS h, count(DISTINCT r_id) AS owners, min(r_id) AS owner FROM g GROUP BY 1)
+"""
+_CLASS = """CASE WHEN p THEN 'owned_canonical_path' WHEN h THEN 'owned_hash_exact' WHEN c.owners = 1 THEN 'owned_filename_exact' WHEN c.owners > 1 THEN 'ambiguous_multi_match'
+  WHEN n.every > 0 THEN 'unresolved_insufficient_evidence' ELSE 'unowned_no_match' END AS class"""
+_CLASSED = f"SELECT f.f_id, {_CLASS}, CASE WHEN c.owners = 1 THEN owner END AS owner FROM f LEFT JOIN c ON f.f_id = c.f_id LEFT JOIN n ON f.f_id = n.f_id"
+
+
+@query(_OWNERS + _CLASSED)
 def c_31(spark, sf_dir):
-    f, m = _three(spark, sf_dir)
-    return linkage.ownership(m, f)
+    """The six classes of ownership, and the owner where there is one."""
+    return linkage.file_owners(OWNED.df(spark, sf_dir), CLAIMS.df(spark, sf_dir))
 
 
-@query(_THREE + ", g AS (SELECT f_id, count(DISTINCT r_id) AS n FROM m GROUP BY 1), c AS (SELECT CASE WHEN coalesce(n, 0) = 0 THEN 'unowned' WHEN n = 1 THEN 'owned' ELSE 'ambiguous' END AS class FROM f LEFT JOIN g ON f.f_id = g.f_id) SELECT class, count(*) AS n FROM c GROUP BY 1")
+@query(_OWNERS + f", x AS ({_CLASSED}) SELECT class, count(*) AS n, count(owner) AS with_owner FROM x GROUP BY 1")
 def agg_08(spark, sf_dir):
-    return c_31(spark, sf_dir).groupBy("class").agg(F.count("*").alias("n"))
+    return c_31(spark, sf_dir).groupBy("class").agg(F.count("*").alias("n"), F.count("owner").alias("with_owner"))
 
 
 @query("SELECT l_partkey AS part, count(DISTINCT l_suppkey) AS owners FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_suppkey) >= 2")

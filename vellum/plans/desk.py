@@ -97,7 +97,7 @@ def prj_04_full(spark, sf_dir):
 def snk_07_full(spark, sf_dir):
     """The export as CSV with a header, written and read back: fifteen columns, quotes, commas and nulls kept apart (SNK-07)."""
     rows, path = _export(spark, sf_dir), store.folder(spark, "export")
-    STYLE
+    style = {"header": True, "escape": '"', "nullValue": "\\N", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
     rows.write.options(**style).csv(path)
     return spark.read.schema(rows.schema).options(**style | {"multiLine": True}).csv(path)
 

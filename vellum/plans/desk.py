@@ -136,15 +136,39 @@ def prj_07_full(spark, sf_dir):
 _FLAG = pick("n_chars", ["translated", "original russian scan", "", "English version", "source language", "original work", "a translation"])
 VERSIONS = View("documents", {"id": "doc_id", "name": f"{_FLAG} || '_' || {word(4)} || '.pdf'", "title": "substring(split_part(text, chr(10), 1), 1, 60)"})
 _TRANSLATED, _ORIGINAL = "regexp_matches(f, 'translated|translation|english version')", "(contains(f, 'original') AND regexp_matches(f, 'russian|source|scan|image')) OR contains(f, 'source language')"
-
-
-@query(f"""WITH {VERSIONS.sql('v')}, t AS (SELECT id, lower(name || ' ' || title) AS f, list_filter({sql_tokens('title')}, lambda x: length(x) >= 5) AS w FROM v), a AS (SELECT id, w FROM t WHERE {_TRANSLATED}), b AS (SELECT id, w FROM t WHERE {_ORIGINAL}),
+# Words that do not tell one version from another.
+STOP_TOKENS = (
+    "a",
+    "ai",
+    "and",
+    "book",
+    "english",
+    "file",
+    "image",
+    "information",
+    "language",
+    "of",
+    "original",
+    "pdf",
+    "proper",
+    "russian",
+    "source",
+    "text",
+    "the",
+    "translated",
+    "translation",
+    "version",
+)
+_STOP = ", ".join(f"'{t}'" for t in STOP_TOKENS)
+
+
+@query(f"""WITH {VERSIONS.sql('v')}, t AS (SELECT id, lower(name || ' ' || title) AS f, list_filter({sql_tokens("name || ' ' || title")}, lambda x: x NOT IN ({_STOP})) AS w FROM v), a AS (SELECT id, w FROM t WHERE {_TRANSLATED}), b AS (SELECT id, w FROM t WHERE {_ORIGINAL}),
 m AS (SELECT a.id AS l_id, b.id AS r_id, len(list_intersect(a.w, b.w))::BIGINT AS shared FROM a, b WHERE a.id <> b.id AND len(list_intersect(a.w, b.w)) >= 2)
 SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY l_id ORDER BY r_id) = 1""")
 def jn_18_flagged(spark, sf_dir):
-    """Translations and the first original, both known by their names, that shares two words of five letters with them (JN-18, W-11)."""
+    """Translations and the first original, both known by their names, that shares two telling words with them (JN-18, W-11)."""
     flag = F.lower(F.concat_ws(" ", "name", "title"))
-    words = F.array_join(F.filter(text.token_set(c("title")), lambda x: F.length(x) >= 5), " ")
+    words = F.array_join(F.filter(text.token_set(flag), lambda x: ~x.isin(*STOP_TOKENS)), " ")
     v = VERSIONS.df(spark, sf_dir).select("id", flag.alias("f"), words.alias("w"))
     original = (F.contains("f", F.lit("original")) & c("f").rlike("russian|source|scan|image")) | F.contains("f", F.lit("source language"))
     return linkage.shared_tokens(v.filter(c("f").rlike("translated|translation|english version")), v.filter(original), "id", "id", "w", "w")

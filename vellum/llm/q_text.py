@@ -58,16 +58,17 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     store = token_counts.Rollup(spark, f"{scratch.shared_dir(spark)}/rollup")
     path = tokenizer_path("byte_bpe_50k.tiktoken")
+    # texts are counted once and never shuffled: what follows joins the counts
     docs = token_counts.counted(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, "byte_bpe_50k-1")
+    docs = scratch.keep(docs, "counted")
     store.commit("load", upserts=docs)
     store.commit("load", upserts=docs)  # committed before: changes nothing
     # labelled documents are taken back; those that are not toxic come again with their language unknown, then the good ones as they were
-    texts, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic").dropDuplicates(["doc_id"])
-    again = texts.join(labels.filter("toxic = 0"), "doc_id")
-    count = lambda rows: token_counts.counted(rows, path, public_tokenizers.PATTERN, "byte_bpe_50k-1")
+    labels = _table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic").dropDuplicates(["doc_id"])
+    again = docs.join(labels.filter("toxic = 0"), "doc_id")
     store.commit("taken_back", deleted=labels)
-    store.commit("unsure", upserts=count(again.withColumn("lang", F.lit(None))))
-    store.commit("revised", upserts=count(again.filter("quality = 1")))
+    store.commit("unsure", upserts=again.select(*docs.columns).withColumn("lang", F.lit(None).cast("string")))
+    store.commit("revised", upserts=again.filter("quality = 1").select(*docs.columns))
     return store.totals()
 
 

@@ -10,9 +10,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.plans import articles, corpus, desk, evaluation, files, flagship, helpers, ladders, ledger, matching, papers, records, relations, upkeep
+from vellum.plans import articles, corpus, desk, evaluation, files, flagship, helpers, ladders, ledger, matching, papers, records, relations, upkeep, verdicts
 
-MODULES = [flagship, corpus, ledger, relations, papers, evaluation, helpers, records, articles, matching, upkeep, desk, ladders, files]
+MODULES = [flagship, corpus, ledger, relations, papers, evaluation, helpers, records, articles, matching, upkeep, desk, ladders, files, verdicts]
 
 
 def _merged(parts: list[dict]) -> dict:

@@ -5,18 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.functions.text import strip
+from vellum.functions.text import let, strip
 
 
 def chunks(rows: DataFrame, id_col: str, text_col: str, size: int, overlap: int, least: int) -> DataFrame:
-    """id, chunk (numbered after short ones are dropped) and its text: windows of ``size`` that overlap."""
+    """id, chunk (numbered after short ones are dropped) and its text: windows of ``size`` that overlap.
+
+    A text is trimmed once and cut once into steps, so the work grows with its length, not with the square;
+    windows that overlap by more than a step would need more than two steps each and are refused.
+    """
     step = size - overlap
-    text = strip(F.col(text_col))
-    n = F.length(text)
-    count = F.when(n <= size, 1).otherwise(F.ceil((n - size) / step) + 1)
-    windows = F.transform(F.sequence(F.lit(0), count.cast("int") - 1), lambda k: strip(F.substring(text, k * step + 1, F.lit(size))))
-    kept = F.when(n >= least, F.filter(windows, lambda x: F.length(x) >= least)).otherwise(F.array().cast("array<string>"))
-    return rows.select(id_col, F.posexplode(kept).alias("chunk", "chunk_text"))
+    if not 0 <= overlap <= step:
+        raise ValueError("windows may overlap by half their size at most")
+
+    def windows(text: Column) -> Column:
+        n = F.length(text)
+        count = F.when(n <= size, 1).otherwise(F.ceil((n - size) / step) + 1)
+        cut = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
+
+        def joined(pieces: Column) -> Column:
+            rest = lambda k: F.substring(F.coalesce(F.get(pieces, k + 1), F.lit("")), 1, overlap)
+            return F.transform(F.slice(pieces, F.lit(1), count.cast("int")), lambda x, k: strip(F.concat(x, rest(k))))
+
+        whole = F.filter(let(cut, joined), lambda x: F.length(x) >= least)
+        return F.when(n >= least, whole).otherwise(F.array().cast("array<string>"))
+
+    return rows.select(id_col, F.posexplode(let(strip(F.col(text_col)), windows)).alias("chunk", "chunk_text"))
 
 
 def chunk_estimate(length: Column, size: int, overlap: int) -> Column:

@@ -108,3 +108,14 @@ def test_without_repeats(spark):
     docs = spark.createDataFrame([(1, text, "a"), (2, "start " + text + " end é", "b"), (3, None, "c")], "doc_id long, text string, spans string")
     got = {r.doc_id: (r.text, r.spans) for r in repeats.without_repeats(docs).collect()}
     assert got == {1: (text, "a"), 2: ("start  end é", "b"), 3: (None, "c")}
+
+
+def test_lone_runs_that_repeat_themselves(spark):
+    """A text of one run whose strings repeat within it: no other run has its anchor."""
+    rng = random.Random(8)
+    rows = [(k, chr(97 + k) * (99 + 12 * k)) for k in range(14)] + [(20, "=" * 411), (21, "no start " + "-+" * 60), (22, "\0" * 130 + "x"), (23, "xyz\0" * 40)]
+    for k in range(30, 70):
+        unit = "".join(rng.choice("abcdefgh \0é") for _ in range(rng.randrange(1, 75)))
+        rows.append((k, "".join(rng.choice("pqrst") for _ in range(rng.randrange(40))) + unit * (1 + rng.randrange(100, 260) // len(unit))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, repeats.removed(docs).collect())) == sorted(brute(rows))

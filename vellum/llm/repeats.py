@@ -7,7 +7,8 @@ by it, first as hashes:
 
 1. Runs whose whole bytes repeat need no suffix array: all but the first are
    repeats. What a batch already repeats is settled there, before the shuffle.
-2. The distinct runs of an anchor that has several meet with their bytes. Their
+2. The distinct runs of an anchor that has several meet with their bytes, and so
+   does a lone run that holds its anchor twice, as it may repeat itself. Their
    suffixes are sorted, neighbours' common prefixes found, and a stack scan over
    those walks the tree of common-prefix intervals. An interval whose
    occurrences follow different bytes cannot be extended to the left: it is a
@@ -96,6 +97,11 @@ def sliding_least(h: np.ndarray, width: int) -> np.ndarray:
 
 def runs(data: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
     """anchor, hash of the run's bytes, start and number of starts of each run, block by block."""
+    return (found[:4] for found in told_runs(data))
+
+
+def told_runs(data: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """As :func:`runs`, and whether a run may repeat itself."""
     for at in range(0, len(data) - LEAST + 1, BLOCK):
         h = gram_hashes(data[at : at + BLOCK + LEAST - 1])
         m = sliding_least(h, LEAST - GRAM + 1)
@@ -108,7 +114,22 @@ def runs(data: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
             n = np.minimum(n, LONGEST_RUN)
         total = np.concatenate([np.zeros(1, U), np.cumsum(h * POWER[: len(h)])])
         end = start + n + (LEAST - GRAM)
-        yield m[start], (total[end] - total[start]) * INVERSE[start], start + at, n
+        yield m[start], (total[end] - total[start]) * INVERSE[start], start + at, n, _twice(h, m, start, end)
+
+
+def _twice(h: np.ndarray, m: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Whether the grams from ``start`` to ``end`` of each run hold its anchor twice; a run that repeats a string does.
+
+    A gram is an anchor if it is the least of some window, so the greatest least of all windows over it.
+    All windows of a run hold its anchor, so no other anchor stands between two of them.
+    """
+    width = LEAST - GRAM + 1
+    edge = np.zeros(width - 1, U)
+    places = np.flatnonzero(h == ~sliding_least(~np.concatenate([edge, m, edge]), width))
+    same = np.flatnonzero(h[places[1:]] == h[places[:-1]])
+    if not len(same):
+        return np.zeros(len(start), bool)
+    return np.searchsorted(places[same + 1], end) > np.searchsorted(places[same], start)
 
 
 def tagged(raw: bytes) -> int:
@@ -130,8 +151,8 @@ def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(_key(id_col, text_col).alias("doc_id"), F.col(id_col).isNull().alias("no_id"), _raw(text_col).alias("raw"))
 
 
-RUNS = "doc_id long, place long, n int, anchor long, bytes_hash long, salt int, kind string"
-_RUN_NAMES = ["doc_id", "place", "n", "anchor", "bytes_hash", "salt", "kind"]
+RUNS = "doc_id long, place long, n int, anchor long, bytes_hash long, salt int, twice boolean, kind string"
+_RUN_NAMES = ["doc_id", "place", "n", "anchor", "bytes_hash", "salt", "twice", "kind"]
 
 
 def run_rows(named: DataFrame, hot: list[int]) -> DataFrame:
@@ -139,7 +160,7 @@ def run_rows(named: DataFrame, hot: list[int]) -> DataFrame:
     hot_sorted = np.sort(np.array(hot, np.int64).view(U))
 
     def made(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        anchor, bytes_hash, place, n, doc = (np.concatenate([f[k] for f in found]) for k in range(5))
+        anchor, bytes_hash, place, n, twice, doc = (np.concatenate([f[k] for f in found]) for k in range(6))
         order = np.lexsort((place, doc, bytes_hash, anchor))
         a, b, d, p = anchor[order], bytes_hash[order], doc[order], place[order]
         same = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
@@ -152,7 +173,7 @@ def run_rows(named: DataFrame, hot: list[int]) -> DataFrame:
             is_hot = hot_sorted[at] == a
             salt[is_hot] = 1 + (b[is_hot] % U(SALTS)).astype(np.int32)
         kind = pa.DictionaryArray.from_arrays(pa.array(copy.astype(np.int8)), pa.array(["first", "copy"])).cast(pa.string())
-        arrays = [d, p, n[order].astype(np.int32), np.where(copy, U(0), a).view(np.int64), np.where(copy, U(0), b).view(np.int64), salt]
+        arrays = [d, p, n[order].astype(np.int32), np.where(copy, U(0), a).view(np.int64), np.where(copy, U(0), b).view(np.int64), salt, twice[order]]
         return pa.RecordBatch.from_arrays([*map(pa.array, arrays), kind], names=_RUN_NAMES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,8 +182,8 @@ def run_rows(named: DataFrame, hot: list[int]) -> DataFrame:
             for doc, raw in zip(batch.column("doc_id").to_pylist(), batch.column("raw")):
                 text = raw.as_py()
                 tag = tagged(text)
-                for a, b, start, n in runs(np.frombuffer(text, np.uint8)) if len(text) >= LEAST else ():
-                    found.append((a, b, start + tag, n, np.full(len(a), doc, np.int64)))
+                for a, b, start, n, twice in told_runs(np.frombuffer(text, np.uint8)) if len(text) >= LEAST else ():
+                    found.append((a, b, start + tag, n, twice, np.full(len(a), doc, np.int64)))
                     held += len(a)
                     if held > 400_000:
                         yield made(found)
@@ -183,7 +204,7 @@ def hot_anchors(named: DataFrame, one_in: int = 64, share: float = 0.0005) -> li
 
 
 def settled(first: DataFrame) -> DataFrame:
-    """Runs that are repeats whole (``copy``), and the first ones of anchors with several distinct runs (``several``)."""
+    """Runs that are repeats whole (``copy``), and the first ones of anchors with several distinct runs or of runs that may repeat themselves (``several``)."""
     dealt = first.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt", "bytes_hash", "doc_id", "place")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,10 +218,10 @@ def settled(first: DataFrame) -> DataFrame:
 
         for batch in batches:
             get = lambda name: batch.column(name).to_numpy(zero_copy_only=False)
-            doc, place, n, anchor, hashed, salt = map(get, ("doc_id", "place", "n", "anchor", "bytes_hash", "salt"))
+            doc, place, n, anchor, hashed, salt, twice = map(get, ("doc_id", "place", "n", "anchor", "bytes_hash", "salt", "twice"))
             if last is not None:
                 join = lambda x, v: np.concatenate([np.array([v], x.dtype), x])
-                doc, place, n, anchor, hashed, salt = (join(x, v) for x, v in zip((doc, place, n, anchor, hashed, salt), last))
+                doc, place, n, anchor, hashed, salt, twice = (join(x, v) for x, v in zip((doc, place, n, anchor, hashed, salt, twice), last))
             size = len(doc)
             if not size:
                 continue
@@ -209,7 +230,7 @@ def settled(first: DataFrame) -> DataFrame:
             head = np.maximum.accumulate(np.where(new_run, np.arange(size), 0))
             copy = ~new_run & ((doc != doc[head]) | (place != place[head]))
             group = np.cumsum(new_anchor) - 1
-            several = (np.bincount(group, weights=new_run)[group] > 1) | (salt > 0)
+            several = (np.bincount(group, weights=new_run)[group] > 1) | (salt > 0) | twice
             passed = new_run & several
             if last is not None and not owed:
                 passed[0] = False
@@ -222,7 +243,7 @@ def settled(first: DataFrame) -> DataFrame:
                 yield made([x[out] for x in (doc, place, n, anchor)], kinds)
             h = head[-1]
             was_passed = bool(passed[h]) or (h == 0 and last is not None and not owed)
-            last, owed = tuple(x[h] for x in (doc, place, n, anchor, hashed, salt)), not was_passed
+            last, owed = tuple(x[h] for x in (doc, place, n, anchor, hashed, salt, twice)), not was_passed
 
     return dealt.mapInArrow(run, "doc_id long, place long, n int, anchor long, kind string")
 
@@ -283,7 +304,10 @@ class SuffixArray:
         for k in range(8):  # big-endian, zero beyond the end
             word |= np.where(self.left > k, padded[k : k + size], U(0)) << U(56 - 8 * k)
         self.word = word
-        self.ranks = [np.unique(word, return_inverse=True)[1].astype(np.int64) + 1]
+        rank = np.unique(word, return_inverse=True)[1].astype(np.int64)
+        if (self.text == 0).any():  # what ends stands before what goes on with zeros
+            rank = np.unique(rank * 9 + np.minimum(self.left, 8), return_inverse=True)[1].astype(np.int64)
+        self.ranks = [rank + 1]
         for n in LEVELS:
             low = self.ranks[-1]
             far = np.zeros(size, np.int64)

@@ -44,8 +44,8 @@ def agg_20(spark, sf_dir):
 
 @query(f"SELECT user_id, greatest(0, floor((epoch(TIMESTAMP '{NOW}') - epoch(min(ts))) / 86400))::BIGINT AS days FROM events GROUP BY 1")
 def d_01(spark, sf_dir):
-    seconds = F.unix_timestamp(F.lit(NOW).cast("timestamp")) - F.unix_timestamp(F.date_trunc("second", F.min("ts")))
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.greatest(F.lit(0), F.floor(seconds / 86400)).cast("long").alias("days"))
+    micros = F.unix_micros(F.lit(NOW).cast("timestamp")) - F.unix_micros(F.min(F.col("ts").cast("timestamp")))
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.greatest(F.lit(0), F.floor(micros / 86_400_000_000)).cast("long").alias("days"))
 
 
 @query("SELECT json_extract_string(props, '$.k')::INTEGER AS k, count(*) AS n FROM events GROUP BY 1")

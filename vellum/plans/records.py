@@ -67,7 +67,7 @@ def d_04(spark, sf_dir):
     """ISO times with a Z, written and read back."""
     e = table(spark, sf_dir, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("iso"))
     stamp = F.try_to_timestamp(F.regexp_replace("iso", "Z$", "+00:00"))
-    return e.select("event_id", F.round(F.unix_micros(stamp) / 1e6).cast("long").alias("seconds"))
+    return e.select("event_id", F.rint(F.unix_micros(stamp) / 1e6).cast("long").alias("seconds"))
 
 
 # -- tolerant parsing

@@ -104,7 +104,7 @@ def agg_01(spark, sf_dir):
 def prj_01(spark, sf_dir):
     """The search record (authors capped as in prj_05)."""
     authors = F.substring(F.array_join(F.slice(F.split("authors", ";"), 1, 6), "; "), 1, 700)
-    return papers(spark, sf_dir).select("id", "title", authors.alias("authors"), F.coalesce(text.nz(c("journal")), "venue").alias("journal"), F.coalesce("rating", F.lit("")).alias("rating"))
+    return papers(spark, sf_dir).select("id", "title", authors.alias("authors"), F.coalesce(text.nz(F.trim("journal")), "venue").alias("journal"), F.coalesce("rating", F.lit("")).alias("rating"))
 
 
 @query(P + "SELECT id, added, kind, title, year, doi, chars > 0 AS present, chars, status, status = 'OCR_REQUIRED' AS ocr_needed FROM p")

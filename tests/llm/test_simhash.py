@@ -131,3 +131,36 @@ def test_groups_against_brute_force(spark, own):
     got = simhash.similar_groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert {r.doc_id: r.component_id for r in got} == want
     assert own != 19 or len(set(want.values())) == 300
+
+
+def test_a_family_of_near_copies_is_not_tried_in_all_pairs(spark, monkeypatch):
+    """Edits leave a part of all pairs similar: so many are tried as joins the family, and its components are those of all pairs."""
+    rng, n = random.Random(4), 400
+    base = [f"w{k}" for k in range(300)]
+    texts = []
+    for k in range(n):
+        own = list(base)
+        for at in rng.sample(range(300), rng.randrange(1, 7)):
+            own[at] = f"x{k}y{at}"
+        texts.append(" ".join(own))
+    tried, verified = [], simhash.verified
+
+    def counted(pairs, *rest):
+        tried.append(pairs.count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(simhash, "verified", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(docs).collect()}
+    sets = [set(zip(*(t.split()[i:] for i in range(5)))) for t in texts]
+    root = list(range(n))
+    similar = 0
+    for a in range(n):
+        for b in range(a + 1, n):
+            both = len(sets[a] & sets[b])
+            if 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both):
+                similar += 1
+                x, y = sorted((root[a], root[b]))
+                root = [x if r == y else r for r in root]
+    assert got == dict(enumerate(root))
+    assert similar > 50 * n and sum(tried) < similar

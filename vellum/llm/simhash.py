@@ -28,7 +28,7 @@ gives an empty table; other columns of the input are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -220,6 +220,7 @@ SHORT = 32
 SAMPLE = 1 << 15
 COMMON = 1 << 18
 SKETCH = 16
+ROUNDS = 3
 EDGE = 1e-9  # rounding must not lose a pair
 
 
@@ -395,8 +396,52 @@ def _across(ids, size, place, label, sketch, similarity: float, rows: int = 64)
             yield _pair_rows(ids[a[good]], ids[b[good]])
 
 
+def _joining(ids, size, place, label, sketch, similarity: float, turn: int) -> Iterator[np.ndarray]:
+    """Possible pairs of one list, fewer than its labels, that would join all labels that any possible pairs could.
+
+    A walk over the entries, in an order of each ``turn``'s own: each takes in all possible partners
+    that are not reached yet, and with them the others of their label.
+    """
+    order = np.argsort(_mixed(ids.view(np.uint64), turn + 1))
+    left = order[::-1].tolist()
+    label = np.unique(label, return_inverse=True)[1]
+    by_label = np.argsort(label, kind="stable")
+    ends = np.cumsum(np.bincount(label))
+    open_ = np.ones(len(ids), bool)
+    while left:
+        start = left.pop()
+        if not open_[start]:
+            continue
+        walk = by_label[ends[label[start] - 1] if label[start] else 0 : ends[label[start]]].tolist()
+        open_[walk] = False
+        rest = order[open_[order]]
+        while walk and len(rest):
+            i = walk.pop()
+            j = rest[_possible(size[i], place[i], size[rest], place[rest], similarity)]
+            differ = np.bitwise_count(sketch[j] ^ sketch[i]).sum(1, dtype=np.int64)
+            j = j[differ <= size[i] + size[j] - 2 * _enough(size[i], size[j], similarity)]
+            if not len(j):
+                continue
+            j = j[np.unique(label[j], return_index=True)[1]]
+            yield _pair_rows(np.full(len(j), ids[i]), ids[j])
+            for k in label[j].tolist():
+                own = by_label[ends[k - 1] if k else 0 : ends[k]]
+                open_[own] = False
+                walk += own.tolist()
+            rest = rest[open_[rest]]
+
+
+def joining_pairs(entries: DataFrame, similarity: float, turn: int) -> DataFrame:
+    """Of the possible pairs of the long lists whose labels differ, so many as could join their labels: fewer than entries."""
+    return _of_lists(entries, lambda *columns: _joining(*columns, similarity, turn))
+
+
 def other_pairs(entries: DataFrame, similarity: float) -> DataFrame:
     """The possible pairs of the long lists (key, id, size, place, label, sketch) whose labels differ."""
+    return _of_lists(entries, lambda *columns: _across(*columns, similarity))
+
+
+def _of_lists(entries: DataFrame, pairs: Callable[..., Iterator[np.ndarray]]) -> DataFrame:
     ordered = entries.select("key", "id", "size", "place", "label", "sketch").repartition("key").sortWithinPartitions("key", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -409,7 +454,7 @@ def other_pairs(entries: DataFrame, similarity: float) -> DataFrame:
                     continue
                 rows = table.column("sketch").slice(a, b - a).combine_chunks()
                 sketch = rows.flatten().to_numpy().view(np.uint64).reshape(b - a, -1)
-                for u, v in _across(ids[a:b], size[a:b], place[a:b], label[a:b], sketch, similarity):
+                for u, v in pairs(ids[a:b], size[a:b], place[a:b], label[a:b], sketch):
                     yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
     return ordered.mapInArrow(run, "u long, v long")
@@ -438,9 +483,18 @@ def similar_links(first: DataFrame, sets: Sets, similarity: float) -> DataFrame:
     if entries.isEmpty():
         return link
     drawn = first.join(entries.select("id").distinct(), "id", "left_semi").select("id", "sketch")
-    labels = drawn.join(roots(link).select(F.col("node").alias("id"), "root"), "id", "left")
-    labels = keep(labels.select("id", "sketch", F.coalesce("root", "id").alias("label")), "labels")
-    return link.union(verified(other_pairs(entries.join(labels, "id"), similarity), first, sets, similarity))
+
+    def labelled() -> DataFrame:
+        labels = drawn.join(roots(link).select(F.col("node").alias("id"), "root"), "id", "left")
+        labels = keep(labels.select("id", "sketch", F.coalesce("root", "id").alias("label")), "labels")
+        return entries.join(labels, "id")
+
+    for turn in range(ROUNDS):
+        more = verified(joining_pairs(labelled(), similarity, turn), first, sets, similarity)
+        if more.isEmpty():
+            break
+        link = link.union(more)
+    return link.union(verified(other_pairs(labelled(), similarity), first, sets, similarity))
 
 
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

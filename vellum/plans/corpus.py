@@ -339,6 +339,7 @@ def set_05(spark, sf_dir):
     ensure_checkpoint_dir(spark)
     norm = text.norm_sp(F.col("text"))
     d = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("a"), F.substring(norm, 1, 200).alias("b"), F.right(norm, F.lit(200)).alias("c"))
+    d = d.checkpoint()  # texts are brought to their normal form once, not for each key
     pairs = None
     for k in "abc":
         told = d.filter(F.col(k) != "").select("doc_id", k)  # a blank key says nothing

@@ -2,6 +2,7 @@
 
 import difflib
 import os
+import random
 import re
 
 import duckdb
@@ -161,3 +162,22 @@ def test_neighbouring_duplicates(spark):
     found = catalogue.queries()["c_24"](spark, SF).collect()
     assert len(found) == spark.read.parquet(f"{SF}/documents.parquet").count() - 1
     assert any(r.duplicate for r in found) and not all(r.duplicate for r in found)
+
+
+def test_ratios_are_compared_only_where_they_may_reach(spark, monkeypatch):
+    """Pairs that letters or common subsequences keep below the bound are told without a comparison; the rest is exact."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdeé ") for _ in range(rng.randrange(0, 400)))
+    texts = [word() for _ in range(40)]
+    pairs = [(x, y) for x in texts for y in (x, x[: len(x) // 2] + word(), x[:-3] + "q", word(), "")]
+    compared = []
+    real = linkage.difflib.SequenceMatcher
+    monkeypatch.setattr(linkage.difflib, "SequenceMatcher", lambda *a, **k: compared.append(1) or real(*a, **k))
+    for x, y in pairs:
+        exact = real(None, x, y, autojunk=True).ratio()
+        for least in (0.5, 0.85, 0.95):
+            got = linkage._reaching(x, y, least)
+            assert got == exact if exact >= least else got < least
+    assert 0 < len(compared) < 1.5 * len(pairs)
+    df = spark.createDataFrame([("abc", "abd", 0.6), ("abc", "xyz", 0.6), ("abc", "abc", None)], "a string, b string, least double")
+    assert [r.s for r in df.select(linkage.seq_ratio_from("a", "b", "least").alias("s")).collect()] == [2 / 3, 0.0, 0.0]

@@ -225,6 +225,20 @@ def cut_title(title: Column) -> Column:
     return (F.length(F.coalesce(title, F.lit(""))) < 40) | ~bare.rlike(r"[\p{L}\p{N}.?!]$") | bare.rlike(CUT_TITLE)
 
 
+def title_ratio_from(a: Column, b: Column) -> Column:
+    """From where on :func:`likely_duplicates` must know the ratio of the titles; null where it does not ask for it."""
+    settled = (a["doi"] != "") & (a["doi"] == b["doi"])
+    return F.when(~settled & (a["key"] != "") & (b["key"] != ""), F.when(~cut_title(a["title"]) & ~cut_title(b["title"]), 0.95).otherwise(0.5))
+
+
+def abstract_ratio_from(a: Column, b: Column, title_ratio: Column) -> Column:
+    """The same of the abstracts, once the ratio of the titles is known."""
+    clean_a, clean_b = ~cut_title(a["title"]), ~cut_title(b["title"])
+    settled = ((a["doi"] != "") & (a["doi"] == b["doi"])) | (clean_a & clean_b & (title_ratio < 0.95))
+    told = (F.length(a["abstract"]) >= 100) & (F.length(b["abstract"]) >= 100)
+    return F.when(~settled & told, F.when(~clean_a & ~clean_b, 0.92).otherwise(0.85))
+
+
 def likely_duplicates(a: Column, b: Column, title_ratio: Column, abstract_ratio: Column, same_prefix: Column) -> Column:
     """Whether two records are surely one paper.
 

@@ -266,9 +266,11 @@ def c_24(spark, sf_dir):
     pairs = linkage.following(d.fillna("", fields), fields).filter("next IS NOT NULL")
     a, b = F.struct(*fields), F.col("next")
     known = lambda f, r: F.when((F.col(f) != "") & (b[f] != ""), r).otherwise(0.0)
-    ratios = pairs.withColumns({"title_ratio": linkage.seq_ratio(F.col("key"), b["key"]), "abstract_ratio": linkage.seq_ratio(F.col("abstract"), b["abstract"])})
+    ratios = pairs.withColumn("title_ratio", linkage.seq_ratio_from(F.col("key"), b["key"], identity.title_ratio_from(a, b)))
+    title_ratio = known("key", F.col("title_ratio"))
+    ratios = ratios.withColumn("abstract_ratio", linkage.seq_ratio_from(F.col("abstract"), b["abstract"], identity.abstract_ratio_from(a, b, title_ratio)))
     prefix = text.common_prefix(F.col("id"), b["id"])
-    same = identity.likely_duplicates(a, b, known("key", F.col("title_ratio")), known("abstract", F.col("abstract_ratio")), prefix)
+    same = identity.likely_duplicates(a, b, title_ratio, known("abstract", F.col("abstract_ratio")), prefix)
     return ratios.select("id", b["id"].alias("next_id"), same.alias("duplicate"))
 
 

@@ -48,11 +48,11 @@ def one_line(c: Column) -> Column:
 
 def title_problem(title: Column) -> Column:
     """Why a text cannot stand as a title (19 reasons, the first that holds), or null."""
-    return let(one_line(title), _problem)
+    return let(one_line(title), lambda t: let(F.lower(t), lambda low: let(t.rlike(PII_VALUE), lambda numbered: _problem(t, low, numbered))))
 
 
-def _problem(t: Column) -> Column:
-    low, size, numbered = F.lower(t), F.length(t), t.rlike(PII_VALUE)
+def _problem(t: Column, low: Column, numbered: Column) -> Column:
+    size = F.length(t)
     names = F.size(F.regexp_extract_all(t, F.lit("[a-zA-Z]{2,}"), F.lit(0)))
     headed = low.rlike(r"^(psychophysiology|biological psychology|neuroscience letters)\b") & (size < 40)
     end = F.lower(F.regexp_extract(t, "([A-Za-z]+)[^A-Za-z]*$", 1))
@@ -85,8 +85,8 @@ def _problem(t: Column) -> Column:
 def name_title(name: Column) -> Column:
     """The title that a file's name holds in plain words (12 characters or more and no problem), or null."""
     stem = F.regexp_replace(F.regexp_replace(F.coalesce(name, F.lit("")), r"\.[^.]*$", ""), "(?:_[0-9]{7,})+", " ")
-    plain = one_line(F.replace(stem, F.lit("_"), F.lit(" ")))
-    cut = F.when(F.contains(plain, F.lit(" - ")), F.regexp_replace(plain, "^.*? - ", "")).otherwise(F.regexp_replace(plain, "^[A-Za-z]+-", ""))
+    rest = lambda plain: F.when(F.contains(plain, F.lit(" - ")), F.regexp_replace(plain, "^.*? - ", "")).otherwise(F.regexp_replace(plain, "^[A-Za-z]+-", ""))
+    cut = let(one_line(F.replace(stem, F.lit("_"), F.lit(" "))), rest)
     cut = F.trim(F.regexp_replace(F.trim(cut), "-[0-9]{4}-[A-Za-z]{2,12}$", ""))
     return let(cut, lambda t: F.when((F.length(t) >= 12) & title_problem(t).isNull(), t))
 
@@ -109,12 +109,15 @@ def candidates(*found: tuple[str, Column, float]) -> Column:
 
 def surest(found: Column) -> Column:
     """The candidate without a problem that is surest; of equals the one whose title, in any case, came up first; or null."""
-    keys = F.transform(found, lambda x: F.lower(x["title"]))
-    rated = F.transform(
-        F.filter(found, lambda x: x["problem"].isNull()),
-        lambda x, i: F.struct(x["confidence"].alias("confidence"), (-F.array_position(keys, F.lower(x["title"]))).alias("place"), (-i).alias("own"), x.alias("x")),
-    )
-    return F.array_max(rated)["x"]
+
+    def rated(shown: Column, keys: Column) -> Column:
+        return F.transform(
+            F.filter(shown, lambda x: x["problem"].isNull()),
+            lambda x, i: F.struct(x["confidence"].alias("confidence"), (-F.array_position(keys, F.lower(x["title"]))).alias("place"), (-i).alias("own"), x.alias("x")),
+        )
+
+    best = lambda shown: let(F.transform(shown, lambda x: F.lower(x["title"])), lambda keys: F.array_max(rated(shown, keys)))
+    return let(found, best)["x"]
 
 
 def identity_status(chosen: Column, chain_source: Column) -> Column:
@@ -140,15 +143,16 @@ def identity_problem(title: Column, source: Column, chain_source: Column, status
     words = F.size(F.regexp_extract_all(F.coalesce(title, F.lit("")), F.lit("[A-Za-z][A-Za-z'-]{2,}"), F.lit(0)))
     poor = status == "insufficient_identity"
     bare = weak & blank(doi)
-    return first_of(
+    problem = lambda own: first_of(
         (
-            (title_problem(title), title_problem(title).isNotNull()),
+            (own, own.isNotNull()),
             (None, poor & usable(title, authors, year, doi, F.lit(False))),
             ("insufficient_identity", poor),
             ("weak_identity_title_fragment", bare & (words < 4)),
             ("weak_identity_lacks_bibliographic_anchor", bare & blank(year) & blank(journal) & (words < 5)),
         )
     )
+    return let(title_problem(title), problem)
 
 
 def poison_signals(row: dict[str, Column]) -> Column:

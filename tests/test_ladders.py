@@ -78,3 +78,13 @@ def test_title_page(spark):
     s = contents.title_page(contents.lines(F.lit(page)), F.col("title"), F.col("year"), F.col("doi"), F.lit(False))
     got = [(r.s.score, r.s.how, r.s.blocker) for r in df.select(s.alias("s")).collect()]
     assert got == [(12 + 8 + 4 + 4 + 2, "compact", None), (24, "fragments", None), (16, None, "title_not_confirmed"), (12, None, "missing_title"), (24, "line", None)]
+
+
+def test_what_a_ladder_names_often_is_made_once(spark):
+    """Title pages and choices among titles hold each dear step once, however often rules name it."""
+    df = spark.createDataFrame([("Sleep", "x", "y")], "t string, a string, b string")
+    plan = lambda made: df.select(made.alias("s"))._jdf.queryExecution().analyzed().toString()
+    page = plan(contents.title_page(contents.lines(F.col("a")), F.col("t"), F.col("b"), F.col("b"), F.lit(False)))
+    assert page.count("array_join(") == 2 and page.count("t#") == plan(F.col("t")).count("t#")
+    found = titles.candidates(("one", F.col("a"), 0.5), ("two", titles.name_title(F.col("b")), 0.7))
+    assert plan(titles.surest(found)).count("a#") == plan(F.col("a")).count("a#")

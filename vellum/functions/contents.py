@@ -52,18 +52,15 @@ def chapters(ls: Column, most: int = 30) -> Column:
 
 def title_page(ls: Column, title: Column, year: Column, doi: Column, has_isbn: Column) -> Column:
     """How well the first 250 lines confirm a title: a score (12 + 8 + 6 + 4 + 4 + 2), its reasons and what bars it."""
-    key = norm_sp(F.coalesce(title, F.lit("")))
 
-    def judged(page: Column) -> Column:
-        low = F.lower(F.array_join(F.slice(page, 1, 200), "\n"))
-        whole = compact(F.array_join(page, "\n"))
+    def confirmed(key: Column, page: Column, whole: Column) -> Column:
         words = F.filter(F.split(key, " "), lambda w: (F.length(w) >= 4) & ~w.isin(*TITLE_WORDS_LEFT_OUT))
         hits = F.size(F.filter(words, lambda w: F.contains(whole, w)))
         in_line = F.exists(page, lambda x: let(norm_sp(x), lambda n: (n != "") & (F.contains(n, key) | F.contains(key, n))))
         enough = hits >= F.greatest(F.lit(2), F.floor(F.size(words) * 6 / 10))
-        how = (
-            F.when(key == "", F.lit(None)).when(in_line, "line").when(F.contains(whole, F.replace(key, F.lit(" "))), "compact").when(enough, "fragments")
-        )
+        return F.when(key == "", F.lit(None)).when(in_line, "line").when(F.contains(whole, F.replace(key, F.lit(" "))), "compact").when(enough, "fragments")
+
+    def judged(key: Column, whole: Column, low: Column, how: Column) -> Column:
         blank = lambda x: F.coalesce(x, F.lit("")) == ""
         tests = (
             (12, "title", how.isNotNull()),
@@ -80,4 +77,7 @@ def title_page(ls: Column, title: Column, year: Column, doi: Column, has_isbn: C
             F.when(key == "", "missing_title").when(how.isNull(), "title_not_confirmed").alias("blocker"),
         )
 
-    return let(F.slice(ls, 1, 250), judged)
+    of_whole = lambda key, page, low, whole: let(confirmed(key, page, whole), lambda how: judged(key, whole, low, how))
+    of_low = lambda key, page, low: let(compact(F.array_join(page, "\n")), lambda whole: of_whole(key, page, low, whole))
+    of_page = lambda key, page: let(F.lower(F.array_join(F.slice(page, 1, 200), "\n")), lambda low: of_low(key, page, low))
+    return let(norm_sp(F.coalesce(title, F.lit(""))), lambda key: let(F.slice(ls, 1, 250), lambda page: of_page(key, page)))

@@ -4,10 +4,11 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
-from vellum.llm import components, simhash
+from vellum.llm import bpe, components, scratch, simhash
 
 
 def brute_print(text, words=3):
@@ -164,3 +165,14 @@ def test_a_family_of_near_copies_is_not_tried_in_all_pairs(spark, monkeypatch):
                 root = [x if r == y else r for r in root]
     assert got == dict(enumerate(root))
     assert similar > 50 * n and sum(tried) < similar
+
+
+def test_sets_are_made_of_few_texts_at_a_time(spark, monkeypatch):
+    """Batches are cut into small parts, and what other operators keep in a worker is given back first."""
+    cleared = []
+    monkeypatch.setattr(scratch, "HELD", [lambda: cleared.append(1)])
+    batch = pa.RecordBatch.from_pydict({"text": [f"t{k}" for k in range(2 * simhash.TEXTS_AT_ONCE + 1)]})
+    parts = list(simhash._few(iter([batch])))
+    assert [p.num_rows for p in parts] == [simhash.TEXTS_AT_ONCE, simhash.TEXTS_AT_ONCE, 1] and cleared == [1]
+    assert pa.Table.from_batches(parts).to_pylist() == batch.to_pylist()
+    assert bpe.HELD == [bpe.word_bpe.cache_clear]

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from vellum.llm.scratch import keep
+from vellum.llm.scratch import HELD, keep
 
 LONG_RUN = 4096
 LEAF = 1024
@@ -228,6 +228,9 @@ def word_bpe(path: str) -> WordBpe:
     return WordBpe(path)
 
 
+HELD.append(word_bpe.cache_clear)
+
+
 def digest(ids: bytes, bpe: WordBpe) -> tuple[int, str, str]:
     return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(bpe.decode(ids)).hexdigest()
 

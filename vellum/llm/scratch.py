@@ -9,13 +9,26 @@ from __future__ import annotations
 
 import gc
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from vellum.sources.session import local_folder
 
 _LOCAL: list[str] = []
 
+#: Clears what a module keeps in a Python worker from task to task; see :func:`unburden`.
+HELD: list[Callable[[], None]] = []
+
+
+def unburden() -> None:
+    """Give back what earlier tasks of other operators left in this Python worker, which Spark uses again."""
+    for clear in HELD:
+        clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
 
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name under the session's checkpoint folder."""

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from vellum.llm.components import roots
-from vellum.llm.scratch import keep
+from vellum.llm.scratch import keep, unburden
 
 SEED = 42
 SHORT_LIST = 24
@@ -221,6 +221,7 @@ SAMPLE = 1 << 15
 COMMON = 1 << 18
 SKETCH = 16
 ROUNDS = 3
+TEXTS_AT_ONCE = 512
 EDGE = 1e-9  # rounding must not lose a pair
 
 
@@ -234,11 +235,19 @@ def _set_id(hashes: np.ndarray) -> int:
     return xxh64_intdigest(hashes.tobytes(), SEED)
 
 
+def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of few texts, so that what is made of a part is small on both sides of the worker."""
+    unburden()
+    for batch in batches:
+        for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
+            yield batch.slice(at, TEXTS_AT_ONCE)
+
+
 def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
     """``id``, a hash of all distinct shingles of a text, and ``hashes``, the shingles, ascending."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _few(batches):
             sets = [np.unique(shingle_hashes(t.as_py(), words)) for t in batch.column("text")]
             ids = np.array([_set_id(s) for s in sets], np.uint64).view(np.int64)
             ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
@@ -272,7 +281,7 @@ def marked(texts: DataFrame, words: int, similarity: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
-        for batch in batches:
+        for batch in _few(batches):
             ids, sizes, keys, sketch = [], [], [], []
             for t in batch.column("text"):
                 own = np.unique(shingle_hashes(t.as_py(), words))

@@ -139,3 +139,12 @@ def test_no_training_texts(spark):
     got = mixing.scored(spark.createDataFrame([(k, "some words") for k in range(40) if zlib.crc32(str(k).encode()) % 7 == 2], "doc_id long, text string")).collect()
     assert got and all(r.train_tokens == 0 and r.n_known == 0 and r.base_score == 0 and r.score < 0 for r in got)
     assert mixing.scored(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_every_training_text_is_counted(spark, monkeypatch):
+    """Contexts are counted over all training texts; none is set apart for the weights."""
+    given, real = {}, mixing.context_tables
+    monkeypatch.setattr(mixing, "context_tables", lambda rows, slots, decisions, name: given.update({name: rows.count()}) or real(rows, slots, decisions, name))
+    rows = [(k, f"some words of text {k}") for k in range(300)]
+    assert mixing.scored(spark.createDataFrame(rows, "doc_id long, text string")).count() == 300
+    assert given["contexts"] == sum(zlib.crc32(str(k).encode()) % 7 != 2 for k, _ in rows)

@@ -10,9 +10,8 @@ is new and spelled, letter by letter, by decisions of the same kind.
 
 Each decision is predicted from several contexts hashed with the tree node: the
 kind of text so far, the last two leaves, the last word. Training counts the
-outcomes of every context over all training texts, and the first weights on a
-bounded sample of them (``WEIGHT_TEXTS``, whose outcomes are not counted twice).
-Scoring mixes the predictions in the logistic domain by weights that a gate
+outcomes of every context over all training texts; nothing is learnt from a part
+of them. The first weights are fixed (``START``). Scoring mixes the predictions in the logistic domain by weights that a gate
 picks by how often the hashed contexts were seen, then averages with an
 adaptive table of what such predictions came to. Both start alike for every
 text and are refined after each block of its words, so a text's score depends
@@ -61,10 +60,9 @@ SLOTS_PER_ROW = 1 << 14
 BLOCK = 64
 WORDS_AT_ONCE = 25_000
 CHARS_AT_ONCE = 1 << 20
-WEIGHT_TEXTS = 2000
 GATES, BUCKETS, PRIOR = 16, 24, 30.0
-#: First weights of a decision's contexts, before training, and those of letters by how often five letters were seen.
-START = (0.3, 0.3, 0.3)
+#: First weights of a decision's contexts, fixed and refined in each text, and those of letters by how often five letters were seen.
+START = (0.6, 0.4, 0.35)
 LETTERS = np.array([[0.2, 0.8, 0.0], [0.1, 0.6, 0.4], [0.1, 0.4, 0.7], [0.0, 0.2, 0.9]], np.float32)
 LN10 = math.log(10)
 U = np.uint64
@@ -499,27 +497,6 @@ def spelled(tool: Speller, tables: list[np.ndarray], words: list[str]) -> np.nda
 # -- scores
 
 
-def first_weights(sample: DataFrame, lex, tables) -> Weights:
-    """Weights learnt on a bounded sample of training texts, in one task."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool, weights = lex.value, Weights()
-        weights.spread(1)
-        for batch in batches:
-            for piece in coded(batch.column("text").to_pylist()):
-                steps = Steps(tool, piece, tool.numbers(piece.words), _word_keys(piece.words.to_pylist()), Past())
-                for a in range(0, len(piece.codes), 1000):
-                    _, bit, slots = steps.decisions(tool, np.arange(a, min(a + 1000, len(piece.codes))))
-                    weights.block(np.zeros(len(bit), np.int64), bit, *_inputs(tables.value, slots))
-        came = weights.ones / weights.both
-        yield pa.RecordBatch.from_arrays([pa.array([weights.w.tobytes()], pa.binary()), pa.array([came.tobytes()], pa.binary())], names=["w", "came"])
-
-    r = sample.select("text").repartition(1).mapInArrow(run, "w binary, came binary").first()
-    if r is None:
-        return Weights()
-    return Weights(np.frombuffer(r["w"], np.float32).reshape(len(START), GATES), np.frombuffer(r["came"], np.float64))
-
-
 ROWS = "row long, doc_id {}, held_out boolean, n_bytes long, n_tokens long, n_known long, base_score double, score double, rest array<struct<word:string,times:long>>"
 _REST = pa.list_(pa.struct([("word", pa.string()), ("times", pa.int64())]))
 
@@ -530,18 +507,12 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     sc = docs.sparkSession.sparkContext
     train = named.filter("NOT held_out")
     counted = keep(vocabulary(train), "vocabulary")
-    n, v, single, double, texts = counted.agg(
-        F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2), F.coalesce(F.max(F.when(F.col("word") == "", F.col("c"))), F.lit(0))
-    ).first()
+    n, v, single, double = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
     top = counted.filter(F.col("c") >= LEAST_SEEN).orderBy(F.desc("c"), "word").limit(HEAD).toArrow().combine_chunks()  # HEAD rows at most
     column = lambda c: top.column(c).combine_chunks() if top.num_rows else pa.array([], top.schema.field(c).type)
     sums = np.stack([column(s).to_numpy() for s in SUMS], axis=1).astype(np.float64).reshape(-1, DIMS)
     lex = sc.broadcast(Lexicon(column("word"), column("c").to_numpy().astype(np.int64), sums, n, v, single, double))
 
-    # a bounded share of the training texts, for the weights; a tenth where texts are few
-    share = min(0.1, WEIGHT_TEXTS / max(1, texts))
-    for_weights = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(3)), F.lit(1 << 20)) < int(share * (1 << 20))
-
     def of_texts(values: list) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
         past = Past()
         for piece in coded(values):
@@ -558,14 +529,13 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             _, bit, slots = speller.decisions(values[a : a + 4096])
             yield bit, slots
 
-    tables = sc.broadcast(context_tables(train.filter(~for_weights).select("text"), lex.value.slots, of_texts, "contexts"))
+    tables = sc.broadcast(context_tables(train.select("text"), lex.value.slots, of_texts, "contexts"))
     letters = sc.broadcast(context_tables(counted.filter("c = 1").select("word"), speller.slots, of_words, "letters"))
-    weights = first_weights(train.filter(for_weights), lex, tables)
     id_type = named.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = lex.value
-        scorer = Scorer(tool, tables.value, Weights(weights.weights, weights.came))
+        scorer = Scorer(tool, tables.value, Weights())
         none, row = len(tool.head), TaskContext.get().partitionId() << 40
         for batch in batches:
             size = batch.num_rows

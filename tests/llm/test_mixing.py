@@ -4,6 +4,7 @@ import collections
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -148,3 +149,21 @@ def test_every_training_text_is_counted(spark, monkeypatch):
     rows = [(k, f"some words of text {k}") for k in range(300)]
     assert mixing.scored(spark.createDataFrame(rows, "doc_id long, text string")).count() == 300
     assert given["contexts"] == sum(zlib.crc32(str(k).encode()) % 7 != 2 for k, _ in rows)
+
+
+def test_the_head_is_read_once_a_worker():
+    """Looking up a piece's words takes time by the piece, not by the head, after the first time."""
+    head = pa.array([f"w{k}" for k in range(200_000)], pa.string())
+    lex = mixing.Lexicon(head, np.arange(200_000, 0, -1) + 1, np.ones((200_000, mixing.DIMS)), 1 << 35, 200_100, 12, 5)
+    piece = pa.array(["w0", "", "w199999", "beyond", "w7"], pa.large_string())
+    began = time.perf_counter()
+    assert lex.numbers(piece).tolist() == [0, 200_000, 199_999, 200_000, 7]
+    first = time.perf_counter() - began
+    began = time.perf_counter()
+    for _ in range(50):
+        lex.numbers(piece)
+    assert time.perf_counter() - began < 10 * first
+
+
+def test_plain_values():
+    assert mixing._plain(pa.array(["", None, "\u00e9a"])) == ["", None, "\u00e9a"] and mixing._plain(pa.array([], pa.large_string())) == []

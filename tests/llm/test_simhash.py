@@ -100,6 +100,19 @@ def test_empty(spark):
     assert simhash.one_of_each(docs).count() == 0
 
 
+def test_one_row_of_each_group(spark):
+    """Also where rows have no id, or repeat one."""
+    rng = random.Random(4)
+    a, b, c, d, e = (" ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(60)) for _ in range(5))
+    near = " ".join(b.split()[1:])
+    rows = [(None, a), (None, a), (5, a), (6, a), (None, b), (None, near), (None, b), (7, c), (7, c), (8, a), (8, d), (9, e), (None, None), (None, ""), (12, c)]
+    docs = spark.createDataFrame([(k, t, n) for n, (k, t) in enumerate(rows)], "doc_id long, text string, n int")
+    got = [(r.doc_id, r.text or "") for r in simhash.one_of_each(docs).collect()]
+    ided = sorted((k, t) for k, t in got if k is not None)
+    assert ided == sorted([(5, a), (7, c), (8, d), (9, e)])
+    assert len(got) == 6 and {t for k, t in got if k is None} in ({b, ""}, {near, ""})
+
+
 def templated(families, own, pairs, words=150, seed=5):
     """``families`` texts of one template with ``own`` words of their own, and ``pairs`` planted ones, each with a second text that has two words changed."""
     rng = random.Random(seed)

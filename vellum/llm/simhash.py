@@ -506,21 +506,40 @@ def similar_links(first: DataFrame, sets: Sets, similarity: float) -> DataFrame:
     return link.union(verified(other_pairs(labelled(), similarity), first, sets, similarity))
 
 
-def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and component_id under a bound on the Jaccard similarity of the shingle sets; equal sets are one class."""
+def _linked(docs: DataFrame, words: int, similarity: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The marked rows of the documents, and links between their sets."""
     texts = _keyed(docs, id_col, text_col)
     rows = keep(marked(texts, words, similarity), "marked")
     one = keep(rows.groupBy("id").agg(F.min("row").alias("row")).select("row"), "first")
     first = keep(rows.join(one, "row", "left_semi"), "first_rows")
-    link = similar_links(first, Sets(texts, first, words), similarity)
+    return rows, similar_links(first, Sets(texts, first, words), similarity)
+
+
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and component_id under a bound on the Jaccard similarity of the shingle sets; equal sets are one class."""
+    rows, link = _linked(docs, words, similarity, id_col, text_col)
     return grouped(rows.select("doc_id", F.col("id").alias("fp")), link).select("doc_id", "component_id")
 
 
 def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates, with its own columns.
+    """One row of each group of near-duplicates, with its own columns: that of the smallest id, or of none where no row has one.
 
-    Rows that repeat an id are one document: they stay or go together.
+    Rows that repeat an id are told apart by their texts, as are rows without one; of
+    rows that repeat both id and text one stays.
     """
-    groups = similar_groups(docs, words, similarity)
-    lost = groups.filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(lost, "doc_id", "left_anti")
+    rows, link = _linked(docs, words, similarity, "doc_id", "text")
+    root = keep(roots(link), "roots")
+    kinds = rows.groupBy("doc_id", "text_key").agg(F.min("id").alias("id"), F.count("*").alias("n"))
+    named = kinds.join(root, kinds["id"] == root["node"], "left").select(F.coalesce("root", "id").alias("group"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key").alias("kind"), "n")
+    named = keep(named, "kinds")
+    first = named.groupBy("group").agg(F.min("kind").alias("first"))
+    of = lambda kinds: kinds.select(F.col("kind.doc_id").alias("__doc_id"), F.col("kind.text_key").alias("__key"))
+    lost = of(named.join(first, "group").filter("kind <> first"))
+    again = of(named.filter("n > 1"))
+    key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    same = (key == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__doc_id"))
+    left = docs.join(lost, same, "left_anti")
+    if again.isEmpty():
+        return left
+    one = left.join(again, same, "left_semi").withColumn("__key", key).dropDuplicates(["doc_id", "__key"]).drop("__key")
+    return left.join(again, same, "left_anti").unionByName(one)

@@ -42,3 +42,20 @@ def test_odd_rows(spark, odd, name):
     want = con.sql(catalogue.oracle_sql()[name])
     assert sorted(got.columns) == sorted(want.columns)
     assert sorted(map(str, map(tuple, got.select(*want.columns).collect()))) == sorted(map(str, want.fetchall()))
+
+
+@pytest.mark.parametrize("name", ["jn_09", "w_08"])
+def test_many_children(spark, tmp_path, name):
+    """A parent of over a hundred children, and pages by which any of the rules hold."""
+    con = duckdb.connect()
+    heads = ["Two words of the same start", "Word apart from others", "Doc and words of none", "Twofold the same start of it", "Els o a oc"]
+    documents = [(k, heads[k % 5] + f"\nline {k}", ["en", "fr"][k % 2], f"src{k % 8}", 40 + k % 3) for k in range(40)]
+    pages = [(k, f"http://a.b/{k % 50}", f"<title>{heads[0] if k < 150 else heads[k % 5]}</title>" + "x" * (k % 4)) for k in range(260)]
+    for table, columns, rows in (("documents", ("doc_id", "text", "lang", "source", "n_chars"), documents), ("pages", ("page_id", "url", "html"), pages)):
+        pq.write_table(pa.table(dict(zip(columns, map(list, zip(*rows))))), tmp_path / f"{table}.parquet")
+        con.sql(f"create view {table} as select * from '{tmp_path}/{table}.parquet'")
+    got = catalogue.queries()[name](spark, str(tmp_path))
+    want = con.sql(catalogue.oracle_sql()[name])
+    rows = sorted(map(str, map(tuple, got.select(*want.columns).collect())))
+    assert rows == sorted(map(str, want.fetchall()))
+    assert name == "jn_09" or max(got.groupBy("parent").count().toPandas()["count"]) > 100
